@@ -10,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshift.functions.text import fold_name, title_key
+from earshift.operators.consolidate import classify, family_weights
+from earshift.operators.credits import track_credits
 from earshift.operators.events import real_listens
+from earshift.operators.resolve import no_tags
+from earshift.operators.trends import tag_trends, tag_weights
 
 GENRES = (
     "hip hop", "trap", "drill", "grime", "boom bap", "hardcore hip hop", "gangsta rap", "house",
@@ -150,3 +155,148 @@ class Tables:
             "track_uri", F.array_join("performers", "\u001f").alias("track_artists"),
             F.lit("poll").alias("source_kind"), F.lit("music").alias("content_type"),
         )
+
+    def full_credits(self) -> DataFrame:
+        return track_credits(self.plays(titles=True))
+
+    def weights(self) -> DataFrame:
+        return tag_weights(self.artist_tags())
+
+    def trends(self, by: tuple[str, ...] = ()) -> DataFrame:
+        return tag_trends(self.plays(listeners=bool(by)), self.credits(), self.weights(), by=by)
+
+    def resolution(self) -> DataFrame:
+        """Library artists; status from the account balance."""
+        bal = F.col("s_acctbal")
+        status = (
+            F.when(bal < 0, "ambiguous").when(bal >= 9500, "not_found").when(bal >= 9000, "ignored")
+            .otherwise("resolved")
+        )
+        a = self.artists().withColumn("_n", self.library_size()).where(F.col("artist_id") < F.col("_n"))
+        return a.select(
+            "artist_name", F.when(status == "resolved", F.col("mbid")).alias("mbid"), status.alias("status"),
+            F.lit("musicbrainz").alias("source"), F.col("artist_name").alias("matched_name"),
+            F.lit(100).alias("score"), F.lit(3).alias("n_candidates"),
+            F.when(bal < 8000, 10).otherwise(0).alias("n_tags"), "nation", "artist_id", "s_acctbal",
+        )
+
+    def resolutions(self) -> DataFrame:
+        """The same with tag lists, in the shape the resolver gives."""
+        tags = F.when(F.col("n_tags") > 0, F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.struct(
+            self.genre(F.col("nation") + k).alias("tag"), (40 - 15 * k).cast("bigint").alias("count"))))
+        return self.resolution().select(
+            "artist_name", "source", "status", "mbid", "score", "matched_name", "n_candidates",
+            F.coalesce(tags, no_tags()).alias("tags"),
+        )
+
+    def vocabulary(self) -> DataFrame:
+        """Genre terms, taken from the nations' order in the genre list."""
+        return self.read("nation").select(self.genre(F.col("n_nationkey")).alias("term")).distinct()
+
+    def artist_overrides(self) -> DataFrame:
+        """Hand answers for artists of the first ten nations."""
+        a = self.artists().where(F.col("nation") < 10)
+        odd = F.col("nation") % 2 == 1
+        return a.select(
+            fold_name(F.col("artist_name")).alias("name_key"),
+            F.when(odd & (F.col("s_acctbal") < 4000), F.concat(F.lit("pin-"), "artist_id")).alias("mbid"),
+            (~odd & (F.col("s_acctbal") < 2000)).alias("ignore"), F.lit("by hand").alias("note"),
+            F.when(F.col("s_acctbal") > 3000, F.array(
+                self.genre(F.col("nation") + 3), F.lit("nonsense"), self.genre(F.col("nation") + 1)))
+            .otherwise(F.array().cast("array<string>")).alias("tags"),
+        )
+
+    def lookups(self) -> DataFrame:
+        return self.artists().where(F.col("s_acctbal") > 0).select(
+            F.concat(F.lit("pin-"), "artist_id").alias("mbid"),
+            F.concat(F.lit("The "), "artist_name").alias("name"),
+            F.array(F.struct(self.genre(F.col("nation")).alias("tag"), F.lit(7).cast("bigint").alias("count"))).alias("tags"),
+        )
+
+    def names_to_resolve(self) -> DataFrame:
+        return self.artists().select("artist_name").unionByName(
+            self.read("nation").select(F.col("n_name").alias("artist_name")))
+
+    def resolver_candidates(self) -> DataFrame:
+        """Three search hits per supplier: an alias of another act, the act
+        itself unless its balance is negative, and the act with an article."""
+        tag = lambda i, n: F.struct(self.genre(F.col("nation") + i).alias("name"), F.lit(n).cast("bigint").alias("count"))
+        no = F.array().cast("array<struct<name:string,count:bigint>>")
+        bal, name = F.col("s_acctbal"), F.col("artist_name")
+        hit = lambda pos, ident, n, aliases, score, tags: F.struct(
+            F.lit(pos).alias("pos"), F.concat(F.lit(ident), "artist_id").alias("mbid"), n.alias("name"),
+            aliases.alias("aliases"), F.lit(score).alias("score"), tags.alias("tags"))
+        none = F.array().cast("array<string>")
+        hits = F.array(
+            hit(0, "other-", F.concat(F.lit("Reg "), name), F.when(bal >= 500, F.array(F.lower(name))).otherwise(none), 100, no),
+            hit(1, "mb-", F.when(bal < 0, F.concat(name, F.lit("x"))).otherwise(F.upper(name)), none, 82,
+                F.when(bal > 5000, F.array(tag(0, 3), tag(1, 1))).otherwise(no)),
+            hit(2, "the-", F.when(bal < 0, F.lit("Band")).otherwise(F.concat(F.lit("The "), name)), none, 70,
+                F.when(bal > 2000, F.array(tag(2, 5))).otherwise(no)),
+        )
+        return self.artists().select(F.col("artist_name").alias("query_name"), F.explode(hits).alias("h")).select(
+            "query_name", "h.*")
+
+    def release_tags(self) -> DataFrame:
+        """One release per part: tags of the supplier's nation, votes 0 to 4."""
+        line = self.read("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+        a = self.artists()
+        return line.join(a, F.col("l_suppkey") == a.artist_id).select(
+            "mbid", F.initcap(self.genre(F.col("nation") + F.col("l_partkey") % 4)).alias("name"),
+            (F.col("l_partkey") % 5).cast("bigint").alias("count"))
+
+    def edges(self) -> DataFrame:
+        """A line links its part's artist to the supplier of the line."""
+        line = self.read("lineitem").withColumn("_n", self.library_size()).groupBy(
+            (F.col("l_partkey") % F.col("_n")).alias("home"), "l_suppkey"
+        ).agg(F.sum("l_quantity").alias("score"))
+        a = self.artists()
+        return line.join(a, F.col("l_suppkey") == a.artist_id).select(
+            F.concat(F.lit("mb-"), "home").alias("seed_mbid"), "mbid", F.col("artist_name").alias("name"), "score",
+            F.concat(F.lit("nation "), "nation").alias("comment"))
+
+    def candidate_tags(self) -> DataFrame:
+        t = self.artist_tags()
+        return t.select("mbid", "tag", F.greatest(F.col("tag_count"), F.lit(0)).cast("bigint").alias("count"))
+
+    def supplied(self) -> DataFrame:
+        """Distinct (supplier, part) pairs with the part's track."""
+        pairs = self.read("lineitem").select("l_suppkey", "l_partkey").distinct()
+        a = self.artists().select(F.col("artist_id").alias("l_suppkey"), F.col("artist_name").alias("supplier"),
+                                  F.col("mbid").alias("supplier_mbid"), F.col("nation").alias("supplier_nation"))
+        return pairs.join(self.tracks(), F.col("l_partkey") == F.col("part_id")).join(a, "l_suppkey")
+
+    def artist_tracks(self) -> DataFrame:
+        return self.supplied().select(
+            F.col("supplier").alias("artist_name"), F.col("l_partkey").alias("rank"), "track_name", "track_uri",
+            F.when(F.col("l_partkey") % 2 == 0, F.array("artist_name", F.upper("supplier")))
+            .otherwise(F.array("artist_name")).alias("artists"))
+
+    def genre_recordings(self) -> DataFrame:
+        return self.supplied().select(
+            F.col("supplier_mbid").alias("artist_mbid"),
+            self.genre(F.col("supplier_nation") + F.col("l_partkey") % 10).alias("tag"),
+            F.col("album_name").alias("title"))
+
+    def playlist_items(self) -> DataFrame:
+        line = self.read("lineitem")
+        return line.join(self.tracks(), F.col("l_partkey") == F.col("part_id")).select(
+            F.col("l_returnflag").alias("source"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
+            F.coalesce("track_uri", "episode_uri").alias("track_uri"), "track_name",
+            F.col("performers").alias("artists"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("added_at"))
+
+    def consolidate_overrides(self) -> DataFrame:
+        """Decisions for the titles of the two largest part sizes."""
+        p = self.tracks().join(self.read("part").select(F.col("p_partkey").alias("part_id"), "p_size"), "part_id")
+        return p.where(F.col("p_size") >= 49).select(
+            title_key(F.col("track_name")).alias("title_key"), fold_name(F.col("artist_name")).alias("artist_key"),
+            F.when(F.col("p_size") == 50, "keep").otherwise("drop").alias("decision"),
+        ).groupBy("title_key", "artist_key").agg(F.min("decision").alias("decision"))
+
+    def whole_and_filtered(self) -> tuple[DataFrame, DataFrame]:
+        items = self.playlist_items()
+        return items.where(F.col("source") == "A"), items.where(F.col("source") != "A")
+
+    def scored(self) -> DataFrame:
+        return classify(
+            self.whole_and_filtered()[1], family_weights(self.artist_tags()), self.consolidate_overrides())
