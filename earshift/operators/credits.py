@@ -36,7 +36,7 @@ def _credit(name: Column, kind: Column | str) -> Column:
 
 def listed_performers(listed: Column) -> Column:
     """Performers from the poller's list; the first is the album artist."""
-    names = F.array_distinct(F.transform(F.split(listed, LISTED_ARTISTS_SEPARATOR), F.trim))
+    names = F.array_distinct(F.transform(F.split(listed, LISTED_ARTISTS_SEPARATOR), lambda n: F.trim(n)))
     return F.transform(
         names, lambda n, i: _credit(n, F.when(i == 0, "album_artist").otherwise("featured"))
     )

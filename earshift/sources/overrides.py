@@ -28,7 +28,7 @@ def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def pipe_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, r"\|"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def artist_overrides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

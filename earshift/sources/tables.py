@@ -40,6 +40,17 @@ def read_optional(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def materialise(df: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Write a stage's result to the shared folder and go on from the table.
+
+    Use it where several later steps need the same result: it is computed once,
+    the lineage ends, and a lost executor costs a re-read only.
+    """
+    path = f"{base or work_dir(df.sparkSession)}/{name}"
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def register_tables(
     spark: SparkSession, required: Mapping[str, str], optional: Mapping[str, str] | None = None
 ) -> set[str]:

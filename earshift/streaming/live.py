@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -34,12 +34,22 @@ def stream_table(
     return r.parquet(path)
 
 
+def instant(ts: str | Column) -> Column:
+    """Zone-free UTC time as the instant a watermark needs, in any session zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(ts) if isinstance(ts, str) else ts).cast("timestamp")
+
+
+def utc_wall(ts: str) -> Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(ts).cast("timestamp_ntz"))
+
+
 def dedupe_stream(
     events: DataFrame, key: Sequence[str] = ("ts", "track_uri"), ts: str = "ts", delay: str = "1 day"
 ) -> DataFrame:
     """Drop repeats of a key that arrive within the delay; state is dropped with
     the watermark."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+    timed = events.withColumn("_at", instant(ts)).withWatermark("_at", delay)
+    return timed.dropDuplicatesWithinWatermark(list(key)).drop("_at")
 
 
 def daily_rollup(
@@ -49,10 +59,10 @@ def daily_rollup(
     """Day-grain totals.  Spark has no calendar-month stream window, so months
     are added up from days in batch (``months_from_days``)."""
     return (
-        events.withWatermark(ts, delay)
-        .groupBy(F.window(ts, "1 day"), *keys)
+        events.withColumn("_at", instant(ts)).withWatermark("_at", delay)
+        .groupBy(F.window("_at", "1 day"), *keys)
         .agg(F.count(F.lit(1)).alias("plays"), F.sum(seconds).alias("secs"))
-        .select(F.to_date("window.start").alias("day"), *keys, "plays", "secs")
+        .select(F.to_date(utc_wall("window.start")).alias("day"), *keys, "plays", "secs")
     )
 
 

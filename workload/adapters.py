@@ -7,6 +7,8 @@ as suppliers of single lines and act as undiscovered artists.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from earshift.operators.credits import track_credits
 from earshift.operators.events import real_listens
 from earshift.operators.resolve import no_tags
 from earshift.operators.trends import tag_trends, tag_weights
+from earshift.sources.tables import materialise
 
 GENRES = (
     "hip hop", "trap", "drill", "grime", "boom bap", "hardcore hip hop", "gangsta rap", "house",
@@ -31,12 +34,19 @@ class Tables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self._read: dict[str, DataFrame] = {}
+        self._staged: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
         if name not in self._read:
             self._read[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
         return self._read[name]
 
+    def staged(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A result that several steps of one query share, written once."""
+        if name not in self._staged:
+            self._staged[name] = materialise(build(), name)
+        return self._staged[name]
+
     def genre(self, i: Column) -> Column:
         names = F.array(*[F.lit(g) for g in GENRES])
         return F.element_at(names, (i % len(GENRES) + 1).cast("int"))

@@ -93,7 +93,8 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM split JOIN wts ON wts.artist_name = split.artist_name GROUP BY ALL"""),
     "grid": ("tm plays", """
         SELECT variant, tag, month, coalesce(tag_seconds, 0) AS tag_seconds, coalesce(n_artists, 0) AS n_artists
-        FROM (SELECT DISTINCT variant FROM tm), (SELECT DISTINCT tag FROM tm), (SELECT DISTINCT month FROM plays)
+        FROM (SELECT * FROM (SELECT DISTINCT variant FROM tm), (SELECT DISTINCT tag FROM tm),
+                            (SELECT DISTINCT month FROM plays))
         LEFT JOIN tm USING (variant, tag, month)"""),
     "shr": ("grid", """
         SELECT *, tag_seconds / nullif(sum(tag_seconds) OVER (PARTITION BY variant, month), 0) AS share,
@@ -284,4 +285,8 @@ def with_views(needs: str, body: str) -> str:
 
     for name in needs.split():
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in done) + "\n" + body
+    views = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in done)
+    body = body.strip()
+    if not views:
+        return body
+    return f"WITH {views}" + (f",\n{body[5:]}" if body.startswith("WITH ") else f"\n{body}")

@@ -85,10 +85,10 @@ def residual_dups(t):
     return prof.residual_duplicates(t.plays())
 
 
-@query("raw", """SELECT content_type, count(*) AS n_rows, round(sum(played_seconds) / 3600, 4) AS hours
+@query("raw", """SELECT content_type, count(*) AS n_rows, round(sum(played_seconds) / 3600, 7) AS hours
     FROM raw GROUP BY content_type""")
 def content_profile(t):
-    return rounded(prof.content_profile(t.plays_raw()), hours=4)
+    return rounded(prof.content_profile(t.plays_raw()), hours=7)
 
 
 @query("raw", """SELECT count(*) AS raw_rows, count(track_uri) AS music_rows,
@@ -100,23 +100,23 @@ def filter_loss(t):
     return rounded(prof.filter_loss(t.plays_raw()), dropped_pct=6)
 
 
-@query("plays", """SELECT CAST(year(ts) AS INTEGER) AS year, round(sum(played_seconds) / 3600, 4) AS hours,
+@query("plays", """SELECT CAST(year(ts) AS INTEGER) AS year, round(sum(played_seconds) / 3600, 7) AS hours,
     count(*) AS plays, count(DISTINCT artist_name) AS artists FROM plays GROUP BY 1""")
 def listening_by_year(t):
-    return rounded(prof.listening_by_year(t.plays()), hours=4)
+    return rounded(prof.listening_by_year(t.plays()), hours=7)
 
 
-@query("plays", """SELECT artist_name, round(sum(played_seconds) / 3600, 4) AS hours, count(*) AS plays
+@query("plays", """SELECT artist_name, round(sum(played_seconds) / 3600, 7) AS hours, count(*) AS plays
     FROM plays GROUP BY 1 ORDER BY sum(played_seconds) DESC, 1 LIMIT 10""")
 def top_artists(t):
-    return rounded(prof.top_artists(t.plays()), hours=4)
+    return rounded(prof.top_artists(t.plays()), hours=7)
 
 
-@query("plays", """SELECT count(*) AS plays, round(sum(played_seconds) / 3600, 4) AS hours,
+@query("plays", """SELECT count(*) AS plays, round(sum(played_seconds) / 3600, 7) AS hours,
     count(DISTINCT artist_name) AS artists, count(DISTINCT track_uri) AS tracks, count(DISTINCT month) AS months,
     min(ts) AS first_ts, max(ts) AS last_ts FROM plays""")
 def headline(t):
-    return rounded(prof.headline(t.plays()), hours=4).select(
+    return rounded(prof.headline(t.plays()), hours=7).select(
         "plays", "hours", "artists", "tracks", "months", "first_ts", "last_ts")
 
 
@@ -189,15 +189,15 @@ def credits_profile(t):
         "n_rows", "n_artists", "n_album", "n_featured", "n_featured_only", "n_tracks", "featured_seconds")
 
 
-@query("crs", """SELECT artist_name, round(sum(played_seconds) / 3600, 4) AS hours, count(*) AS n_tracks
+@query("crs", """SELECT artist_name, round(sum(played_seconds) / 3600, 7) AS hours, count(*) AS n_tracks
     FROM crs WHERE credit_type = 'featured' GROUP BY 1""")
 def featured_ranking(t):
-    return rounded(crd.featured_ranking(t.full_credits()), hours=4)
+    return rounded(crd.featured_ranking(t.full_credits()), hours=7)
 
 
-@query("hrs", "SELECT artist_name, round(listening_hours, 4) AS listening_hours FROM hrs")
+@query("hrs", "SELECT artist_name, round(listening_hours, 7) AS listening_hours FROM hrs")
 def artist_hours(t):
-    return rounded(crd.artist_hours(t.full_credits()), listening_hours=4)
+    return rounded(crd.artist_hours(t.full_credits()), listening_hours=7)
 
 
 # ---- trends ---------------------------------------------------------------
@@ -207,13 +207,13 @@ def tag_weights(t):
     return rounded(t.weights(), tag_weight=9)
 
 
-@query("split", """SELECT variant, month, artist_name, round(sum(secs * part), 4) AS credited_seconds
+@query("split", """SELECT variant, month, artist_name, round(sum(secs * part), 7) AS credited_seconds
     FROM split GROUP BY ALL""")
 def credit_split(t):
     """Time handed to each performer per month and variant."""
     wide = tr.artist_month(t.plays(), t.credits())
     return wide.select("month", "artist_name", tr._per_variant(tr.DEFAULTS)).select(
-        "_v.variant", "month", "artist_name", F.round("_v.tag_seconds", 4).alias("credited_seconds"))
+        "_v.variant", "month", "artist_name", F.round("_v.tag_seconds", 7).alias("credited_seconds"))
 
 
 @query("tm", "SELECT variant, month, tag, round(tag_seconds, 4) AS tag_seconds, n_artists FROM tm")
@@ -268,14 +268,14 @@ def tag_trends(t):
                 FROM l JOIN crd ON crd.track_uri = l.track_uri)),
     f AS (SELECT user_id, month, tag, sum(secs * part * tag_weight) AS x, count(DISTINCT s.artist_name) AS a
           FROM s JOIN wts ON wts.artist_name = s.artist_name GROUP BY ALL)
-    SELECT user_id, tag, month, round(coalesce(x, 0), 4) AS tag_seconds, coalesce(a, 0) AS n_artists,
+    SELECT user_id, tag, month, round(coalesce(x, 0), 7) AS tag_seconds, coalesce(a, 0) AS n_artists,
            round(coalesce(x, 0) / sum(x) OVER (PARTITION BY user_id, month), 9) AS share
     FROM (SELECT DISTINCT user_id, tag FROM f) JOIN (SELECT DISTINCT user_id, month FROM l) USING (user_id)
     LEFT JOIN f USING (user_id, tag, month)""")
 def listener_trends(t):
     """The flagship for every listener at once."""
     d = t.trends(by=("user_id",)).where(F.col("variant") == "with_features")
-    return rounded(d, share=9, tag_seconds=4).select(
+    return rounded(d, share=9, tag_seconds=7).select(
         "user_id", "tag", "month", "tag_seconds", "n_artists", "share")
 
 
@@ -335,27 +335,27 @@ def discovery_by_year(t):
 @query("plays", """
     SELECT CAST(yr AS INTEGER) AS year, any_value(n) AS artists, any_value(k) AS top_1pct_size,
            round(sum(secs) FILTER (place <= k) / sum(secs), 9) AS top_1pct_share,
-           round(sum(secs) / 3600, 4) AS total_hours
+           round(sum(secs) / 3600, 7) AS total_hours
     FROM (SELECT *, count(*) OVER (PARTITION BY yr) AS n,
                  greatest(1, (count(*) OVER (PARTITION BY yr) + 99) // 100) AS k,
                  row_number() OVER (PARTITION BY yr ORDER BY secs DESC) AS place
           FROM (SELECT year(ts) AS yr, artist_name, sum(played_seconds) AS secs FROM plays
                 WHERE artist_name IS NOT NULL GROUP BY ALL)) GROUP BY yr""")
 def repeat_concentration(t):
-    return rounded(met.repeat_concentration(t.plays()), top_1pct_share=9, total_hours=4)
+    return rounded(met.repeat_concentration(t.plays()), top_1pct_share=9, total_hours=7)
 
 
 @query("raw crd wts", """
     SELECT tag, round(sum(tag_weight), 6) AS weighted_plays, round(sum(tag_weight) FILTER (skip), 6) AS weighted_skips,
            round(sum(tag_weight) FILTER (skip) / sum(tag_weight), 9) AS skip_rate,
-           round(sum(ms_played / 1000 * tag_weight) / 3600, 4) AS hours
+           round(sum(ms_played / 1000 * tag_weight) / 3600, 7) AS hours
     FROM (SELECT track_uri, ms_played, skipped OR reason_end IN ('fwdbtn', 'endplay') AS skip FROM raw
           WHERE content_type = 'music') m
     JOIN crd ON crd.track_uri = m.track_uri AND credit_type = 'album_artist'
     JOIN wts ON wts.artist_name = crd.artist_name GROUP BY tag HAVING sum(tag_weight) >= 50""")
 def skip_rate(t):
     return rounded(met.skip_rate(t.plays_raw(), t.credits(), t.weights()),
-                   weighted_plays=6, weighted_skips=6, skip_rate=9, hours=4)
+                   weighted_plays=6, weighted_skips=6, skip_rate=9, hours=7)
 
 
 @query("plays crd wts", """SELECT round(100 * sum(played_seconds) FILTER (track_uri IN (
@@ -365,12 +365,12 @@ def tag_coverage(t):
     return rounded(met.tag_coverage(t.plays(), t.credits(), t.weights()), pct_tagged=6)
 
 
-@query("hrs res", """SELECT coalesce(status, 'never_attempted') AS status, round(sum(listening_hours), 4) AS hours,
+@query("hrs res", """SELECT coalesce(status, 'never_attempted') AS status, round(sum(listening_hours), 7) AS hours,
     round(100 * sum(listening_hours) / (SELECT sum(listening_hours) FROM hrs), 6) AS pct
     FROM hrs LEFT JOIN res USING (artist_name) GROUP BY 1""")
 def resolution_coverage(t):
     d = met.coverage_by_status(crd.artist_hours(t.full_credits()), t.resolution())
-    return rounded(d, hours=4, pct=6)
+    return rounded(d, hours=7, pct=6)
 
 
 @query("hrs res tags", """SELECT round(100 * sum(h) FILTER (status = 'resolved') / sum(h), 6) AS pct_resolved,
@@ -384,12 +384,12 @@ def coverage_summary(t):
 
 @query("hrs tags", """SELECT CAST((h >= 0.5)::INT + (h >= 2)::INT + (h >= 10)::INT + (h >= 50)::INT AS INTEGER) AS tier,
     count(*) AS artists, round(100.0 * count(*) FILTER (g) / count(*), 6) AS pct_tagged,
-    round(coalesce(sum(h) FILTER (NOT g), 0), 4) AS untagged_hours
+    round(coalesce(sum(h) FILTER (NOT g), 0), 7) AS untagged_hours
     FROM (SELECT listening_hours AS h, artist_name IN (SELECT artist_name FROM tags WHERE is_genre) AS g FROM hrs)
     GROUP BY 1""")
 def coverage_by_tier(t):
     d = met.coverage_by_tier(crd.artist_hours(t.full_credits()), t.artist_tags())
-    return rounded(d, pct_tagged=6, untagged_hours=4)
+    return rounded(d, pct_tagged=6, untagged_hours=7)
 
 
 @query("tags", """SELECT tag, count(DISTINCT artist_name) AS n_artists FROM tags WHERE is_genre GROUP BY tag""")
@@ -431,11 +431,11 @@ def override_apply(t):
                     F.array_join(F.transform("tags", lambda x: x["tag"]), ",").alias("tags"))
 
 
-@query("res hrs", """SELECT artist_name, status, round(listening_hours, 4) AS listening_hours
+@query("res hrs", """SELECT artist_name, status, round(listening_hours, 7) AS listening_hours
     FROM res LEFT JOIN hrs USING (artist_name) WHERE status <> 'ignored' AND (status <> 'resolved' OR n_tags = 0)""")
 def review_list(t):
     d = res.review_list(t.resolution(), crd.artist_hours(t.full_credits()))
-    return rounded(d, listening_hours=4).select("artist_name", "status", "listening_hours")
+    return rounded(d, listening_hours=7).select("artist_name", "status", "listening_hours")
 
 
 @query("res", f"""
@@ -467,13 +467,13 @@ def backfill_tags(t):
     return d.select("artist_name", "source", F.array_join(F.transform("tags", lambda x: x["tag"]), ",").alias("tags"))
 
 
-@query("hrs res art", """SELECT artist_name, round(listening_hours, 4) AS listening_hours FROM hrs LEFT JOIN res USING (artist_name)
+@query("hrs res art", """SELECT artist_name, round(listening_hours, 7) AS listening_hours FROM hrs LEFT JOIN res USING (artist_name)
     WHERE (status IS NULL OR status IN ('ambiguous', 'not_found'))
       AND artist_name NOT IN (SELECT artist_name FROM art WHERE nation < 10)""")
 def worklist(t):
     d = res.worklist(crd.artist_hours(t.full_credits()), t.resolution(), t.artist_overrides(),
                      retry=("ambiguous", "not_found"))
-    return rounded(d, listening_hours=4).drop("status")
+    return rounded(d, listening_hours=7).drop("status")
 
 
 # ---- outlook --------------------------------------------------------------
@@ -492,7 +492,8 @@ def _candidates(t):
 
 
 def _recommend(t):
-    return out.recommend(_candidates(t), t.candidate_tags(), out.taste_vector(t.trends()))
+    shortlist = t.staged("shortlist", lambda: _candidates(t))
+    return out.recommend(shortlist, t.candidate_tags(), out.taste_vector(t.trends()))
 
 
 def _gaps(t):
@@ -539,10 +540,10 @@ def projected_movers(t):
 
 
 @query("gap", """SELECT tag, round(share_now, 9) AS share_now, round(rel_change_per_year, 6) AS rel_change_per_year,
-    trend_class, n_artists, round(hours, 4) AS hours, round(gap_score, 9) AS gap_score,
-    round(hours_per_artist, 4) AS hours_per_artist FROM gap""")
+    trend_class, n_artists, round(hours, 7) AS hours, round(gap_score, 9) AS gap_score,
+    round(hours_per_artist, 7) AS hours_per_artist FROM gap""")
 def genre_gaps(t):
-    return rounded(_gaps(t), share_now=9, rel_change_per_year=6, hours=4, gap_score=9, hours_per_artist=4)
+    return rounded(_gaps(t), share_now=9, rel_change_per_year=6, hours=7, gap_score=9, hours_per_artist=7)
 
 
 @query("gap rec", """SELECT tag, artist_name, mbid, round(score, 9) AS score FROM (
@@ -550,22 +551,40 @@ def genre_gaps(t):
     FROM (SELECT tag FROM gap ORDER BY gap_score DESC, tag LIMIT 8) g JOIN rec r ON list_contains(r.why, g.tag))
     WHERE place <= 2""")
 def gap_recommendations(t):
-    d = out.gap_recommendations(_gaps(t), _recommend(t))
+    gaps = out.genre_gaps(_staged_trends(t), t.full_credits(), t.weights())
+    shortlist = t.staged("shortlist", lambda: _candidates(t))
+    recs = out.recommend(shortlist, t.candidate_tags(), out.taste_vector(_staged_trends(t)))
+    d = out.gap_recommendations(gaps, recs)
     return rounded(d, score=9).select("tag", "artist_name", "mbid", "score")
 
 
 # ---- playlists ------------------------------------------------------------
 
+# Stage results that several steps read are written once per query, as a
+# production run would write its stage tables.
+
+def _staged_trends(t):
+    return t.staged("trends", t.trends)
+
+
+def _staged_credits(t):
+    return t.staged("credits", t.full_credits)
+
+
 def _specs(t):
-    return pl.playlist_specs(_gaps(t))
+    return t.staged("specs", lambda: pl.playlist_specs(
+        out.genre_gaps(_staged_trends(t), _staged_credits(t), t.weights())))
 
 
 def _anchors(t, specs):
-    return pl.anchor_tracks(t.plays(titles=True), t.artist_tags(), specs)
+    return t.staged("anchors", lambda: pl.anchor_tracks(t.plays(titles=True), t.artist_tags(), specs))
 
 
 def _gap_candidates(t, specs):
-    return pl.gap_candidates(_recommend(t), t.plays(), t.candidate_tags(), specs)
+    near = out.candidates(
+        out.seeds(t.plays(), _staged_credits(t), t.resolution()), t.edges(), t.resolution(), _staged_credits(t))
+    recs = out.recommend(t.staged("shortlist", lambda: near), t.candidate_tags(), out.taste_vector(_staged_trends(t)))
+    return pl.gap_candidates(recs, t.plays(), t.candidate_tags(), specs)
 
 
 def _chosen(t, specs):
@@ -578,10 +597,10 @@ def playlist_specs(t):
     return _specs(t).select("label")
 
 
-@query("anchor", """SELECT label, artist_name, track_name, track_uri, round(hours, 6) AS hours,
+@query("anchor", """SELECT label, artist_name, track_name, track_uri, round(hours, 7) AS hours,
     CAST(anchor_rank AS INTEGER) AS anchor_rank FROM anchor""")
 def anchor_tracks(t):
-    return rounded(_anchors(t, _specs(t)), hours=6)
+    return rounded(_anchors(t, _specs(t)), hours=7)
 
 
 @query("gcand", "SELECT label, artist_name, mbid, round(score, 9) AS score FROM gcand")
@@ -590,7 +609,7 @@ def gap_candidates(t):
 
 
 @query("supplied", f"""SELECT DISTINCT {fold('supplier')} AS name_key, supplier AS artist_name, l_partkey AS rank,
-    track_name, track_uri FROM supplied WHERE track_uri IS NOT NULL AND l_partkey % 2 = 0""")
+    track_name, track_uri FROM supplied WHERE track_uri IS NOT NULL AND (l_partkey % 2 = 0 OR supplier = artist_name)""")
 def credited_tracks(t):
     return pl.credited_tracks(t.artist_tracks())
 
@@ -740,9 +759,9 @@ def dashboard_slice(t):
     return rounded(d, share=9).select("variant", "tag", "month", "share")
 
 
-@query("trd", """SELECT tag, round(sum(tag_seconds) / 3600, 4) AS hours FROM trd WHERE variant = 'with_features' GROUP BY tag""")
+@query("trd", """SELECT tag, round(sum(tag_seconds) / 3600, 7) AS hours FROM trd WHERE variant = 'with_features' GROUP BY tag""")
 def hours_per_tag(t):
-    return rounded(prof.hours_per_tag(t.trends()), hours=4)
+    return rounded(prof.hours_per_tag(t.trends()), hours=7)
 
 
 @query("slp now", """SELECT tag, trend_class, round(slope_pp_per_year, 6) AS pp, round(mean_recent_share, 9) AS mean_recent_share
