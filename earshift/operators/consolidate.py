@@ -98,11 +98,21 @@ def score_credits(items: DataFrame, weights: DataFrame, params: Params = DEFAULT
 
 
 def with_song_key(items: DataFrame) -> DataFrame:
-    """Folded title and primary artist: editions of a song share both."""
-    return items.withColumns({
-        "title_key": title_key(F.col("track_name")),
-        "artist_key": fold_name(F.try_element_at("artists", F.lit(1))),
+    """Folded title and primary artist: editions of a song share both.
+
+    Folding runs on the distinct pairs, of which there are far fewer than items.
+    Items that carry the keys already are left alone.
+    """
+    if "title_key" in items.columns and "artist_key" in items.columns:
+        return items
+    named = items.withColumns({
+        "_title": F.coalesce("track_name", F.lit("")),
+        "_lead": F.coalesce(F.try_element_at("artists", F.lit(1)), F.lit("")),
+    })
+    keys = named.select("_title", "_lead").distinct().withColumns({
+        "title_key": title_key(F.col("_title")), "artist_key": fold_name(F.col("_lead")),
     })
+    return named.join(keys, ["_title", "_lead"]).drop("_title", "_lead")
 
 
 def classify(

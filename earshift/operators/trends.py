@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import null_if_zero, ratio, shared_keys, top_k, with_group_value
+from ..functions.frames import null_if_zero, ratio, shared_keys, top_k
 from ..params import DEFAULTS, Params
 
 
@@ -67,13 +67,14 @@ def monthly_track_time(
 
 
 def artist_month(
-    plays: DataFrame, credits: DataFrame, params: Params = DEFAULTS, by: Sequence[str] = ()
+    plays: DataFrame, credits: DataFrame, params: Params = DEFAULTS, by: Sequence[str] = (),
+    how: str = "inner",
 ) -> DataFrame:
     """(listener, month, artist) with credited seconds per variant (``s_<variant>``)."""
     shares = credit_shares(credits, params, by)
     return (
         monthly_track_time(plays, params, by)
-        .join(shares, shared_keys(shares, by, "track_uri"))
+        .join(shares, shared_keys(shares, by, "track_uri"), how)
         .groupBy(*by, "month", "artist_name")
         .agg(*[F.sum(F.col("secs") * F.col(f"w_{v}")).alias(f"s_{v}") for v in params.variants])
     )
@@ -81,18 +82,21 @@ def artist_month(
 
 def tag_month_wide(
     plays: DataFrame, credits: DataFrame, weights: DataFrame,
-    params: Params = DEFAULTS, by: Sequence[str] = (),
+    params: Params = DEFAULTS, by: Sequence[str] = (), every_month: bool = False,
 ) -> DataFrame:
     """(listener, month, tag) with seconds per variant and distinct artists.
 
     Artists with weight 0 in a variant still count as artists.  The input is
-    unique per artist, so counting rows counts distinct artists.
+    unique per artist, so counting rows counts distinct artists.  With
+    ``every_month``, time that reaches no tag stays as rows with a NULL tag, so
+    that no month of the log is lost.
     """
+    how = "left" if every_month else "inner"
     who = shared_keys(weights, by, "artist_name")
     per_tag = weights.groupBy(*who, "tag").agg(F.sum("tag_weight").alias("tag_weight"))
     return (
-        artist_month(plays, credits, params, by)
-        .join(per_tag, who)
+        artist_month(plays, credits, params, by, how)
+        .join(per_tag, who, how)
         .groupBy(*by, "month", "tag")
         .agg(
             *[F.sum(F.col(f"s_{v}") * F.col("tag_weight")).alias(f"s_{v}") for v in params.variants],
@@ -125,18 +129,22 @@ def tag_grid(
     """Dense (listener, variant, tag, month): every tag of a listener in every
     month that listener played anything.  ``month_idx`` counts observed months.
 
-    Each tag's months are gathered into a map, which the calendar bounds, and
-    laid out over the listener's month list.
+    Each tag's months are gathered into one row, which the calendar bounds, and
+    laid out over the listener's months.  Those come from the same rows, so the
+    log is read once; the window over a listener holds one row per tag.
     """
-    wide = tag_month_wide(plays, credits, weights, params, by)
+    wide = tag_month_wide(plays, credits, weights, params, by, every_month=True)
     cell = F.struct(*[f"s_{v}" for v in params.variants], "n_artists")
-    series = wide.groupBy(*by, "tag").agg(
-        F.map_from_entries(F.collect_list(F.struct("month", cell))).alias("_cells")
+    own = F.map_keys("_cells")
+    series = (
+        wide.groupBy(*by, "tag")
+        .agg(F.map_from_entries(F.collect_list(F.struct("month", cell))).alias("_cells"))
+        .withColumn("_months", F.sort_array(F.array_distinct(F.flatten(
+            F.collect_set(own).over(Window.partitionBy(*by))))))
+        .where(F.col("tag").isNotNull())
     )
-    months = F.sort_array(F.collect_set("month"))
     dense = (
-        with_group_value(series, plays, by, months, "_months")
-        .select(
+        series.select(
             *by, "tag", "_cells", F.size("_months").alias("n_months"),
             F.posexplode("_months").alias("_pos", "month"),
         )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshift.functions.text import fold_name, title_key
-from earshift.operators.consolidate import classify, family_weights
+from earshift.operators.consolidate import classify, family_weights, with_song_key
 from earshift.operators.credits import track_credits
 from earshift.operators.events import real_listens
 from earshift.operators.resolve import no_tags
@@ -166,6 +166,10 @@ class Tables:
             F.lit("poll").alias("source_kind"), F.lit("music").alias("content_type"),
         )
 
+    def log(self) -> DataFrame:
+        """Plays for queries that read them several times."""
+        return self.staged("plays", lambda: self.plays(titles=True))
+
     def full_credits(self) -> DataFrame:
         return track_credits(self.plays(titles=True))
 
@@ -304,7 +308,7 @@ class Tables:
         ).groupBy("title_key", "artist_key").agg(F.min("decision").alias("decision"))
 
     def whole_and_filtered(self) -> tuple[DataFrame, DataFrame]:
-        items = self.playlist_items()
+        items = self.staged("items", lambda: with_song_key(self.playlist_items()))
         return items.where(F.col("source") == "A"), items.where(F.col("source") != "A")
 
     def scored(self) -> DataFrame:

@@ -483,21 +483,31 @@ def taste_vector(t):
     return rounded(out.taste_vector(t.trends()), taste=9)
 
 
+# Queries that need a result several times write it once, as a production run
+# would write its stage tables.
+
+def _credits_of(t):
+    return t.staged("credits", lambda: crd.track_credits(t.log()))
+
+
+def _trends(t):
+    return t.staged("trends", lambda: tr.tag_trends(t.log(), t.credits(), t.weights()))
+
+
 def _seeds(t):
-    return out.seeds(t.plays(), t.full_credits(), t.resolution())
+    return out.seeds(t.log(), _credits_of(t), t.resolution())
 
 
 def _candidates(t):
-    return out.candidates(_seeds(t), t.edges(), t.resolution(), t.credits())
+    return t.staged("shortlist", lambda: out.candidates(_seeds(t), t.edges(), t.resolution(), _credits_of(t)))
 
 
 def _recommend(t):
-    shortlist = t.staged("shortlist", lambda: _candidates(t))
-    return out.recommend(shortlist, t.candidate_tags(), out.taste_vector(t.trends()))
+    return out.recommend(_candidates(t), t.candidate_tags(), out.taste_vector(_trends(t)))
 
 
 def _gaps(t):
-    return out.genre_gaps(t.trends(), t.full_credits(), t.weights())
+    return out.genre_gaps(_trends(t), _credits_of(t), t.weights())
 
 
 @query("seed", "SELECT artist_name, seed_mbid, round(weight, 9) AS weight, CAST(seed_rank AS INTEGER) AS seed_rank FROM seed")
@@ -551,40 +561,22 @@ def genre_gaps(t):
     FROM (SELECT tag FROM gap ORDER BY gap_score DESC, tag LIMIT 8) g JOIN rec r ON list_contains(r.why, g.tag))
     WHERE place <= 2""")
 def gap_recommendations(t):
-    gaps = out.genre_gaps(_staged_trends(t), t.full_credits(), t.weights())
-    shortlist = t.staged("shortlist", lambda: _candidates(t))
-    recs = out.recommend(shortlist, t.candidate_tags(), out.taste_vector(_staged_trends(t)))
-    d = out.gap_recommendations(gaps, recs)
+    d = out.gap_recommendations(_gaps(t), _recommend(t))
     return rounded(d, score=9).select("tag", "artist_name", "mbid", "score")
 
 
 # ---- playlists ------------------------------------------------------------
 
-# Stage results that several steps read are written once per query, as a
-# production run would write its stage tables.
-
-def _staged_trends(t):
-    return t.staged("trends", t.trends)
-
-
-def _staged_credits(t):
-    return t.staged("credits", t.full_credits)
-
-
 def _specs(t):
-    return t.staged("specs", lambda: pl.playlist_specs(
-        out.genre_gaps(_staged_trends(t), _staged_credits(t), t.weights())))
+    return t.staged("specs", lambda: pl.playlist_specs(_gaps(t)))
 
 
 def _anchors(t, specs):
-    return t.staged("anchors", lambda: pl.anchor_tracks(t.plays(titles=True), t.artist_tags(), specs))
+    return t.staged("anchors", lambda: pl.anchor_tracks(t.log(), t.artist_tags(), specs))
 
 
 def _gap_candidates(t, specs):
-    near = out.candidates(
-        out.seeds(t.plays(), _staged_credits(t), t.resolution()), t.edges(), t.resolution(), _staged_credits(t))
-    recs = out.recommend(t.staged("shortlist", lambda: near), t.candidate_tags(), out.taste_vector(_staged_trends(t)))
-    return pl.gap_candidates(recs, t.plays(), t.candidate_tags(), specs)
+    return pl.gap_candidates(_recommend(t), t.log(), t.candidate_tags(), specs)
 
 
 def _chosen(t, specs):
