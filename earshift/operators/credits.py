@@ -56,12 +56,20 @@ def title_performers(title: Column, album_artist: Column) -> Column:
 
 
 def track_rollup(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per track; the names are the lowest ones, so reruns agree."""
-    return plays.groupBy(*by, "track_uri").agg(
+    """One row per track; the names are the lowest ones, so reruns agree.
+
+    The log is folded on the names themselves first: that step can hash, while
+    the lowest of several strings needs a sort, which then runs on few rows.
+    """
+    names = ["track_name", "artist_name", "track_artists"]
+    spellings = plays.groupBy(*by, "track_uri", *names).agg(
+        F.sum("played_seconds").alias("played_seconds"), F.count(F.lit(1)).alias("n_plays")
+    )
+    return spellings.groupBy(*by, "track_uri").agg(
         F.min("track_name").alias("track_name"),
         F.min("artist_name").alias("album_artist"),
         F.sum("played_seconds").alias("played_seconds"),
-        F.count(F.lit(1)).alias("n_plays"),
+        F.sum("n_plays").alias("n_plays"),
         F.max("track_artists").alias("listed"),
     )
 

@@ -87,10 +87,15 @@ def reconcile(plays_raw: DataFrame, polled: DataFrame, by: Sequence[str] = ()) -
 def polled_after_export(plays_raw: DataFrame, polled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     if by:
         cutoffs = plays_raw.groupBy(*by).agg(F.max("ts").alias("_cutoff"))
-        dated = polled.join(cutoffs, list(by), "left")
+        dated = polled.join(cutoffs, list(by), "left").withColumn("_cutoff", _or_earliest(F.col("_cutoff")))
     else:
-        dated = with_group_value(polled, plays_raw, (), F.max("ts"), "_cutoff")
-    return dated.where(F.col("_cutoff").isNull() | (F.col("ts") > F.col("_cutoff"))).drop("_cutoff")
+        dated = with_group_value(polled, plays_raw, (), _or_earliest(F.max("ts")), "_cutoff")
+    return dated.where(F.col("ts") > F.col("_cutoff")).drop("_cutoff")
+
+
+def _or_earliest(cutoff: Column) -> Column:
+    """No export at all: every polled row is later."""
+    return F.coalesce(cutoff, F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def reconcile_stats(plays_raw: DataFrame, polled: DataFrame, by: Sequence[str] = ()) -> DataFrame:

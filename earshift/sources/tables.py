@@ -74,15 +74,13 @@ def write_table(
     """ZSTD Parquet.  A rerun gives the same rows, not the same bytes; pass
     ``order`` only for small tables that need a total row order.
 
-    Partitioned tables are shuffled to their partitions first, with the other
-    columns as salt, so a large partition is spread over several files.
+    Partitioned tables are rebalanced on their partition columns: adaptive
+    execution joins small partitions and splits a large one over several files.
     """
     if order is not None:
         df = df.orderBy(*order)
     elif partition_by:
-        rest = [c for c in df.columns if c not in partition_by]
-        salt = F.pmod(F.xxhash64(*rest), F.lit(16)) if rest else F.lit(0)
-        df = df.repartition(*partition_by, salt)
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode).option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic" if mode == "overwrite" else "static")

@@ -160,7 +160,7 @@ def replace_months(rows: DataFrame, path: str, staging: str, months: DataFrame |
         for r in months.collect():
             if r[0] not in kept:
                 drop_month(spark, path, r[0])
-    staged.repartition("month").write.mode("overwrite").option("compression", "zstd").option(
+    staged.hint("rebalance", "month").write.mode("overwrite").option("compression", "zstd").option(
         "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshift.functions.frames import rounded
-from earshift.functions.text import fold_name, pretty, tag_family, title_key
+from earshift.functions.text import pretty, sentence, tag_family
 from earshift.operators import (
     consolidate as con,
     credits as crd,
@@ -26,6 +26,7 @@ from earshift.operators import (
     trends as tr,
 )
 from earshift.plans import feeds
+from earshift.sources import logs, payloads
 from earshift.sources.tables import work_dir
 from earshift.streaming import live
 
@@ -729,7 +730,7 @@ def song_keys(t):
                    ORDER BY sum(tag_seconds) DESC, tag LIMIT 8) THEN tag ELSE 'Other' END AS band
         FROM trd WHERE variant = 'with_features') GROUP BY ALL""")
 def stacked_bands(t):
-    return rounded(feeds.stacked_bands(t.trends()), value=9)
+    return rounded(feeds.stacked_bands(_trends(t)), value=9)
 
 
 PIVOT_TAGS = ("hip hop", "house", "techno", "soul", "ambient")
@@ -747,7 +748,7 @@ def trend_pivot(t):
       AND tag IN (SELECT tag FROM trd WHERE variant = 'with_features' GROUP BY tag HAVING sum(tag_seconds) / 3600 >= 10)""")
 def dashboard_slice(t):
     import datetime
-    d = feeds.dashboard_slice(t.trends(), low=datetime.date(2000, 1, 1))
+    d = feeds.dashboard_slice(_trends(t), low=datetime.date(2000, 1, 1))
     return rounded(d, share=9).select("variant", "tag", "month", "share")
 
 
@@ -771,6 +772,119 @@ def forecast_text(t):
                      percent(F.col("share_future")).alias("projected"))
 
 
+@query("raw crd wts", """
+    SELECT tag, round(sum(tag_weight * skip) / sum(tag_weight), 9) AS skip_rate
+    FROM (SELECT track_uri, ms_played, (coalesce(skipped OR reason_end = 'fwdbtn', false))::INT AS skip FROM raw
+          WHERE content_type = 'music') m
+    JOIN crd ON crd.track_uri = m.track_uri AND credit_type = 'album_artist'
+    JOIN wts ON wts.artist_name = crd.artist_name GROUP BY tag
+    HAVING sum(tag_weight) >= 50 AND sum(ms_played / 1000 * tag_weight) / 3600 >= 20
+    ORDER BY sum(tag_weight * skip) / sum(tag_weight) DESC, tag LIMIT 15""")
+def skip_chart(t):
+    d = feeds.skip_chart(met.skip_rate(t.plays_raw(), t.credits(), t.weights()))
+    return rounded(d, skip_rate=9).select("tag", "skip_rate")
+
+
+@query("tags", """SELECT DISTINCT tag, CASE tag WHEN 'uk garage' THEN 'UK garage' ELSE tag END AS label,
+    upper(left(tag, 1)) || substr(tag, 2) AS heading FROM tags""")
+def display_names(t):
+    tag = F.col("tag")
+    return t.artist_tags().select("tag").distinct().select("tag", pretty(tag).alias("label"), sentence(tag).alias("heading"))
+
+
+# ---- payloads and logs ----------------------------------------------------
+
+def _names(c):
+    return F.transform(c, lambda n: F.struct(n.alias("name")))
+
+
+@query("polled", """SELECT ts, artist_name, track_name, album_name, track_uri, track_artists, ms_played,
+    true AS ms_played_estimated, 'poll' AS source_kind FROM polled""")
+def polled_payload(t):
+    """One recently-played page per play, flattened again."""
+    artists = F.transform(F.split("track_artists", "\u001f"), lambda n: F.struct(n.alias("name")))
+    page = F.array(F.struct(
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("played_at"),
+        F.struct(F.col("track_uri").alias("uri"), F.col("track_name").alias("name"), F.col("ms_played").alias("duration_ms"),
+                 artists.alias("artists"), F.struct(F.col("album_name").alias("name"), F.array(
+                     F.struct(F.col("artist_name").alias("name"))).alias("artists")).alias("album")).alias("track"),
+        F.struct(F.lit("album").alias("type")).alias("context"))).alias("items")
+    return payloads.recently_played(t.polled().select(page)).select(
+        "ts", "artist_name", "track_name", "album_name", "track_uri", "track_artists", "ms_played",
+        "ms_played_estimated", "source_kind")
+
+
+@query("items", "SELECT source, track_uri, track_name, array_to_string(artists, '|') AS artists, count(*) AS n FROM items GROUP BY ALL")
+def playlist_payload(t):
+    """One playlist page per item, flattened again."""
+    page = F.array(F.struct(F.col("added_at"), F.struct(
+        F.col("track_uri").alias("uri"), F.col("track_name").alias("name"), _names(F.col("artists")).alias("artists")).alias("item")))
+    rows = payloads.playlist_items(t.playlist_items().select("source", page.alias("items")))
+    return rows.groupBy("source", "track_uri", "track_name", F.array_join("artists", "|").alias("artists")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("edge", "SELECT seed_mbid, mbid, name, score, comment FROM edge")
+def similar_payload(t):
+    entry = F.array(F.struct(F.col("mbid").alias("artist_mbid"), "name", "score", "comment"))
+    return payloads.similar_artists(t.edges().select("seed_mbid", entry.alias("similar")))
+
+
+@query("art", f"""
+    SELECT mbid, {genre('nation + k')} AS tag, CAST(k AS BIGINT) AS "count" FROM art, (SELECT unnest(range(3)) AS k)
+    WHERE bal >= 0 OR {genre('nation + k')} IN (SELECT {genre('n_nationkey')} FROM nation)""")
+def lookup_payload(t):
+    """Curated genres for artists in credit; raw tags, with one unknown, for the rest."""
+    tag = lambda k: F.struct(F.initcap(t.genre(F.col("nation") + k)).alias("name"), F.lit(k).cast("bigint").alias("count"))
+    three = [tag(k) for k in range(3)]
+    empty = F.array().cast("array<struct<name:string,count:bigint>>")
+    odd = F.struct(F.lit("nonsense").alias("name"), F.lit(-4).cast("bigint").alias("count"))
+    records = t.artists().select(
+        "mbid", F.when(F.col("s_acctbal") >= 0, F.array(*three)).otherwise(empty).alias("genres"),
+        F.array(*three, odd).alias("tags"))
+    return payloads.lookup_tags(records, t.vocabulary())
+
+
+@query("", """SELECT DISTINCT ON (l_partkey) l_partkey, l_shipdate, l_orderkey, l_linenumber FROM lineitem
+    ORDER BY l_partkey, l_shipdate DESC, l_orderkey DESC, l_linenumber DESC""")
+def log_latest(t):
+    """Last record per part of the line table read as an append-only log."""
+    seq = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    log = t.read("lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", seq.alias("seq"))
+    return logs.latest_per_key(log, ["l_partkey"]).drop("seq")
+
+
+@query("raw polled", "SELECT max(ts) AS last_ts FROM (SELECT ts FROM raw UNION ALL SELECT ts FROM polled)")
+def last_seen(t):
+    return prof.last_seen(t.plays_raw(), t.polled())
+
+
+@query("raw polled", """
+    SELECT track_uri, coalesce(a, '') AS track_artists, count(*) AS n FROM raw LEFT JOIN (
+        SELECT track_uri, max(track_artists) AS a FROM polled GROUP BY 1) USING (track_uri) GROUP BY ALL""")
+def credit_repair(t):
+    """All rows of a track take the performer list learned on any polled play."""
+    repaired = live.with_listed_artists(t.plays_raw(), live.listed_artists(t.polled()))
+    return repaired.groupBy("track_uri", F.coalesce("track_artists", F.lit("")).alias("track_artists")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("raw", "SELECT 2 * count(*) AS rows_read, (SELECT count(*) FROM (SELECT DISTINCT "
+       + ", ".join(CONTENT) + " FROM raw)) AS raw_rows FROM raw")
+def duplicates_dropped(t):
+    once = t.plays_raw().select(*CONTENT, "source_file")
+    twice = once.unionByName(once)
+    return prof.duplicates_dropped(twice, ev.dedupe_events(twice, CONTENT)).drop("duplicates")
+
+
+@query("res art", """SELECT artist_name, status FROM res
+    UNION ALL SELECT artist_name, 'shared' FROM art WHERE artist_name NOT IN (SELECT artist_name FROM res)""")
+def first_known(t):
+    """The library's own answers, then a shared cache of every artist."""
+    shared = t.artists().select("artist_name", F.lit("shared").alias("status"))
+    return res.first_known([t.resolution().select("artist_name", "status"), shared])
+
+
 # ---- quality --------------------------------------------------------------
 
 @query("split wts tm", """
