@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,20 +18,30 @@ DROPPED_WORDS = r"\b(?:the|and)\b"
 NOT_KEY_CHARS = r"[^a-z0-9]+"
 
 
-def _unaccent(name: str) -> str:
-    decomposed = unicodedata.normalize("NFKD", name)
-    return "".join(c for c in decomposed if not unicodedata.combining(c)).casefold()
+def _unicode_fold():
+    """The Arrow function for names outside ASCII.
 
+    Built in a function and free of other names of this module, so it travels by
+    value: workers need neither this package nor Spark's Python functions.  Word
+    removal stays inside: Python's word boundary knows every script.
+    """
+    dropped, not_key = DROPPED_WORDS, NOT_KEY_CHARS
+
+    def fold(names: pd.Series) -> pd.Series:
+        if names.isna().all():
+            return names
+
+        import re
+        import unicodedata
+
+        def key(name):
+            decomposed = unicodedata.normalize("NFKD", name)
+            text = "".join(c for c in decomposed if not unicodedata.combining(c)).casefold()
+            return re.sub(not_key, "", re.sub(dropped, "", text))
 
-@F.pandas_udf(T.StringType())
-def _fold_unicode(names: pd.Series) -> pd.Series:
-    """Word removal stays here too: Python's word boundary knows every script."""
-    def fold(name):
-        if name is None:
-            return None
-        return re.sub(NOT_KEY_CHARS, "", re.sub(DROPPED_WORDS, "", _unaccent(name)))
+        return names.map(key, na_action="ignore")
 
-    return names.map(fold, na_action="ignore")
+    return F.pandas_udf(fold, T.StringType())
 
 
 def fold_name(name: Column) -> Column:
@@ -46,7 +55,19 @@ def fold_name(name: Column) -> Column:
     ascii_key = F.regexp_replace(
         F.regexp_replace(F.lower(plain), DROPPED_WORDS, ""), NOT_KEY_CHARS, ""
     )
-    return F.when(is_ascii, ascii_key).otherwise(_fold_unicode(F.when(~is_ascii, plain)))
+    return F.when(is_ascii, ascii_key).otherwise(_unicode_fold()(F.when(~is_ascii, plain)))
+
+
+def with_folded(df: DataFrame, **keys: str) -> DataFrame:
+    """Add ``key=column`` folded keys by folding each distinct value once.
+
+    Worth it where rows outnumber names.  NULL counts as ''.
+    """
+    for key, column in keys.items():
+        named = df.withColumn("_name", F.coalesce(column, F.lit("")))
+        names = named.select("_name").distinct().withColumn(key, fold_name(F.col("_name")))
+        df = named.join(names, "_name").drop("_name")
+    return df
 
 
 def title_key(title: Column) -> Column:

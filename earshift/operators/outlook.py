@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import null_if_zero, ratio, shared_keys, top_k, trailing_months
-from ..functions.text import fold_name
+from ..functions.text import fold_name, with_folded
 from ..params import DEFAULTS, Params
 from .trends import latest_slice
 
@@ -68,15 +68,13 @@ def candidates(
     """
     known_ids = resolution.where(F.col("mbid").isNotNull()).select("mbid").distinct()
     who = shared_keys(credits, by, "artist_name")
+    # No second distinct after folding: Spark would drop the first one and fold
+    # every row, and an anti join does not mind repeats.
     known_names = credits.select(*who).distinct().select(
         *who[:-1], fold_name(F.col("artist_name")).alias("name_key")
-    ).distinct()
-    near = (
-        edges.join(seeds, "seed_mbid")
-        .join(known_ids, "mbid", "left_anti")
-        .withColumn("name_key", fold_name(F.col("name")))
-        .join(known_names, known_names.columns, "left_anti")
     )
+    fresh = edges.join(seeds, "seed_mbid").join(known_ids, "mbid", "left_anti")
+    near = with_folded(fresh, name_key="name").join(known_names, known_names.columns, "left_anti")
     per_seed = near.groupBy(*by, "mbid", "seed_rank", F.col("artist_name").alias("seed")).agg(
         F.sum(F.col("score") * F.col("weight")).alias("part"), F.count(F.lit(1)).alias("n"),
         F.max("score").alias("near"),

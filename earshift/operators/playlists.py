@@ -74,7 +74,7 @@ def gap_candidates(
     """Recommended strangers that carry any tag of the spec, once per spec."""
     library = plays.where(F.col("artist_name").isNotNull()).select(*by, "artist_name").distinct().select(
         *by, fold_name(F.col("artist_name")).alias("name_key")
-    ).distinct()
+    )
     serving = candidate_tags.join(spec_tags(specs), "tag").select("label", "mbid").distinct()
     strangers = recommendations.select(*by, "artist_name", "mbid", "score").withColumn(
         "name_key", fold_name(F.col("artist_name"))
@@ -84,13 +84,20 @@ def gap_candidates(
 
 def credited_tracks(artist_tracks: DataFrame) -> DataFrame:
     """Found tracks on which the requested artist is really credited, featured
-    credits included; tracks without a uri are dropped."""
-    named = artist_tracks.where(F.col("track_uri").isNotNull()).select(
-        "artist_name", "rank", "track_name", "track_uri", F.explode("artists").alias("credit")
-    ).withColumn("name_key", fold_name(F.col("artist_name")))
-    return named.where(fold_name(F.col("credit")) == F.col("name_key")).select(
-        "name_key", "artist_name", "rank", "track_name", "track_uri"
-    ).distinct()
+    credits included; tracks without a uri are dropped.
+
+    Each requested name gets the list of credit spellings that fold to its key,
+    so the tracks themselves are neither exploded nor folded.
+    """
+    usable = artist_tracks.where(F.col("track_uri").isNotNull())
+    credits = usable.select(F.explode("artists").alias("credit")).distinct().withColumn(
+        "name_key", fold_name(F.col("credit")))
+    requested = usable.select("artist_name").distinct().withColumn(
+        "name_key", fold_name(F.col("artist_name")))
+    spellings = requested.join(credits, "name_key").groupBy("artist_name", "name_key").agg(
+        F.collect_set("credit").alias("_spellings"))
+    return usable.join(spellings, "artist_name").where(F.arrays_overlap("artists", "_spellings")).select(
+        "name_key", "artist_name", "rank", "track_name", "track_uri")
 
 
 def choose_tracks(
@@ -98,19 +105,29 @@ def choose_tracks(
     params: Params = DEFAULTS, by: Sequence[str] = (),
 ) -> DataFrame:
     """Up to ``tracks_per_artist`` songs per candidate, on-genre ones first,
-    search order within, editions of one song folded before the cap."""
-    on_genre = genre_recordings.join(spec_tags(specs), "tag").select(
-        "label", F.col("artist_mbid").alias("mbid"), title_key(F.col("title")).alias("song")
-    ).where(F.col("song") != "").distinct().withColumn("_hit", F.lit(True))
-    found = tracks.select("name_key", "rank", "track_name", "track_uri").withColumn(
-        "song", title_key(F.col("track_name"))
-    )
+    search order within, editions of one song folded before the cap.
+
+    Titles are folded for the candidates' own tracks and recordings only.
+    """
     one = [*by, "label", "mbid"]
+    wanted = candidates.select("label", "mbid").distinct()
+    on_genre = (
+        genre_recordings.withColumnRenamed("artist_mbid", "mbid")
+        .join(spec_tags(specs), "tag").join(wanted, ["label", "mbid"])
+        .select("label", "mbid", "title").distinct()
+        .select("label", "mbid", title_key(F.col("title")).alias("song"))
+        .where(F.col("song") != "")
+        # Counting keeps the distinct above in place: Spark would drop it below
+        # a second distinct and fold every row.
+        .groupBy("label", "mbid", "song").agg(F.count(F.lit(1)).alias("_hits"))
+    )
+    found = candidates.select(*one, "artist_name", "score", "name_key").join(
+        tracks.select("name_key", "rank", "track_name", "track_uri"), "name_key"
+    ).withColumn("song", title_key(F.col("track_name")))
     songs = first_per_key(
-        candidates.select(*one, "artist_name", "score", "name_key").join(found, "name_key"),
-        [*one, "song"], [F.col("rank"), F.col("track_uri")],
+        found, [*one, "song"], [F.col("rank"), F.col("track_uri")]
     ).join(on_genre, ["label", "mbid", "song"], "left").withColumn(
-        "genre_matched", F.col("_hit").isNotNull()
+        "genre_matched", F.col("_hits").isNotNull()
     )
     order = [F.desc("genre_matched"), F.asc("rank"), F.asc("track_uri")]
     return top_k(songs, one, order, params.tracks_per_artist, rank="choice").select(

@@ -577,12 +577,13 @@ def _anchors(t, specs):
 
 
 def _gap_candidates(t, specs):
-    return pl.gap_candidates(_recommend(t), t.log(), t.candidate_tags(), specs)
+    return t.staged("gap_candidates", lambda: pl.gap_candidates(
+        _recommend(t), t.log(), t.candidate_tags(), specs))
 
 
 def _chosen(t, specs):
     return pl.choose_tracks(
-        _gap_candidates(t, specs), pl.credited_tracks(t.artist_tracks()), t.genre_recordings(), specs)
+        _gap_candidates(t, specs), pl.credited_tracks(t.staged("artist_tracks", t.artist_tracks)), t.genre_recordings(), specs)
 
 
 @query("spec", "SELECT label FROM spec")
@@ -604,7 +605,7 @@ def gap_candidates(t):
 @query("supplied", f"""SELECT DISTINCT {fold('supplier')} AS name_key, supplier AS artist_name, l_partkey AS rank,
     track_name, track_uri FROM supplied WHERE track_uri IS NOT NULL AND (l_partkey % 2 = 0 OR supplier = artist_name)""")
 def credited_tracks(t):
-    return pl.credited_tracks(t.artist_tracks())
+    return pl.credited_tracks(t.staged("artist_tracks", t.artist_tracks))
 
 
 @query("chosen", """SELECT label, mbid, artist_name, CAST(choice AS INTEGER) AS choice, track_name, track_uri,
