@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import first_per_key
-
 SEPARATOR = "\u001f"
 
 
@@ -108,8 +106,3 @@ def lookup_tags(records: DataFrame, vocabulary: DataFrame | None = None) -> Data
         empty = ~F.coalesce(known.agg(F.count(F.lit(1)) > 0).scalar(), F.lit(False))
         rows = rows.join(known, "tag", "left").where(F.col("curated") | F.col("_known").isNotNull() | empty)
     return rows.select("mbid", "tag", "count")
-
-
-def latest_polled(polled: DataFrame) -> DataFrame:
-    key = ["ts", "track_uri"]
-    return first_per_key(polled, key, [F.col(c) for c in polled.columns if c not in key])
