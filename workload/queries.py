@@ -217,15 +217,15 @@ def credit_split(t):
         "_v.variant", "month", "artist_name", F.round("_v.tag_seconds", 7).alias("credited_seconds"))
 
 
-@query("tm", "SELECT variant, month, tag, round(tag_seconds, 4) AS tag_seconds, n_artists FROM tm")
+@query("tm", "SELECT variant, month, tag, round(tag_seconds, 5) AS tag_seconds, n_artists FROM tm")
 def tag_month(t):
-    return rounded(tr.tag_month(t.plays(), t.credits(), t.weights()), tag_seconds=4)
+    return rounded(tr.tag_month(t.plays(), t.credits(), t.weights()), tag_seconds=5)
 
 
-@query("shr", """SELECT variant, tag, month, CAST(i AS INTEGER) AS month_idx, round(tag_seconds, 4) AS tag_seconds,
+@query("shr", """SELECT variant, tag, month, CAST(i AS INTEGER) AS month_idx, round(tag_seconds, 5) AS tag_seconds,
     n_artists FROM shr""")
 def tag_grid(t):
-    return rounded(tr.tag_grid(t.plays(), t.credits(), t.weights()), tag_seconds=4).drop("n_months")
+    return rounded(tr.tag_grid(t.plays(), t.credits(), t.weights()), tag_seconds=5).drop("n_months")
 
 
 @query("shr", "SELECT variant, tag, month, round(share, 9) AS share FROM shr")
@@ -249,11 +249,11 @@ def tag_slopes(t):
 
 
 TREND_ROUND = dict(
-    share=9, smoothed_share=9, tag_seconds=4, slope=9, slope_pp_per_year=6, rel_change_per_year=6, mean_recent_share=9)
+    share=9, smoothed_share=9, tag_seconds=5, slope=9, slope_pp_per_year=6, rel_change_per_year=6, mean_recent_share=9)
 
 
 @query("trd", """SELECT variant, tag, month, round(share, 9) AS share, round(smoothed_share, 9) AS smoothed_share,
-    round(tag_seconds, 4) AS tag_seconds, n_artists, round(slope, 9) AS slope,
+    round(tag_seconds, 5) AS tag_seconds, n_artists, round(slope, 9) AS slope,
     round(slope_pp_per_year, 6) AS slope_pp_per_year, round(rel_change_per_year, 6) AS rel_change_per_year,
     round(mean_recent_share, 9) AS mean_recent_share, trend_class FROM trd""")
 def tag_trends(t):
