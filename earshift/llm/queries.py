@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagmin, bpe, chat, mixing, radix, rules, shards
+from . import bagmin, bpe, chat, mixing, radix, rules, shards, suffix
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -41,6 +41,10 @@ def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagmin.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.plan(read(spark, sf_dir, "documents"), 40)
 
@@ -64,5 +68,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_rules, op2_byte_bpe, op3_exact_dedup, op4_bag_minhash, op8_shards, op9_source_mix, op10_chat_format)
+        op1_quality_rules, op2_byte_bpe, op3_exact_dedup, op4_bag_minhash, op7_suffix_dedup, op8_shards, op9_source_mix, op10_chat_format)
 }

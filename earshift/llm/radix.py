@@ -51,7 +51,9 @@ def partition(df: DataFrame, text: str = "text", doc_id: str = "doc_id", first:
         groups = materialise(counts.withColumn("next", F.monotonically_increasing_id()), f"groups{k}", base)
         g = groups.select(F.col("part").alias("_p"), F.col("head").alias("_h"), F.col("more").alias("_m"), "n", "keep_id", "next")
         met = F.col("part").eqNullSafe(F.col("_p")) & (F.col("head") == F.col("_h")) & (F.col("more") == F.col("_m"))
-        split = cut.join(g, met, "left")
+        # a merge join at every size: it splits a large group, and one broadcast
+        # would have to hold every group's next bytes
+        split = cut.join(g.hint("merge"), met, "left")
         goes_on = F.col("n").isNotNull() & F.col("more")
         split = split.select(
             "doc_id", "sha", F.when(goes_on, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
