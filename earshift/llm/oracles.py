@@ -84,3 +84,69 @@ FROM c GROUP BY conv_id
 """
 
 ORACLES = {"op1_quality_rules": RULES_SQL, "op3_exact_dedup": EXACT_SQL, "op9_source_mix": MIX_SQL, "op10_chat_format": CHAT_SQL}
+
+
+def _urls() -> str:
+    from .urls import BIN, BINS, MICRO, ORDER, PAD, PARTS, SIGNS
+    from .urls import RULES as url_rules
+
+    rule = says = "NULL"
+    for text, verdict in sorted(url_rules, key=lambda r: (len(r[0]), r[0])):
+        h, slash, p = text.partition("/")
+        fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{slash}{p}')"
+        rule, says = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {says} END"
+    names = [f"{c}_{f}" for c, f in PARTS]
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    cond = {f"{c}_{f}": f"verdict = '{'allow' if c == 'a' else 'block'}'" + ("" if f == "all" else f" AND fold <> {f[-1]}") for c, f in PARTS}
+    ctes = [f"p AS (SELECT gram, {', '.join(f'{1.0 / SIGNS!r}::DOUBLE AS p_{x}' for x in names)} FROM g)"]
+    last = "p"
+    for k in range(ORDER + 1):
+        tail = f"substr(gram, {ORDER + 1 - k}, {k + 1})"
+        ctes.append(f"n{k} AS (SELECT {tail} AS gg, {', '.join(f'sum({x}) AS n_{x}' for x in names)} FROM g GROUP BY 1)")
+        ctes.append(f"c{k} AS (SELECT substr(gg, 1, {k}) AS cc, {', '.join(f'sum(n_{x}) AS s_{x}, count(*) FILTER (n_{x} > 0) AS t_{x}' for x in names)} FROM n{k} GROUP BY 1)")
+        blend = ", ".join(f"CASE WHEN s_{x} + t_{x} > 0 THEN (n_{x}::DOUBLE + t_{x} * p_{x}) / (s_{x} + t_{x})::DOUBLE ELSE p_{x} END AS p_{x}" for x in names)
+        ctes.append(f"p{k} AS (SELECT gram, {blend} FROM {last} JOIN n{k} ON {tail} = gg JOIN c{k} ON substr(gg, 1, {k}) = cc)")
+        last = f"p{k}"
+    return f"""
+WITH a AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, url, coalesce({low.format("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+             '{PAD * ORDER}' || regexp_replace(regexp_replace({low.format("coalesce(CASE WHEN instr(url, '://') > 0 THEN rest ELSE url END, '')")},
+               '[0-9]', '0', 'g'), '[^a-z0./\\-_?]', '~', 'g') AS signs,
+             ascii(substr(md5(coalesce(url, '')), 1, 1)) % 2 AS fold FROM a),
+u AS (SELECT url, host, path, signs, fold, count(*) AS weight, {rule} AS rule, {says} AS verdict FROM b GROUP BY ALL),
+s AS (SELECT url, fold, weight, verdict, substr(signs, pos::INT, {ORDER + 1}) AS gram
+      FROM (SELECT *, unnest(range(1, length(signs) - {ORDER} + 1)) AS pos FROM u)),
+g AS (SELECT gram, {', '.join(f'coalesce(sum(weight) FILTER ({cond[x]}), 0) AS {x}' for x in names)} FROM s GROUP BY gram),
+{', '.join(ctes)},
+m AS (SELECT gram, {', '.join(f'round((ln(p_a_{f}) - ln(p_r_{f})) * {MICRO})::BIGINT AS llr_{f}' for f in ("all", "not0", "not1"))} FROM {last}),
+t AS (SELECT url, sum(llr_all) AS llr, sum(CASE WHEN fold = 0 THEN llr_not0 ELSE llr_not1 END) AS held, count(*) AS n FROM s JOIN m USING (gram) GROUP BY url),
+f AS (SELECT u.*, coalesce(floor(llr::DOUBLE / n / {BIN}), 0) AS bin, coalesce(floor(held::DOUBLE / n / {BIN}), 0) AS held_bin
+      FROM u LEFT JOIN t ON u.url IS NOT DISTINCT FROM t.url),
+h AS (SELECT greatest(-{BINS}, least({BINS}, held_bin)) AS bin, coalesce(sum(weight) FILTER (verdict = 'allow'), 0) AS a,
+             coalesce(sum(weight) FILTER (verdict = 'block'), 0) AS r FROM f WHERE verdict IS NOT NULL GROUP BY 1),
+w AS (SELECT bin, sum(a) OVER () - coalesce(sum(a) OVER o, 0) AS kept, coalesce(sum(r) OVER o, 0) AS gone, sum(a) OVER () AS na, sum(r) OVER () AS nr
+      FROM h WINDOW o AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT arg_max(bin, (kept * nr + gone * na, -bin)) AS cut FROM w WHERE na > 0 AND nr > 0)
+SELECT page_id, f.host, f.path, f.rule, coalesce(f.verdict, CASE WHEN bin >= coalesce(cut, -{BINS + 1}) THEN 'allow' ELSE 'block' END) AS verdict
+FROM b JOIN f ON b.url IS NOT DISTINCT FROM f.url, z
+"""
+
+
+REPEATS_SQL = f"""
+WITH d AS (SELECT doc_id, encode({TEXT}) AS b FROM documents),
+x AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n FROM d),
+p AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS pos FROM x)),
+q AS (SELECT doc_id, pos, doc_id > min(doc_id) OVER (PARTITION BY win) AS hit FROM p),
+y AS (SELECT doc_id, unnest(range(0, n)) AS pos, h FROM x),
+c AS (SELECT y.doc_id, y.pos, substr(h, 2 * y.pos + 1, 2) AS byte,
+             coalesce(max(hit::INT) OVER (PARTITION BY y.doc_id ORDER BY y.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+      FROM y LEFT JOIN q ON y.doc_id = q.doc_id AND y.pos = q.pos),
+e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 AS opens FROM c),
+r AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY pos) FILTER (gone = 0), '') AS kept
+      FROM e GROUP BY doc_id)
+SELECT x.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM x LEFT JOIN r USING (doc_id)
+"""
+
+ORACLES |= {"op5_url_model": _urls(), "op7_suffix_dedup": REPEATS_SQL}
