@@ -133,20 +133,4 @@ FROM b JOIN f ON b.url IS NOT DISTINCT FROM f.url, z
 """
 
 
-REPEATS_SQL = f"""
-WITH d AS (SELECT doc_id, encode({TEXT}) AS b FROM documents),
-x AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n FROM d),
-p AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS pos FROM x)),
-q AS (SELECT doc_id, pos, doc_id > min(doc_id) OVER (PARTITION BY win) AS hit FROM p),
-y AS (SELECT doc_id, unnest(range(0, n)) AS pos, h FROM x),
-c AS (SELECT y.doc_id, y.pos, substr(h, 2 * y.pos + 1, 2) AS byte,
-             coalesce(max(hit::INT) OVER (PARTITION BY y.doc_id ORDER BY y.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
-      FROM y LEFT JOIN q ON y.doc_id = q.doc_id AND y.pos = q.pos),
-e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 AS opens FROM c),
-r AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY pos) FILTER (gone = 0), '') AS kept
-      FROM e GROUP BY doc_id)
-SELECT x.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM x LEFT JOIN r USING (doc_id)
-"""
-
-ORACLES |= {"op5_url_model": _urls(), "op7_suffix_dedup": REPEATS_SQL}
+ORACLES |= {"op5_url_model": _urls()}
