@@ -281,8 +281,8 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: f
     """The row that stays of each class, with its own columns."""
     found = materialise(classes(df, text, doc_id, least), "classes", work_dir(df.sparkSession))
     got = found.where("kept").select(F.col("id").alias("_i"), F.col("th").alias("_t"))
-    t = F.xxhash64(whole(F.col(f"`{text}`")))
-    out = df.withColumn("_th", t).join(got, F.col(f"`{doc_id}`").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left_semi")
+    rows = df.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(whole(F.col(f"`{text}`"))).alias("th"))
+    out = rows.join(got, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left_semi")
     if not found.groupBy("id", "th").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([doc_id, "_th"])  # rows that repeat an id and its text: one of them
-    return out.select(*df.columns)
+        out = out.dropDuplicates(["id", "th"])  # rows that repeat an id and its text: one of them
+    return out.select("row.*")

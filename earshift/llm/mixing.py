@@ -144,15 +144,15 @@ def mixed_table(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: floa
     (with n_chars, if there is such a column, counted again)."""
     spark = df.sparkSession
     base = work_dir(spark)
-    own = df.columns
-    kept = materialise(df.withColumn("_uid", F.monotonically_increasing_id()), "rows", base)
-    light = materialise(kept.select(F.col("_uid").alias("uid"), "doc_id", "source", n_words(whole("text")).alias("size")), "light", base)
-    _, pieces = mix(light, weights, share, most, block)
-    takes = pieces.groupBy("uid", "epoch").agg(F.max("to_word").alias("_to")).select(F.col("uid").alias("_u"), "_to")
-    out = kept.join(takes, F.col("_uid") == F.col("_u"))
-    first = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), F.col("_to") - 1, F.lit(r"}[^\x20\x09-\x0D]+"))
-    cut = F.when(F.col("_to") >= n_words(F.col("text")), F.col("text")).otherwise(F.regexp_substr("text", first))
-    out = out.withColumn("text", cut)
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*own)
+    kept = materialise(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid")), "rows", base)
+    text = F.col("row.text")
+    light = kept.select("uid", "row.doc_id", "row.source", n_words(whole(text)).alias("size"))
+    _, pieces = mix(materialise(light, "light", base), weights, share, most, block)
+    takes = pieces.groupBy("uid", "epoch").agg(F.max("to_word").alias("to")).select(F.col("uid").alias("_u"), "to")
+    out = kept.join(takes, F.col("uid") == F.col("_u"))
+    first = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), F.col("to") - 1, F.lit(r"}[^\x20\x09-\x0D]+"))
+    cut = F.when(F.col("to") >= n_words(text), text).otherwise(F.regexp_substr(text, first))
+    row = F.col("row").withField("text", cut)
+    if "n_chars" in df.columns:
+        row = row.withField("n_chars", F.length(cut).cast(df.schema["n_chars"].dataType))
+    return out.select(row.alias("row")).select("row.*")

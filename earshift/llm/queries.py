@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagmin, bpe, chat, mixing, radix, rules, shards, suffix, urls
+from . import bagmin, bpe, chat, html, mixing, radix, rules, shards, suffix, urls
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -45,6 +45,10 @@ def op5_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -72,5 +76,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_rules, op2_byte_bpe, op3_exact_dedup, op4_bag_minhash, op5_url_model, op7_suffix_dedup, op8_shards, op9_source_mix, op10_chat_format)
+        op1_quality_rules, op2_byte_bpe, op3_exact_dedup, op4_bag_minhash, op5_url_model, op6_main_text, op7_suffix_dedup, op8_shards, op9_source_mix, op10_chat_format)
 }

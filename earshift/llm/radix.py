@@ -87,6 +87,8 @@ def partition(df: DataFrame, text: str = "text", doc_id: str = "doc_id", first:
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows that stay, with their own columns."""
-    rows = materialise(df.withColumn("_uid", F.monotonically_increasing_id()), "rows", work_dir(df.sparkSession))
-    stay = partition(rows, text, doc_id, uid="_uid").where("kept").select("_uid")
-    return rows.join(stay, "_uid", "left_semi").select(*df.columns)
+    rows = df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid"))
+    rows = materialise(rows, "rows", work_dir(df.sparkSession))
+    seen = rows.select(F.col(f"row.`{text}`").alias("text"), F.col(f"row.`{doc_id}`").alias("doc_id"), "uid")
+    stay = partition(seen, uid="uid").where("kept").select("uid")
+    return rows.join(stay, "uid", "left_semi").select("row.*")
