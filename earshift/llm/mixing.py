@@ -150,8 +150,9 @@ def mixed_table(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: floa
     _, pieces = mix(materialise(light, "light", base), weights, share, most, block)
     takes = pieces.groupBy("uid", "epoch").agg(F.max("to_word").alias("to")).select(F.col("uid").alias("_u"), "to")
     out = kept.join(takes, F.col("uid") == F.col("_u"))
-    first = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), F.col("to") - 1, F.lit(r"}[^\x20\x09-\x0D]+"))
-    cut = F.when(F.col("to") >= n_words(text), text).otherwise(F.regexp_substr(text, first))
+    # pieces are words with the white space before them
+    pieces_of = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.when(F.col("to") >= n_words(text), text).otherwise(F.array_join(F.slice(pieces_of, F.lit(1), F.col("to").cast("int")), ""))
     row = F.col("row").withField("text", cut)
     if "n_chars" in df.columns:
         row = row.withField("n_chars", F.length(cut).cast(df.schema["n_chars"].dataType))

@@ -34,7 +34,7 @@ def corpus():
              "x" * 5000, "y " * 4000, prose(4, 6000), shared + " " + prose(5, 50), prose(6, 40) + "\n" + shared, "line a b\nline a b\n\nline a b",
              "ÀÉ ß\u00a0x\u2003y", "#*$% |<> && word", prose(7, 12), "été\nété\r\nété", base[:200] + other[:200], "\x1c\x1d a"]
     rows = [(i, t, "en", f"s{i % 4}" if i % 5 else None, len(t or ""), "u", 1, 2) for i, t in enumerate(texts)]
-    rows.append((3, "one two", "en", "s1", 7, None, None, None))  # a row twice
+    rows.append((3, "one two", "en", "s3", 7, None, None, None))  # a row twice
     rows.append((None, other, None, "s1", None, None, None, None))
     rows.append((None, None, None, None, None, None, None, None))
     return rows
