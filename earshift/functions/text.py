@@ -37,7 +37,8 @@ def _unicode_fold():
         def key(name):
             decomposed = unicodedata.normalize("NFKD", name)
             text = "".join(c for c in decomposed if not unicodedata.combining(c)).casefold()
-            return re.sub(not_key, "", re.sub(dropped, "", text))
+            short = re.sub(not_key, "", re.sub(dropped, "", text))
+            return short or "".join(c for c in text if c.isalnum())
 
         return names.map(key, na_action="ignore")
 
@@ -47,14 +48,16 @@ def _unicode_fold():
 def fold_name(name: Column) -> Column:
     """Comparison key: accents, case, punctuation and the words the/and removed.
 
+    A name that loses everything so (another script, or dropped words alone)
+    keeps its letters and digits in any script, so strangers don't share a key.
     ASCII names are folded by Spark itself.  Spark has no Unicode decomposition,
-    so only the others carry a value into the Arrow function.  NULL folds to ''.
+    so only the others carry a value into the Arrow function.  NULL, and names without a letter or
+    digit, fold to ''.
     """
     plain = F.translate(F.coalesce(name, F.lit("")), STYLISED, PLAIN)
     is_ascii = plain.rlike(r"\A\p{ASCII}*\z")
-    ascii_key = F.regexp_replace(
-        F.regexp_replace(F.lower(plain), DROPPED_WORDS, ""), NOT_KEY_CHARS, ""
-    )
+    short = F.regexp_replace(F.regexp_replace(F.lower(plain), DROPPED_WORDS, ""), NOT_KEY_CHARS, "")
+    ascii_key = F.when(short != "", short).otherwise(F.regexp_replace(F.lower(plain), NOT_KEY_CHARS, ""))
     return F.when(is_ascii, ascii_key).otherwise(_unicode_fold()(F.when(~is_ascii, plain)))
 
 

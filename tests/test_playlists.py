@@ -13,28 +13,28 @@ JUNE, MAY, APRIL, OLD = dt.date(2026, 6, 1), dt.date(2026, 5, 1), dt.date(2026,
 @pytest.fixture
 def gaps(table):
     return table(
-        GAPS, ("dubstep", 0.0005, 30.0, 81, 0.91), ("classical", 0.00008, 6.4, 83, 0.78),
-        ("dance", 0.00003, 62.8, 231, 0.20), ("deep house", 0.00002, 8.2, 73, 0.19), ("wave", 0.00001, 2.0, 5, 0.50))
+        GAPS, ("bluegrass", 0.0007, 21.0, 64, 0.83), ("choral", 0.00012, 5.5, 47, 0.61),
+        ("ska", 0.00006, 40.2, 118, 0.33), ("tango", 0.00004, 9.1, 52, 0.24), ("drone", 0.00002, 1.5, 4, 0.45))
 
 
 @pytest.fixture
 def plays(table):
     return table(
         "artist_name string, track_name string, track_uri string, played_seconds double, month date",
-        ("Subtronics", "Griztronics", "uri:griz", 7200.0, JUNE), ("Subtronics", "Scream Saver", "uri:scream", 3600.0, MAY),
-        ("Subtronics", "Third Track", "uri:third", 1800.0, APRIL), ("Excision", "The Paradox", "uri:parad", 5400.0, JUNE),
-        ("Subtronics", "Ancient One", "uri:old", 9999.0, OLD), ("Drake", "Passionfruit", "uri:pass", 9000.0, JUNE),
-        ("Some Show", "Episode 12", None, 9999.0, JUNE), ("Fake Dubstep Act", "Not Really", "uri:fake", 8000.0, JUNE),
-        ("Folkie", "Quiet Song", "uri:folk", 1000.0, JUNE), ("Popper", "Bright Song", "uri:pop", 2000.0, JUNE))
+        ("Creek Union", "Mill Race", "w1", 6600.0, JUNE), ("Creek Union", "Weir", "w3", 3000.0, MAY),
+        ("Creek Union", "Ford", "w4", 1200.0, APRIL), ("Ridge Duo", "Switchback", "w2", 4800.0, JUNE),
+        ("Creek Union", "Long Ago", "w0", 9500.0, OLD), ("City Choir", "Anthem", "c1", 9200.0, JUNE),
+        ("Radio Hour", "Part 3", None, 9400.0, JUNE), ("No Votes", "Almost", "n1", 8800.0, JUNE),
+        ("Harbour", "Fog", "h1", 1500.0, JUNE), ("Kite", "Gust", "k1", 2700.0, JUNE))
 
 
 @pytest.fixture
 def artist_tags(table):
     return table(
         "artist_name string, tag string, tag_count int, is_genre boolean",
-        ("Subtronics", "dubstep", 5, True), ("Excision", "dubstep", 3, True), ("Drake", "hip hop", 4, True),
-        ("Some Show", "dubstep", 9, False), ("Fake Dubstep Act", "dubstep", 0, True),
-        ("Folkie", "indie folk", 2, True), ("Popper", "indie pop", 2, True), ("Popper", "indie folk", 2, True))
+        ("Creek Union", "bluegrass", 6, True), ("Ridge Duo", "bluegrass", 2, True), ("City Choir", "choral", 4, True),
+        ("Radio Hour", "bluegrass", 8, False), ("No Votes", "bluegrass", 0, True),
+        ("Harbour", "sea shanty", 3, True), ("Kite", "art folk", 3, True), ("Kite", "sea shanty", 3, True))
 
 
 def specs(table, *rows):
@@ -43,7 +43,7 @@ def specs(table, *rows):
 
 def test_specs_from_gaps(gaps):
     s = pl.playlist_specs(gaps)
-    assert column(s, "label", "spec_rank") == ["dubstep", "classical", "dance", "deep house"]
+    assert column(s, "label", "spec_rank") == ["bluegrass", "choral", "ska", "tango"]
     assert set(column(s, "pinned")) == {False}
 
 
@@ -54,13 +54,13 @@ def write(tmp_path, text):
 
 
 def test_specs_from_file(spark, tmp_path, gaps):
-    path = write(tmp_path, "﻿label,tags\ndubstep,dubstep|future bass|drum and bass\nheavy metal,\n"
-                           "# a comment row,ignored\n  indie  ,  indie pop  |  indie folk  \n,no label\n")
+    path = write(tmp_path, "﻿label,tags\nbluegrass,bluegrass|old time|string band\nskiffle,\n"
+                           "# a comment row,ignored\n  coast  ,  art folk  |  sea shanty  \n,no label\n")
     valid, rejected = overrides.playlist_overrides(spark, path)
     rows = pl.playlist_specs(gaps, valid).orderBy("spec_rank").collect()
     assert [(r.label, r.tags, r.pinned, r.n_artists) for r in rows] == [
-        ("dubstep", ["dubstep", "future bass", "drum and bass"], False, 81), ("heavy metal", ["heavy metal"], True, None),
-        ("indie", ["indie pop", "indie folk"], True, None)]
+        ("bluegrass", ["bluegrass", "old time", "string band"], False, 64), ("skiffle", ["skiffle"], True, None),
+        ("coast", ["art folk", "sea shanty"], True, None)]
     assert rejected.count() == 0
 
 
@@ -74,19 +74,19 @@ def test_specs_cap_and_empty_file(spark, tmp_path, gaps):
 
 
 def test_anchors(table, plays, artist_tags):
-    a = pl.anchor_tracks(plays, artist_tags, specs(table, ("d", ["dubstep"]), ("i", ["indie pop", "indie folk"])))
-    assert column(a.where("label = 'd'"), "track_uri", "anchor_rank") == ["uri:griz", "uri:parad", "uri:scream"]
+    a = pl.anchor_tracks(plays, artist_tags, specs(table, ("d", ["bluegrass"]), ("i", ["art folk", "sea shanty"])))
+    assert column(a.where("label = 'd'"), "track_uri", "anchor_rank") == ["w1", "w2", "w3"]
     # Two tags of the blend do not double an artist's time.
     rows = a.where("label = 'i'").orderBy("anchor_rank").collect()
-    assert [(r.artist_name, r.hours) for r in rows] == [("Popper", 2000 / 3600), ("Folkie", 1000 / 3600)]
+    assert [(r.artist_name, r.hours) for r in rows] == [("Kite", 0.75), ("Harbour", 1500 / 3600)]
 
 
 def test_candidates(table, plays):
-    recs = table("artist_name string, mbid string, score double", ("Virtual Riot", "vr", 0.9), ("SVDDEN DEATH", "sd", 0.8),
-                 ("Boring Artist", "ba", 0.7), ("SUBTRONICS!", "sub", 0.99), ("subtronics", "sub2", 0.98))
-    tags = table("mbid string, tag string, count bigint", ("vr", "dubstep", 5), ("sd", "dubstep", 2), ("sd", "metal", 1),
-                 ("ba", "ambient", 9), ("sub2", "dubstep", 9))
-    s = specs(table, ("d", ["dubstep"]), ("m", ["dubstep", "metal"]), ("w", ["dubstep", "ambient"]))
+    recs = table("artist_name string, mbid string, score double", ("Tin Orchard", "vr", 0.85), ("Low Bridge", "sd", 0.75),
+                 ("Still Pond", "ba", 0.65), ("CREEK UNION!", "sub", 0.95), ("creek union", "sub2", 0.94))
+    tags = table("mbid string, tag string, count bigint", ("vr", "bluegrass", 4), ("sd", "bluegrass", 3), ("sd", "skiffle", 2),
+                 ("ba", "drone", 7), ("sub2", "bluegrass", 9))
+    s = specs(table, ("d", ["bluegrass"]), ("m", ["bluegrass", "skiffle"]), ("w", ["bluegrass", "drone"]))
     c = pl.gap_candidates(recs, plays, tags, s).orderBy("label", "score").collect()
     assert [(r.label, r.mbid) for r in c] == [
         ("d", "sd"), ("d", "vr"), ("m", "sd"), ("m", "vr"), ("w", "ba"), ("w", "sd"), ("w", "vr")]
@@ -97,9 +97,9 @@ TRACKS = "artist_name string, rank int, track_name string, track_uri string, art
 
 def test_only_credited_tracks(table):
     t = table(
-        TRACKS, ("Virtual Riot", 1, "Tribute", "bad", ["Karaoke Crew"]), ("Virtual Riot", 2, "Energy Drink", "ok", ["Virtual Riot"]),
-        ("Virtual Riot", 3, "Collab", "feat", ["Someone Else", "Virtual Riot"]), ("ASAP Rocky", 1, "Praise", "styled", ["A$AP Rocky"]),
-        ("Virtual Riot", 4, "Ghost", None, ["Virtual Riot"]), ("Nobody", 1, "Other", "x", ["Someone"]))
+        TRACKS, ("Tin Orchard", 1, "Cover Night", "bad", ["Pub Singers"]), ("Tin Orchard", 2, "Rail Yard", "ok", ["Tin Orchard"]),
+        ("Tin Orchard", 3, "Two Rivers", "feat", ["Low Bridge", "Tin Orchard"]), ("Past Noon", 1, "Awning", "styled", ["Pa$t Noon"]),
+        ("Tin Orchard", 4, "Unlisted", None, ["Tin Orchard"]), ("Stranger", 1, "Elsewhere", "x", ["Other Name"]))
     assert sorted(column(pl.credited_tracks(t), "track_uri")) == ["feat", "ok", "styled"]
 
 
@@ -107,14 +107,14 @@ def choose(table, names, on_genre, k=2):
     from earshift import Params
     tracks = pl.credited_tracks(table(TRACKS, *[("X", i, n, f"uri:{i + 1}", ["X"]) for i, n in enumerate(names)]))
     cands = table("label string, mbid string, artist_name string, score double, name_key string", ("d", "m", "X", 1.0, "x"))
-    recs = table("artist_mbid string, tag string, title string", *[("m", "dubstep", n) for n in on_genre])
-    c = pl.choose_tracks(cands, tracks, recs, specs(table, ("d", ["dubstep"])), Params(tracks_per_artist=k))
+    recs = table("artist_mbid string, tag string, title string", *[("m", "bluegrass", n) for n in on_genre])
+    c = pl.choose_tracks(cands, tracks, recs, specs(table, ("d", ["bluegrass"])), Params(tracks_per_artist=k))
     return column(c, "track_uri", "choice")
 
 
 def test_genre_is_a_preference(table):
-    names = ["Mega Hit", "Pure Dubstep", "Also Dubstep", "B-side"]
-    on = ["Pure Dubstep", "Also Dubstep (VIP)"]
+    names = ["Radio Single", "Front Porch", "Back Porch", "Outtake"]
+    on = ["Front Porch", "Back Porch (Demo)"]
     assert choose(table, names, on, 3) == ["uri:2", "uri:3", "uri:1"]
     assert choose(table, names, on, 4) == ["uri:2", "uri:3", "uri:1", "uri:4"]
     assert choose(table, names, on, 1) == ["uri:2"]
@@ -122,9 +122,9 @@ def test_genre_is_a_preference(table):
 
 
 def test_one_song_one_slot(table):
-    assert choose(table, ["Last Resort", "Last Resort", "Last Resort - 2020 Remaster", "Scars"], [""]) == ["uri:1", "uri:4"]
-    assert choose(table, ["Breathe", "Breathe Carolina"], [""]) == ["uri:1", "uri:2"]
-    assert choose(table, ["Ballad", "Ballad - Live", "Banger"], ["Banger"]) == ["uri:3", "uri:1"]
+    assert choose(table, ["Low Tide", "Low Tide", "Low Tide - 1998 Remaster", "Undertow"], [""]) == ["uri:1", "uri:4"]
+    assert choose(table, ["Ember", "Ember Street"], [""]) == ["uri:1", "uri:2"]
+    assert choose(table, ["Slow One", "Slow One - Live", "Quick One"], ["Quick One"]) == ["uri:3", "uri:1"]
 
 
 def test_repeats_are_not_refilled(table):
@@ -172,13 +172,13 @@ def test_uri_in_both_pools_stays_an_anchor(table):
 def test_archive_accumulates(spark, table, tmp_path):
     path = str(tmp_path / "archive")
     lists = table("label string, position int, slot string, artist_name string, track_name string, track_uri string",
-                  ("dubstep", 0, "anchor", "A", "T", "u0"), ("dubstep", 1, "discovery", "A", "T", "u1"))
+                  ("bluegrass", 0, "anchor", "A", "T", "u0"), ("bluegrass", 1, "discovery", "A", "T", "u1"))
     tables.append_archive(pl.archive_rows(lists, "2026-07-31"), path)
     tables.append_archive(pl.archive_rows(lists.where("position = 0"), "2026-08-01"), path)
     tables.append_archive(pl.archive_rows(lists.limit(0), "2026-09-01"), path)
     pages = table("source string, page int, items array<struct<added_at:string,item:struct<uri:string,name:string,artists:array<struct<name:string>>>>>",
                   ("p", 0, [(None, None), (None, ("u9", "Real", [("B",), ("C",)]))]))
-    tables.append_archive(payloads.snapshot_rows(pages, "2026-08-01", "dubstep", "pid"), path)
+    tables.append_archive(payloads.snapshot_rows(pages, "2026-08-01", "bluegrass", "pid"), path)
     rows = tables.read_archive(spark, path).orderBy("run_date", "kind", "position").collect()
     assert [(r.run_date, r.kind, r.position, r.slot, r.artist_name, r.source) for r in rows] == [
         ("2026-07-31", "selection", 0, "anchor", "A", "plays"), ("2026-07-31", "selection", 1, "discovery", "A", "recommendations"),
