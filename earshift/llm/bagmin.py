@@ -10,9 +10,12 @@ points before a text's own time limit are made, about as many as there are
 positions, besides one per shingle.
 
 Bands of the signature give candidates, and the exact overlap of the multisets
-decides.  A bucket links its members to one of them; where that leaves parts,
-further members serve as pivots, in growing numbers, until all pairs that the
-triangle inequality leaves open have been compared.
+decides.  A bucket first links its members to one of them.  Where that leaves
+parts, the pairs of a small bucket that the triangle inequality leaves open are
+compared one by one.  Members of large buckets are laid into blocks instead:
+a task takes two blocks, adds up all overlaps between them as a product of
+matrices, and returns a spanning forest of what it finds, so that pairs within a
+group never become rows.
 """
 
 import hashlib
@@ -29,13 +32,16 @@ from pyspark.sql import types as T
 from ..sources.tables import materialise, work_dir
 from . import shingles as S
 from .shingles import U, mix
-from .text import numbered, whole
+from .text import whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 POSITIONS, BANDS = 128, 32  # four positions a band: a pair at 0.8 is missed once in 20 million
 GOLD = 0x9E3779B97F4A7C15
 POINTS = 1 << 19  # points made at once
+FEW = 32  # members of a bucket whose pairs are compared one by one
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
+COMMON, COLUMNS = 64, 2048  # texts of a shingle that make it a matrix column; columns at once
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -177,7 +183,8 @@ def components(links: DataFrame, base: str, name: str) -> DataFrame:
         k += 1
 
 
-def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.8, pivots: int = 16) -> DataFrame:
+def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.8, few: int = FEW,
+            block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows id, th (hash of the text), uid, class (its largest id), size, kept; one per row.
 
     Texts with the same words in the same order are copies, texts without words
@@ -199,8 +206,8 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: fl
     members = nodes.select("nid", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("lo"), F.max("nid").alias("hi"))
     buckets = materialise(buckets.where("n > 1"), "buckets", base)
-    large = buckets.where("n > 2").select(F.col("key").alias("_k"), "lo")
-    large = materialise(members.join(large, F.col("key") == F.col("_k")).select("key", "nid", "lo"), "large", base)
+    large = buckets.where("n > 2").select(F.col("key").alias("_k"), "lo", "n")
+    large = materialise(members.join(large, F.col("key") == F.col("_k")).select("key", "nid", "lo", "n"), "large", base)
     pairs = buckets.where("n = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).unionByName(
         large.where("nid <> lo").select(F.col("nid").alias("a"), F.col("lo").alias("b"))).distinct()
     pairs = materialise(pairs, "pairs", base)
@@ -218,9 +225,12 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: fl
         return materialise(seen.groupBy("a", "b").agg((F.max("shared") / F.max("total")).alias("sim")), name, base)
 
     known = compare(pairs, "sims")
-    roots = components(known.where(F.col("sim") >= least), base, "first")
+    links = known.where(F.col("sim") >= least).select("a", "b")
+    roots = components(links, base, "first")
     if not large.isEmpty():
-        known, roots = settle(large, known, roots, compare, base, least, pivots)
+        more = small_pairs(large.where(F.col("n") <= few), known, roots, compare, base, least).unionByName(
+            large_groups(large.where(F.col("n") > few), roots, texts, base, least, block_rows))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), base, "all")
     root = roots.withColumnRenamed("node", "nid")
     placed = nodes.select("nid", "digest").join(root, "nid", "left").select("digest", F.coalesce("root", "nid").alias("root"))
     rows = materialise(signed.select("id", "th", "uid", "digest").join(placed, "digest").drop("digest"), "rows", base)
@@ -229,46 +239,107 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: fl
         "id", "th", "uid", F.col("top.id").alias("class"), "size", (F.col("uid") == F.col("top.uid")).alias("kept"))
 
 
-def settle(large: DataFrame, known: DataFrame, roots: DataFrame, compare, base: str, least: float,
-           pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Compares what one representative per bucket leaves open.
+def parted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds each member's component so far."""
+    r = roots.withColumnRenamed("node", "_n")
+    return members.join(r, F.col("nid") == F.col("_n"), "left").withColumn("part", F.coalesce("root", "nid")).drop("_n", "root")
 
-    A pair of a bucket is open if it lies in two components and its distances to
-    the representative, exact by now, don't rule it out.  ``pivots`` members of
-    each bucket meet its others, then the next ``pivots`` times as many.
-    """
+
+def small_pairs(members: DataFrame, known: DataFrame, roots: DataFrame, compare, base: str, least: float) -> DataFrame:
+    """Links in small buckets: pairs in two components whose distances to the
+    bucket's representative, exact by now, don't rule them out."""
     far = known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("sim")).alias("away"))
-    sided = large.join(far, (F.col("nid") == F.col("_a")) & (F.col("lo") == F.col("_b")), "left").select(
-        "key", "nid", F.coalesce("away", F.lit(0.0)).alias("away"))
-    ranked, lo, hi, k = None, 0, pivots, 0
-    source = sided
+    m = members.join(far, (F.col("nid") == F.col("_a")) & (F.col("lo") == F.col("_b")), "left")
+    m = materialise(parted(m.select("key", "nid", F.coalesce("away", F.lit(0.0)).alias("away")), roots), "small", base)
+    o = m.select(*[F.col(c).alias(f"_{c}") for c in m.columns])
+    met = m.join(o, F.col("key") == F.col("_key")).where((F.col("nid") > F.col("_nid")) & (F.col("part") != F.col("_part")) & (
+        F.abs(F.col("away") - F.col("_away")) <= 1 - least + 1e-9))
+    todo = met.select(F.col("nid").alias("a"), F.col("_nid").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    return compare(materialise(todo, "todo", base), "small_sims").where(F.col("sim") >= least).select("a", "b")
+
+
+def large_groups(members: DataFrame, roots: DataFrame, texts: DataFrame, base: str, least: float, block_rows: int) -> DataFrame:
+    """Links among members of large buckets.  Buckets that share members make a
+    group; a group in one component is left alone."""
+    groups = components(members.where("nid <> lo").select(F.col("nid").alias("a"), F.col("lo").alias("b")), base, "groups")
+    g = groups.withColumnRenamed("node", "_m")
+    own = members.select("nid").distinct().join(g, F.col("nid") == F.col("_m"), "left").select("nid", F.coalesce("root", "nid").alias("group"))
+    own = materialise(parted(own, roots), "grouped", base)
+    held = texts.groupBy("nid").agg(F.first("text").alias("text"))  # rows that repeat an id and a text
+    held = materialise(held.join(own.select("nid", "group"), "nid"), "held", base)
+    size = own.groupBy("group").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where("p < q")
+    bytes_ = held.groupBy("group").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    size = size.join(bytes_, "group").select(F.col("group").alias("_g"), F.ceil(F.greatest(
+        F.col("n") / block_rows, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = held.join(size, F.col("group") == F.col("_g")).withColumn("mine", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    rows = rows.select("group", "nid", "mine", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "nid", "mine", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        return block_links(table, least)
+
+    return materialise(rows.groupBy("group", "i", "j").applyInArrow(run, "a long, b long"), "block_links", base)
+
+
+def block_links(table: pa.Table, least: float) -> pa.Table:
+    """Links between two blocks of texts (or within one) as a spanning forest."""
+    table = table.combine_chunks()
+    nid, mine, i, j = (table.column(c).to_numpy() for c in ("nid", "mine", "i", "j"))
+    words, texts, keys, base_row = S.Words(), [], [], 0
+    for chunk in table.column("text").chunks:
+        data, at = S.raw(chunk)
+        for lo, hi in S.chunks(at):
+            t, s, c = S.text_bags(words, data, at, lo, hi)
+            row = np.repeat(t + lo + base_row, c)
+            copy = np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c)  # the k-th copy is a sign of its own
+            texts.append(row)
+            keys.append(mix(np.repeat(s, c) + copy.astype(np.uint64) * U(GOLD)))
+        base_row += len(chunk)
+    row, key = np.concatenate(texts), np.concatenate(keys)
+    total = np.bincount(row, minlength=len(nid))
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    place = np.full((2, len(nid)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    o = np.argsort(key, kind="stable")
+    row, key = row[o], key[o]
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    often = np.diff(np.r_[head, len(key)])
+    shared = np.zeros((len(left), len(right)), np.float32)
+    wide = head[often >= COMMON]
+    for a in range(0, len(wide), COLUMNS):
+        z = wide[a:a + COLUMNS]
+        n = often[np.searchsorted(head, z)]
+        column = np.repeat(np.arange(len(z)), n)
+        who = row[np.repeat(z - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        sides = []
+        for side, size in ((0, len(left)), (1, len(right))):
+            at = place[side, who]
+            m = np.zeros((size, len(z)), np.float32)
+            m[at[at >= 0], column[at >= 0]] = 1
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    for k in range(2, COMMON):
+        z = head[often == k]
+        step = max(1, (1 << 20) // (k * k))
+        for a in range(0, len(z), step):
+            who = row[z[a:a + step, None] + np.arange(k)[None, :]]
+            x, y = place[0, who][:, :, None], place[1, who][:, None, :]
+            ok = (x >= 0) & (y >= 0)
+            shared += np.bincount((x * len(right) + y)[ok], minlength=shared.size).reshape(shared.shape)
+    either = total[left][:, None] + total[right][None, :] - shared.astype(np.float64)
+    x, y = np.nonzero(shared / np.maximum(either, 1) >= least)
+    x, y = left[x], right[y]
+    x, y = x[x != y], y[x != y]
+    label = np.argsort(np.argsort(nid))
     while True:
-        r = roots.withColumnRenamed("node", "_n")
-        now = source.join(r, F.col("nid") == F.col("_n"), "left").withColumn("part", F.coalesce("root", "nid")).drop("_n", "root")
-        split = now.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where(
-            (F.col("p") < F.col("q")) & (F.col("n") > lo)).select(F.col("key").alias("_k"))
-        now = now.join(split, F.col("key") == F.col("_k"), "left_semi")
-        if ranked is None:
-            ranked = numbered(now.withColumn("_part", F.pmod(F.xxhash64("nid"), F.lit(64))), ["key"], "_part", [F.col("nid")], "rank").drop("_part")
-            now = ranked = materialise(ranked, "ranked", base)
-            source = ranked.drop("part")
-        else:
-            now = materialise(now, f"open{k}", base)
-        if now.isEmpty():
-            return known, roots
-        p = now.where((F.col("rank") >= lo) & (F.col("rank") < hi)).select(
-            F.col("key").alias("_k"), F.col("nid").alias("_n"), F.col("part").alias("_p"), F.col("away").alias("_w"), F.col("rank").alias("_r"))
-        met = now.join(p, F.col("key") == F.col("_k")).where(
-            (F.col("rank") > F.col("_r")) & (F.col("part") != F.col("_p")) & (F.abs(F.col("away") - F.col("_w")) <= 1 - least + 1e-9))
-        todo = met.select(F.greatest("nid", "_n").alias("a"), F.least("nid", "_n").alias("b")).distinct()
-        todo = materialise(todo.join(known.select("a", "b"), ["a", "b"], "left_anti"), f"todo{k}", base)
-        if not todo.isEmpty():
-            new = compare(todo, f"sims{k}")
-            known = materialise(known.unionByName(new), f"known{k}", base)
-            if not new.where(F.col("sim") >= least).isEmpty():
-                links = new.where(F.col("sim") >= least).select("a", "b").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-                roots = components(links, base, f"again{k}")
-        lo, hi, k = hi, hi * pivots, k + 1
+        before = label.copy()
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
+        if (label == before).all():
+            break
+    root = np.sort(nid)[label]
+    hung = root != nid
+    return pa.table({"a": nid[hung], "b": root[hung]})
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.8) -> DataFrame:

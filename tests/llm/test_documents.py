@@ -178,8 +178,41 @@ def test_bagmin_chain(spark):
             v[(j * 7) % 200] = f"new{j}"
         rows.append((100 + (k * 13) % 30, " ".join(v)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = bagmin.classes(df, pivots=2).select("id", "class", "size", "kept").toDF("doc_id", "class_id", "class_size", "kept").collect()
-    check_classes(rows, got)
+    for few, block in ((32, 1024), (2, 1024), (2, 7)):
+        got = bagmin.classes(df, few=few, block_rows=block).select("id", "class", "size", "kept")
+        check_classes(rows, got.toDF("doc_id", "class_id", "class_size", "kept").collect())
+
+
+def test_blocks():
+    """Overlaps of blocks, common and rare shingles alike, against counters."""
+    r = random.Random(4)
+    base = prose(21, 80).split()
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(r.randrange(6)):
+            w[r.randrange(80)] = f"n{r.randrange(40)}"
+        texts.append(" ".join(w) if k % 10 else prose(900 + k // 20, 30) + " a b c d e f a b c d e f")
+    bags = [bag(t) for t in texts]
+    import pyarrow as pa
+
+    n, half = len(texts), 70
+    ids = [1000 - 3 * k for k in range(n)]
+    t = pa.table({"nid": ids, "mine": [int(k >= half) for k in range(n)], "i": [0] * n, "j": [1] * n, "text": texts})
+    got = bagmin.block_links(t, 0.8).to_pylist()
+    up = {i: i for i in ids}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(half):
+        for b in range(half, n):
+            if sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values()):
+                x, y = sorted((top(ids[a]), top(ids[b])))
+                up[y] = x
+    assert {x["a"]: x["b"] for x in got} == {i: top(i) for i in ids if top(i) != i}
 
 
 def test_bagmin_estimate():
