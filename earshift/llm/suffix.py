@@ -39,6 +39,7 @@ WIDTH = SPAN + LENGTH  # bytes that windows around an anchor can reach
 CHUNK = 1 << 21
 ANCHORS_PER_FILE = 3_000_000
 ROWS_PER_FILE = 400_000
+TEXTS_PER_SHELF = 4096
 LAST = (1 << 63) - 1
 HASH_BYTES = 6
 
@@ -111,11 +112,36 @@ def blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield lo, hi, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], ids[lo:hi], ths[lo:hi]
 
 
+def lists(cut: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values, kind))
+
+
+def flat(table: pa.Table, column: str) -> np.ndarray:
+    """All lists of a column, end to end."""
+    parts = [x.flatten().to_numpy() for x in table.column(column).chunks]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def flat_bytes(table: pa.Table, column: str) -> np.ndarray:
+    parts = [S.raw(x)[0] for x in table.column(column).chunks]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+def shelf(ths: np.ndarray, shelves: int) -> np.ndarray:
+    """Where what is found for a text is gathered."""
+    return (mix(ths.astype(np.int64).view(np.uint64)) % U(shelves)).astype(np.int64)
+
+
+OWN, WITNESS, SURE = 0, 1, 2
+ANCHOR_ROWS = "file int, id array<long>, th array<long>, n array<int>, kind array<byte>, hashes binary"
+FOUND_ROWS = "shelf int, id array<long>, th array<long>, n array<int>, hashes binary"
+
+
 def list_anchors(files: int):
-    """(text, id, th) to (file, id, th, hashes): each text's anchors, by file.
+    """(text, id, th) to the anchors of a block of texts, one row per file.
 
-    Hashes met in two texts of a block go on under file -1 with the texts that
-    hold them, and to their file as a witness: the ids -1 and -2 below th 0."""
+    Hashes that two texts of a block hold are sure already: they pass through a
+    file without being compared, and two witnesses tell their own file."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, at, ids, ths in blocks(batch):
@@ -129,63 +155,82 @@ def list_anchors(files: int):
                 if not len(h):
                     continue
                 run_ = cuts(h)
-                ends = run_[1:] - 1
                 t = ths[text]
-                lo, hi = np.minimum.reduceat(t, run_[:-1]), np.maximum.reduceat(t, run_[:-1])
-                sure = np.repeat(lo != hi, np.diff(run_))
-                seen = h[ends[lo != hi]]
-                file = np.where(sure, -1, (h % U(files)).astype(np.int64))
-                file = np.r_[file, (seen % U(files)).astype(np.int64), (seen % U(files)).astype(np.int64)]
+                several = np.minimum.reduceat(t, run_[:-1]) != np.maximum.reduceat(t, run_[:-1])
+                sure, seen = np.repeat(several, np.diff(run_)), h[run_[:-1][several]]
+                own_file = (h % U(files)).astype(np.int64)
+                file = np.r_[np.where(sure, text % files, own_file), np.tile((seen % U(files)).astype(np.int64), 2)]
+                kind = np.r_[np.where(sure, SURE, OWN), np.full(2 * len(seen), WITNESS)]
                 text = np.r_[text, np.full(len(seen), len(ids)), np.full(len(seen), len(ids) + 1)]
                 h = np.r_[h, seen, seen]
-                o = np.lexsort((text, file))
-                file, text, h = file[o], text[o], h[o]
-                cut = cuts(file, text)
-                first = cut[:-1]
-                every_id, every_th = np.r_[ids, -1, -2], np.r_[ths, 0, 1]
+                o = np.lexsort((text, kind, file))
+                file, kind, text, h = file[o], kind[o], text[o], h[o]
+                group = cuts(file, kind, text)
+                first = group[:-1]
+                row = cuts(file[first])
+                every_id, every_th = np.r_[ids, -1, -1], np.r_[ths, 0, 1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(file[first].astype(np.int32)), pa.array(every_id[text[first]]), pa.array(every_th[text[first]]),
-                     pa.array(text[first] >= len(ids)), binaries(packed(h).ravel(), cut * HASH_BYTES)],
-                    names=["file", "id", "th", "witness", "hashes"])
+                    [pa.array(file[first][row[:-1]].astype(np.int32)), lists(row, every_id[text[first]], pa.int64()),
+                     lists(row, every_th[text[first]], pa.int64()), lists(row, np.diff(group), pa.int32()),
+                     lists(row, kind[first].astype(np.int8), pa.int8()), binaries(packed(h).ravel(), group[row] * HASH_BYTES)],
+                    names=["file", "id", "th", "n", "kind", "hashes"])
     return run
 
 
-def find_repeats(table: pa.Table) -> pa.Table:
-    """One file's anchors to those that two different texts hold."""
-    table = table.combine_chunks()
-    ids, ths, witness = (table.column(c).to_numpy() for c in ("id", "th", "witness"))
-    data, at = S.raw(table.column("hashes").chunk(0)) if table.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    h = unpacked(data)
-    row = np.repeat(np.arange(len(ids)), np.diff(at) // HASH_BYTES)
-    o = np.argsort(h, kind="stable")
-    run_ = cuts(h[o])
-    t, wit = ths[row[o]], witness[row[o]]
-    many = (np.minimum.reduceat(t, run_[:-1]) != np.maximum.reduceat(t, run_[:-1])) | np.logical_or.reduceat(wit, run_[:-1])
-    hit = np.zeros(len(h), bool)
-    hit[o] = np.repeat(many, np.diff(run_))
-    hit &= ~witness[row]
-    h, row = h[hit], row[hit]
-    cut = cuts(row)
-    first = row[cut[:-1]] if len(row) else row
-    return pa.table({"id": ids[first], "th": ths[first], "hashes": binaries(packed(h).ravel(), (cut if len(row) else np.zeros(1, np.int64)) * HASH_BYTES)})
+def find_repeats(shelves: int):
+    """One file's anchors to those that two different texts hold, by shelf of the text."""
+    def run(table: pa.Table) -> pa.Table:
+        n = flat(table, "n")
+        ids, ths, kind = (np.repeat(flat(table, c), n) for c in ("id", "th", "kind"))
+        h = unpacked(flat_bytes(table, "hashes"))
+        hit = kind == SURE
+        rest = np.flatnonzero(~hit)
+        if len(rest):
+            o = rest[np.argsort(h[rest], kind="stable")]
+            run_ = cuts(h[o])
+            t, wit = ths[o], kind[o] == WITNESS
+            many = (np.minimum.reduceat(t, run_[:-1]) != np.maximum.reduceat(t, run_[:-1])) | np.logical_or.reduceat(wit, run_[:-1])
+            hit[o] = np.repeat(many, np.diff(run_)) & ~wit
+        ids, ths, h = ids[hit], ths[hit], h[hit]
+        where = shelf(ths, shelves)
+        o = np.lexsort((h, ths, ids, where))
+        where, ids, ths, h = where[o], ids[o], ths[o], h[o]
+        group = cuts(where, ids, ths) if len(h) else np.zeros(1, np.int64)
+        first = group[:-1]
+        row = cuts(where[first]) if len(h) else np.zeros(1, np.int64)
+        return pa.table({
+            "shelf": pa.array(where[first][row[:-1]].astype(np.int32)), "id": lists(row, ids[first], pa.int64()),
+            "th": lists(row, ths[first], pa.int64()), "n": lists(row, np.diff(group), pa.int32()),
+            "hashes": binaries(packed(h).ravel(), group[row] * HASH_BYTES)})
+    return run
+
+
+def gather_hashes(table: pa.Table) -> pa.Table:
+    """A shelf's texts, each with all its repeated anchors."""
+    n = flat(table, "n")
+    ids, ths = np.repeat(flat(table, "id"), n), np.repeat(flat(table, "th"), n)
+    h = unpacked(flat_bytes(table, "hashes"))
+    o = np.lexsort((ths, ids))
+    group = cuts(ids[o], ths[o]) if len(h) else np.zeros(1, np.int64)
+    first = o[group[:-1]] if len(h) else o
+    return pa.table({"id": ids[first], "th": ths[first], "hashes": binaries(packed(h[o]).ravel(), group * HASH_BYTES)})
 
 
 def lay_out(files: int):
-    """(text, id, th, hashes) to stretches by file: (file, id, th, at, first, last, bytes).
+    """(text, id, th, hashes) to a block's stretches, one row per file and kind.
 
-    Equal stretches of a block leave once, with the least id; the other texts'
-    are covered whole and go on under file -1."""
+    Equal stretches of a block leave once, with the least id; those of the other
+    texts are covered whole and pass through without their bytes."""
     around = np.arange(-SPAN, LENGTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
             for lo, hi, data, at, ids, ths in blocks(batch):
                 text, q, h, p0, p1 = anchors(data, at)
-                known = [unpacked(np.frombuffer(b"".join(lists[i].as_py()), np.uint8)) for i in range(lo, hi)]
-                size = [len(k) for k in known]
+                known, ends = S.raw(batch.column(3).slice(lo, hi - lo))
+                size = np.diff(ends) // HASH_BYTES
                 code = lambda h_, t_: mix(h_ ^ mix(t_.astype(np.uint64)))
-                want = code(np.concatenate(known), np.repeat(np.arange(hi - lo), size))
+                want = code(unpacked(known), np.repeat(np.arange(hi - lo), size))
                 on = np.isin(code(short(h), text), want)
                 text, q, h, p0, p1 = text[on], q[on], h[on], p0[on], p1[on]
                 if not len(q):
@@ -213,18 +258,22 @@ def stretch(data, at, ids, ths, files, around, text, q, h, p0, p1) -> pa.RecordB
     cut = cuts(mark[o])
     least = np.empty(len(own), np.int64)
     least[o] = np.repeat(own[o[cut[:-1]]], np.diff(cut))
-    speaks = own == least
-    file = np.where(speaks, (mix(h) % U(files)).astype(np.int64), -1)
-    o = np.argsort(file, kind="stable")
-    text, q, p0, p1, rows, file, own = (x[o] for x in (text, q, p0, p1, rows, file, own))
-    cut = cuts(file)
-    lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x, kind))
-    base = at[text]
+    whole_ = own != least
+    file = np.where(whole_, text % files, (mix(h) % U(files)).astype(np.int64))
+    o = np.lexsort((whole_, file))
+    text, q, p0, p1, rows, file, own, whole_ = (x[o] for x in (text, q, p0, p1, rows, file, own, whole_))
+    cut = cuts(file, whole_)
+    first = cut[:-1]
+    sent = np.r_[0, np.cumsum(np.where(whole_[first], 0, np.diff(cut)))]
     return pa.RecordBatch.from_arrays(
-        [pa.array(file[cut[:-1]].astype(np.int32)), lists(own, pa.int64()), lists(ths[text], pa.int64()), lists(q - base, pa.int32()),
-         lists((p0 - q + SPAN).astype(np.int8), pa.int8()), lists((p1 - q + SPAN).astype(np.int8), pa.int8()),
-         binaries(rows.ravel(), cut * WIDTH)],
-        names=["file", "id", "th", "at", "first", "last", "bytes"])
+        [pa.array(file[first].astype(np.int32)), pa.array(whole_[first]), lists(cut, own, pa.int64()), lists(cut, ths[text], pa.int64()),
+         lists(cut, q - at[text], pa.int32()), lists(cut, (p0 - q + SPAN).astype(np.int8), pa.int8()),
+         lists(cut, (p1 - q + SPAN).astype(np.int8), pa.int8()), binaries(rows[~whole_].ravel(), sent * WIDTH)],
+        names=["file", "whole", "id", "th", "at", "first", "last", "bytes"])
+
+
+LAID_ROWS = "file int, whole boolean, id array<long>, th array<long>, at array<int>, first array<byte>, last array<byte>, bytes binary"
+RUN_ROWS = "shelf int, id array<long>, th array<long>, n array<int>, starts array<int>, sizes array<byte>"
 
 
 def covered(rows: np.ndarray, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -268,40 +317,44 @@ def covered(rows: np.ndarray, ids: np.ndarray, first: np.ndarray, last: np.ndarr
     return out
 
 
-def settle(table: pa.Table) -> pa.Table:
-    """One file's stretches to (id, th, starts, sizes): runs of covered windows."""
-    table = table.combine_chunks()
-    flat = lambda c: np.concatenate([x.values.to_numpy()[x.offsets[0].as_py():x.offsets[-1].as_py()] for x in table.column(c).chunks])
-    ids, ths, at, first, last = (flat(c) for c in ("id", "th", "at", "first", "last"))
-    data = np.concatenate([S.raw(x)[0] for x in table.column("bytes").chunks])
-    return runs(covered(data.reshape(-1, WIDTH), ids, first, last), ids, ths, at)
-
-
-def runs(cover: np.ndarray, ids: np.ndarray, ths: np.ndarray, at: np.ndarray) -> pa.Table:
-    wide = np.zeros((len(cover), SPAN + 3), np.int8)
-    wide[:, 1:-1] = cover
-    edge = np.diff(wide, axis=1)
-    i, a = np.nonzero(edge == 1)
-    _, z = np.nonzero(edge == -1)
-    start, size = at[i].astype(np.int64) - SPAN + a, z - a
-    o = np.lexsort((start, ths[i], ids[i]))
-    i, start, size = i[o], start[o], size[o]
-    cut = cuts(ids[i], ths[i]) if len(i) else np.zeros(1, np.int64)
-    head = i[cut[:-1]] if len(i) else i
-    off = pa.array(cut.astype(np.int32))
-    return pa.table({"id": ids[head], "th": ths[head], "starts": pa.ListArray.from_arrays(off, pa.array(start, pa.int32())),
-                     "sizes": pa.ListArray.from_arrays(off, pa.array(size, pa.int32()))})
-
-
-def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches that a smaller id's equal one covers."""
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in t.column(c).chunks])
-        ids, ths, at, first, last = (flat(c) for c in ("id", "th", "at", "first", "last"))
+def settle(shelves: int):
+    """One file's stretches to runs of covered windows, by shelf of the text."""
+    def run(table: pa.Table) -> pa.Table:
+        n = np.concatenate([np.diff(x.offsets.to_numpy()) for x in table.column("id").chunks])
+        alone = np.repeat(table.column("whole").to_numpy(), n)
+        ids, ths, at, first, last = (flat(table, c) for c in ("id", "th", "at", "first", "last"))
         spot = np.arange(SPAN + 1)[None, :]
         cover = (spot >= first[:, None]) & (spot <= last[:, None])
-        yield from runs(cover, ids, ths, at).to_batches()
+        k = np.flatnonzero(~alone)
+        cover[k] = covered(flat_bytes(table, "bytes").reshape(-1, WIDTH), ids[k], first[k], last[k])
+        wide = np.zeros((len(cover), SPAN + 3), np.int8)
+        wide[:, 1:-1] = cover
+        edge = np.diff(wide, axis=1)
+        i, a = np.nonzero(edge == 1)
+        _, z = np.nonzero(edge == -1)
+        start, size = at[i].astype(np.int64) - SPAN + a, z - a
+        where = shelf(ths[i], shelves)
+        o = np.lexsort((start, ths[i], ids[i], where))
+        i, start, size, where = i[o], start[o], size[o], where[o]
+        group = cuts(where, ids[i], ths[i]) if len(i) else np.zeros(1, np.int64)
+        head = group[:-1]
+        row = cuts(where[head]) if len(i) else np.zeros(1, np.int64)
+        return pa.table({
+            "shelf": pa.array(where[head][row[:-1]].astype(np.int32)), "id": lists(row, ids[i[head]], pa.int64()),
+            "th": lists(row, ths[i[head]], pa.int64()), "n": lists(row, np.diff(group), pa.int32()),
+            "starts": lists(group[row], start, pa.int32()), "sizes": lists(group[row], size.astype(np.int8), pa.int8())})
+    return run
+
+
+def gather_runs(table: pa.Table) -> pa.Table:
+    """A shelf's texts, each with all its runs of covered windows."""
+    n = flat(table, "n")
+    ids, ths = np.repeat(flat(table, "id"), n), np.repeat(flat(table, "th"), n)
+    start, size = flat(table, "starts"), flat(table, "sizes")
+    o = np.lexsort((start, ths, ids))
+    group = cuts(ids[o], ths[o]) if len(o) else np.zeros(1, np.int64)
+    first = o[group[:-1]] if len(o) else o
+    return pa.table({"id": ids[first], "th": ths[first], "starts": lists(group, start[o], pa.int32()), "sizes": lists(group, size[o], pa.int8())})
 
 
 def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,8 +364,8 @@ def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i in range(batch.num_rows):
             b = data[at[i]:at[i + 1]]
-            a = np.asarray(sum(batch.column(3)[i].as_py(), []), np.int64)
-            z = a + np.asarray(sum(batch.column(4)[i].as_py(), []), np.int64) + LENGTH - 1
+            a = batch.column(3)[i].values.to_numpy().astype(np.int64)
+            z = a + batch.column(4)[i].values.to_numpy() + LENGTH - 1
             gone = np.cumsum(np.bincount(a, minlength=len(b) + 1) - np.bincount(z, minlength=len(b) + 1))[:len(b)] > 0
             kept = b[~gone].tobytes()
             out.append((int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
@@ -340,23 +393,19 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     groups = light.groupBy("sha").agg(F.min("id").alias("least")).withColumnRenamed("sha", "_s")
     light = materialise(light.join(groups, F.col("sha") == F.col("_s")).drop("_s"), "placed", base)
     files = max(1, math.ceil(total * 2 / (SPAN + 2) / ANCHORS_PER_FILE))
-    listed = docs.mapInArrow(list_anchors(files), "file int, id long, th long, witness boolean, hashes binary")
-    listed = materialise(listed, "listed", base)
-    found = listed.where("file >= 0").groupBy("file").applyInArrow(find_repeats, "id long, th long, hashes binary")
-    found = found.unionByName(listed.where("file < 0").select("id", "th", "hashes"))
-    asked = found.groupBy("id", "th").agg(F.collect_list("hashes").alias("hashes"))
+    shelves = max(1, light.count() // TEXTS_PER_SHELF)
+    listed = docs.mapInArrow(list_anchors(files), ANCHOR_ROWS)
+    found = listed.groupBy("file").applyInArrow(find_repeats(shelves), FOUND_ROWS)
+    asked = found.groupBy("shelf").applyInArrow(gather_hashes, "id long, th long, hashes binary")
     first = light.where("id = least").select("id", "th").distinct()
     asked = asked.join(first, ["id", "th"]).select(F.col("id").alias("_i"), F.col("th").alias("_t"), "hashes")
     held = docs.join(asked, (F.col("id") == F.col("_i")) & (F.col("th") == F.col("_t"))).select("text", "id", "th", "hashes")
     held = materialise(held, "held", base)
-    rows = held.agg(F.sum(F.aggregate("hashes", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+    rows = held.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
     files = max(1, math.ceil(rows / HASH_BYTES / ROWS_PER_FILE))
-    laid = held.mapInArrow(lay_out(files), "file int, id array<long>, th array<long>, at array<int>, first array<byte>, last array<byte>, bytes binary")
-    laid = materialise(laid, "laid", base)
-    kind = "id long, th long, starts array<int>, sizes array<int>"
-    gone = laid.where("file >= 0").groupBy("file").applyInArrow(settle, kind).unionByName(
-        laid.where("file < 0").mapInArrow(whole_runs, kind))
-    gone = gone.groupBy("id", "th").agg(F.collect_list("starts").alias("starts"), F.collect_list("sizes").alias("sizes"))
+    laid = held.mapInArrow(lay_out(files), LAID_ROWS)
+    gone = laid.groupBy("file").applyInArrow(settle(shelves), RUN_ROWS)
+    gone = gone.groupBy("shelf").applyInArrow(gather_runs, "id long, th long, starts array<int>, sizes array<byte>")
     gone = gone.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "starts", "sizes")
     cut = held.join(gone, (F.col("id") == F.col("_i")) & (F.col("th") == F.col("_t"))).select("text", "id", "th", "starts", "sizes")
     cut = cut.mapInArrow(strip, "id long, th long, n_removed long, n_spans long, kept_sha256 string, kept binary")
