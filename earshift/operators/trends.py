@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import null_if_zero, ratio, shared_keys, top_k
 from ..params import DEFAULTS, Params
+from ..sources.tables import materialise
 
 
 def tag_weights(artist_tags: DataFrame, params: Params = DEFAULTS, by: Sequence[str] = ()) -> DataFrame:
@@ -129,31 +130,25 @@ def tag_grid(
     """Dense (listener, variant, tag, month): every tag of a listener in every
     month that listener played anything.  ``month_idx`` counts observed months.
 
-    Each tag's months are gathered into one row, which the calendar bounds, and
-    laid out over the listener's months.  Those come from the same rows, so the
-    log is read once; the window over a listener holds one row per tag.
+    The folded log is written once; the listener's months, its tags and the
+    cells are read from there.  Only a listener's list of months, which the
+    calendar bounds, is ordered as a whole.
     """
-    wide = tag_month_wide(plays, credits, weights, params, by, every_month=True)
-    cell = F.struct(*[f"s_{v}" for v in params.variants], "n_artists")
-    own = F.map_keys("_cells")
-    series = (
-        wide.groupBy(*by, "tag")
-        .agg(F.map_from_entries(F.collect_list(F.struct("month", cell))).alias("_cells"))
-        .withColumn("_months", F.sort_array(F.array_distinct(F.flatten(
-            F.collect_set(own).over(Window.partitionBy(*by))))))
-        .where(F.col("tag").isNotNull())
-    )
-    dense = (
-        series.select(
-            *by, "tag", "_cells", F.size("_months").alias("n_months"),
-            F.posexplode("_months").alias("_pos", "month"),
-        )
-        .withColumn("_cell", F.try_element_at("_cells", "month"))
-        .select(
-            *by, "tag", "month", "n_months", (F.col("_pos") + 1).alias("month_idx"),
-            *[F.coalesce(F.col(f"_cell.s_{v}"), F.lit(0.0)).alias(f"s_{v}") for v in params.variants],
-            F.coalesce(F.col("_cell.n_artists"), F.lit(0)).alias("n_artists"),
-        )
+    wide = materialise(tag_month_wide(plays, credits, weights, params, by, every_month=True), "wide")
+    own = Window.partitionBy(*by)
+    months = wide.select(*by, "month").distinct().select(
+        *by, "month", F.row_number().over(own.orderBy("month")).alias("month_idx"), F.count(F.lit(1)).over(own).alias("n_months"))
+    wide = wide.where(F.col("tag").isNotNull())
+    tags = wide.select(*by, "tag").distinct()
+    if by:
+        cells = tags.join(months, list(by))
+    else:
+        calendar = months.agg(F.collect_list(F.struct("month", "month_idx", "n_months"))).scalar()
+        cells = tags.select("tag", F.inline(calendar))
+    dense = cells.join(wide, [*by, "tag", "month"], "left").select(
+        *by, "tag", "month", F.col("n_months").cast("int").alias("n_months"), "month_idx",
+        *[F.coalesce(f"s_{v}", F.lit(0.0)).alias(f"s_{v}") for v in params.variants],
+        F.coalesce("n_artists", F.lit(0)).alias("n_artists"),
     )
     return dense.select(
         *by, "tag", "month", "n_months", "month_idx", "n_artists", _per_variant(params)

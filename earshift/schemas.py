@@ -9,7 +9,7 @@ _S, _B, _L = T.StringType(), T.BooleanType(), T.LongType()
 # Fields of the play-history export.  ``ip_addr`` is known but
 # left out of the read schema, so it never enters a DataFrame.
 EXPORT = T.StructType([
-    T.StructField("ts", T.TimestampType()),
+    T.StructField("ts", _S),  # read as text; UTC without a zone after the scan
     T.StructField("platform", _S),
     T.StructField("ms_played", _L),
     T.StructField("conn_country", _S),

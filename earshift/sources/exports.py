@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import EXPORT, KNOWN_EXPORT_FIELDS
+from .payloads import utc
 
 # Fixed value: file name pattern of the export.
 EXPORT_GLOB = "Streaming_History_*.json"
@@ -24,7 +25,7 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     return (
         _reader(spark).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         .schema(schema).json(path)
-        .withColumns({"source_path": F.col("_metadata.file_path"), "source_file": F.col("_metadata.file_name")})
+        .withColumns({"ts": utc(F.col("ts")), "source_path": F.col("_metadata.file_path"), "source_file": F.col("_metadata.file_name")})
     )
 
 

@@ -9,8 +9,10 @@ SEPARATOR = "\u001f"
 
 
 def utc(text: Column) -> Column:
-    """ISO time with offset or Z to a zone-free UTC time."""
-    zoned = F.to_timestamp(text)
+    """ISO time with offset or Z to a zone-free UTC time, in any session zone;
+    without either it is UTC already."""
+    marked = F.when(text.rlike(r"(Z|[+-]\d\d:?\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))
+    zoned = F.try_to_timestamp(marked)
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), zoned.cast("timestamp_ntz"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +24,13 @@ from ..sources.tables import read_optional
 
 
 def stream_table(
-    spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None,
-    files_per_trigger: int | None = None,
+    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None,
 ) -> DataFrame:
+    """A Parquet table as a stream: a folder of part files, or one file."""
     r = spark.readStream.schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        r, path = r.option("pathGlobFilter", where.getName()), where.getParent().toString()
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     return r.parquet(path)
@@ -44,26 +46,36 @@ def utc_wall(ts: str) -> Column:
 
 
 def dedupe_stream(
-    events: DataFrame, key: Sequence[str] = ("ts", "track_uri"), ts: str = "ts", delay: str = "1 day"
+    events: DataFrame, key: Sequence[str] = ("ts", "track_uri"), ts: str = "ts", delay: str | None = None
 ) -> DataFrame:
-    """Drop repeats of a key that arrive within the delay; state is dropped with
-    the watermark."""
+    """Drop repeats of a key, however late they or their first row arrive.
+
+    The state holds every key.  With a ``delay`` it is dropped with the
+    watermark, but rows that come later than that are lost: give one only to a
+    feed that is known to be in order.
+    """
+    if delay is None:
+        return events.dropDuplicates(list(key))
     timed = events.withColumn("_at", instant(ts)).withWatermark("_at", delay)
     return timed.dropDuplicatesWithinWatermark(list(key)).drop("_at")
 
 
 def daily_rollup(
     events: DataFrame, keys: Sequence[str], seconds: str = "played_seconds", ts: str = "ts",
-    delay: str = "2 days",
+    delay: str | None = None,
 ) -> DataFrame:
     """Day-grain totals.  Spark has no calendar-month stream window, so months
-    are added up from days in batch (``months_from_days``)."""
-    return (
-        events.withColumn("_at", instant(ts)).withWatermark("_at", delay)
-        .groupBy(F.window("_at", "1 day"), *keys)
-        .agg(F.count(F.lit(1)).alias("plays"), F.sum(seconds).alias("secs"))
-        .select(F.to_date(utc_wall("window.start")).alias("day"), *keys, "plays", "secs")
-    )
+    are added up from days in batch (``months_from_days``).
+
+    A row of any age is added to its day; with a ``delay`` days are closed by
+    the watermark and later rows are lost.
+    """
+    sums = F.count(F.lit(1)).alias("plays"), F.sum(seconds).alias("secs")
+    if delay is None:
+        return events.groupBy(F.to_date(ts).alias("day"), *keys).agg(*sums)
+    timed = events.withColumn("_at", instant(ts)).withWatermark("_at", delay)
+    days = timed.groupBy(F.window("_at", "1 day"), *keys).agg(*sums)
+    return days.select(F.to_date(utc_wall("window.start")).alias("day"), *keys, "plays", "secs")
 
 
 def months_from_days(days: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -96,77 +108,106 @@ def upsert_log(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def read_upserts(spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str]) -> DataFrame:
-    """Newest row per key of an upsert log."""
+    """Newest row per key of an upsert log; empty before the first batch."""
     full = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
-    rows = spark.read.schema(full).parquet(path)
+    try:
+        rows = spark.read.schema(full).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
     return first_per_key(rows, list(key), [F.col("epoch")], last=True).drop("epoch")
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_to_end(
     df: DataFrame, path: str, checkpoint: str, mode: str = "update"
 ) -> StreamingQuery:
     """Process what is there now, then stop.  The same call later goes on where
-    this one ended."""
-    q = (
-        df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(upsert_log(path)).start()
-    )
-    q.awaitTermination()
+    this one ended.  State is kept in RocksDB, off the heap, unless the session
+    names another store."""
+    conf = df.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    if before is None or before.endswith("HDFSBackedStateStoreProvider"):
+        conf.set(STATE_STORE, ROCKSDB)
+    try:
+        q = (
+            df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).foreachBatch(upsert_log(path)).start()
+        )
+        q.awaitTermination()
+    finally:
+        conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
     return q
 
 
-def store_polled(path: str, params: Params = DEFAULTS) -> Callable[[DataFrame, int], None]:
+def cutoffs(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame | None:
+    """Last export time seen so far, per listener."""
+    seen = read_optional(spark, f"{path}_cutoffs")
+    return None if seen is None else seen.groupBy(*by).agg(F.max("cutoff").alias("_cutoff"))
+
+
+def after_cutoff(rows: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """Polled rows that no export has superseded yet; listeners without an export keep all."""
+    last = cutoffs(rows.sparkSession, path, by)
+    if last is None:
+        return rows
+    dated = rows.join(last, list(by), "left") if by else rows.withColumn("_cutoff", last.scalar())
+    return dated.where(F.col("_cutoff").isNull() | (F.col("ts") > F.col("_cutoff"))).drop("_cutoff")
+
+
+def store_polled(path: str, params: Params = DEFAULTS, by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer of polled plays: merges a batch into the months it
-    touches, one row per (ts, track), and rewrites only those.
+    touches, one row per (listener, ts, track), and rewrites only those.  Rows
+    that an export has superseded stay out, also when they arrive after it.
 
     The new months are written beside the table first and then replace the old
     ones, because a table cannot be overwritten while it is read.
     """
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("month", F.trunc("ts", "month"))
+        new = after_cutoff(batch, path, by).withColumn("month", F.trunc("ts", "month"))
         old = read_optional(spark, path)
         if old is not None:
             new = new.unionByName(old.join(new.select("month").distinct(), "month", "left_semi"), allowMissingColumns=True)
-        replace_months(dedupe_polled(new), path, f"{path}_staged/{epoch}")
+        replace_months(dedupe_polled(new, by), path, f"{path}_staged/store-{epoch}")
     return write
 
 
-def supersede_polled(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer for export batches: polled rows up to the export's
-    last time are dropped, month by month."""
+def supersede_polled(path: str, by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer for export batches: remembers each listener's last
+    export time and drops the polled rows up to it, month by month."""
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = read_optional(spark, path)
-        if old is None:
-            return
-        cutoff = batch.agg(F.max("ts")).first()[0]
-        if cutoff is None:
+        new = batch.groupBy(*by).agg(F.max("ts").alias("cutoff")).where("cutoff is not null")
+        new.write.mode("overwrite").parquet(f"{path}_cutoffs/epoch={epoch}")
+        old, last = read_optional(spark, path), new.agg(F.max("cutoff")).first()[0]
+        if old is None or last is None:
             return
-        touched = old.where(F.col("month") <= F.trunc(F.lit(cutoff), "month"))
-        kept = touched.where(F.col("ts") > F.lit(cutoff))
-        gone = touched.select("month").distinct()
-        replace_months(kept, path, f"{path}_staged/{epoch}", gone)
+        touched = old.where(F.col("month") <= F.trunc(F.lit(last), "month"))
+        replace_months(after_cutoff(touched, path, by), path, f"{path}_staged/supersede-{epoch}", touched.select("month").distinct())
     return write
 
 
 def replace_months(rows: DataFrame, path: str, staging: str, months: DataFrame | None = None) -> None:
-    """Replace the months of ``rows``; ``months`` adds ones that are now empty."""
+    """Replace the months of ``rows``; ``months`` adds ones that are now empty.
+    Those go last, when the others are in place."""
     spark = rows.sparkSession
     rows.write.mode("overwrite").option("compression", "zstd").parquet(staging)
     staged = spark.read.schema(rows.schema).parquet(staging)
-    if months is not None:
-        kept = [r[0] for r in staged.select("month").distinct().collect()]
-        for r in months.collect():
-            if r[0] not in kept:
-                drop_month(spark, path, r[0])
+    gone = [] if months is None else [r[0] for r in months.join(staged.select("month").distinct(), "month", "left_anti").collect()]
     staged.hint("rebalance", "month").write.mode("overwrite").option("compression", "zstd").option(
         "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    for month in gone:
+        drop_folder(spark, f"{path}/month={month}")
+    drop_folder(spark, staging)
 
 
-def drop_month(spark: SparkSession, path: str, month) -> None:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/month={month}")
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -40,6 +40,19 @@ def test_export_to_plays(spark, folder):
     assert profiles.duplicates_dropped(exports.read_export(spark, folder), raw).first().duplicates == 1
 
 
+def test_times_are_utc_in_any_session_zone(spark, folder):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        seen = []
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            raw = events.normalise_plays(exports.read_export(spark, folder)).orderBy("ts", "ms_played")
+            seen.append([(r.ts, r.month) for r in raw.select("ts", "month").collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert seen[0] == seen[1] and seen[0][0] == (dt.datetime(2020, 1, 31, 23, 59, 59), dt.date(2020, 1, 1))
+
+
 def test_health_and_drift(spark, folder):
     h = {r.source_file: (r.n_rows, r.failed) for r in exports.file_health(spark, folder).collect()}
     assert h == {"Streaming_History_Audio_0.json": (5, False), "Streaming_History_Video_1.json": (2, False),
@@ -91,13 +104,13 @@ def test_recently_played(spark):
     track = lambda uri, arts, album: {"uri": uri, "name": "T", "duration_ms": 1000, "artists": [{"name": a} for a in arts],
                                       "album": {"name": "Al", "artists": [{"name": a} for a in album]}}
     page = {"items": [
-        {"played_at": "2026-07-01T10:00:00.5Z", "track": track("u1", ["Tyler, The Creator", "B"], ["VA"]), "context": {"type": "album"}},
+        {"played_at": "2026-07-01T10:00:00.5Z", "track": track("u1", ["Ember, The Younger", "B"], ["VA"]), "context": {"type": "album"}},
         {"played_at": "2026-07-01T12:00:00+02:00", "track": track("u2", ["B"], []), "context": None},
         {"played_at": "2026-07-01T10:00:00Z", "track": track(None, ["B"], []), "context": None}]}
     df = spark.read.schema(schemas.RECENTLY_PLAYED).json(spark.sparkContext.parallelize([json.dumps(page)]))
     rows = payloads.recently_played(df).orderBy("track_uri").collect()
     assert [(r.track_uri, r.artist_name, r.track_artists, r.reason_start) for r in rows] == [
-        ("u1", "VA", "Tyler, The Creator\u001fB", "album"), ("u2", "B", "B", None)]
+        ("u1", "VA", "Ember, The Younger\u001fB", "album"), ("u2", "B", "B", None)]
     assert rows[0].ts == dt.datetime(2026, 7, 1, 10, 0, 0, 500000) and rows[1].ts == dt.datetime(2026, 7, 1, 10)
     assert tuple(payloads.page_full(df, 3).first()) == (3, True)
 
@@ -144,3 +157,13 @@ def test_sources(table):
     assert quality.source_conflicts(["a", "b"], ["b"]) == ["b"]
     lists = table("name string", ("a",), ("c",), ("c",))
     assert {(r["name"], r.n) for r in quality.ambiguous_sources(lists, ["a", "b", "c"]).collect()} == {("b", 0), ("c", 2)}
+
+
+def test_appends_count_in_their_order(spark, table, tmp_path):
+    schema = schemas.RESOLUTION_LOG
+    row = lambda status: table("artist_name string, status string", ("a", status))
+    for k in range(6):
+        path = str(tmp_path / f"log{k}")
+        for status in ("error", "ambiguous", "error", "resolved"):
+            logs.append_log(row(status), path)
+        assert [r.status for r in logs.read_latest(spark, path, schema, ["artist_name"]).collect()] == ["resolved"]

@@ -51,9 +51,40 @@ def test_first_seen_moves_back_for_late_rows(spark, tmp_path):
 
 
 def test_dedupe_across_batches(spark, tmp_path):
-    d = run(spark, tmp_path, lambda s: live.dedupe_stream(s, delay="30 days"), ["ts", "track_uri"], "append",
-            [[event(1), event(1), event(2)], [event(1), event(3)]])
-    assert column(d, "ts", "ts") == [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
+    d = run(spark, tmp_path, lambda s: live.dedupe_stream(s), ["ts", "track_uri"], "append",
+            [[event(1), event(1), event(2)], [event(1), event(3)], [event(90)], [event(4)], [event(90), event(2)]])
+    assert column(d, "ts", "ts") == [dt.datetime(2024, 1, d) for d in (1, 2, 3, 4)] + [event(90)[0]]
+
+
+def test_late_rows_reach_their_day(spark, tmp_path):
+    make = lambda s: live.daily_rollup(s, ["artist_name"])
+    days = run(spark, tmp_path, make, ["day", "artist_name"], batches=[[event(1)], [event(60)], [event(1)], [event(30)]])
+    assert sorted((r.day.timetuple().tm_yday, r.plays) for r in days.collect()) == [(1, 2), (30, 1), (60, 1)]
+
+
+def test_nothing_written_yet(spark, tmp_path):
+    schema = T.StructType.fromDDL("k string, n int")
+    assert live.read_upserts(spark, str(tmp_path / "none"), schema, ["k"]).count() == 0
+
+
+def test_a_table_may_be_a_folder_or_a_file(spark, tmp_path):
+    df = spark.createDataFrame([event(1), event(2)], EVENTS).repartition(2)
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    part = str(next((tmp_path / "events.parquet").glob("part-*.parquet")))
+    for path, n in ((str(tmp_path / "events.parquet"), 2), (part, 1)):
+        s = live.stream_table(spark, path, T.StructType.fromDDL(EVENTS))
+        live.run_to_end(live.dedupe_stream(s), str(tmp_path / f"o{n}"), str(tmp_path / f"c{n}"), "append")
+        assert spark.read.parquet(str(tmp_path / f"o{n}")).count() == n
+
+
+def test_supersession_per_listener(spark, tmp_path):
+    path, who = str(tmp_path / "polled"), "user_id int, ts timestamp_ntz, track_uri string"
+    df = lambda *rows: spark.createDataFrame([(u, event(d)[0], "t") for u, d in rows], who)
+    put, cut = live.store_polled(path, by=["user_id"]), live.supersede_polled(path, by=["user_id"])
+    put(df((1, 3), (1, 9), (2, 3)), 0)
+    cut(df((1, 5)), 0)
+    put(df((1, 4), (2, 4)), 1)
+    assert sorted((r.user_id, r.ts.day) for r in spark.read.parquet(path).collect()) == [(1, 9), (2, 3), (2, 4)]
 
 
 def test_credit_repair(spark, tmp_path):
@@ -77,7 +108,8 @@ def test_polled_store_and_supersession(spark, tmp_path):
     cut(df(event(41)), 2)
     assert have() == days(70)
     cut(df(event(41)), 3)
-    assert have() == days(70)
+    put(df(event(5), event(41), event(71)), 4)  # polled again after the export
+    assert have() == days(70, 71)
 
 
 def test_work_dir_uses_the_shared_folder(spark):

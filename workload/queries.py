@@ -910,7 +910,7 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 def _events(t: Tables) -> DataFrame:
     schema = T.StructType.fromDDL(EVENTS)
-    return live.stream_table(t.spark, t.path, schema, glob="events.parquet")
+    return live.stream_table(t.spark, f"{t.path}/events.parquet", schema)
 
 
 def _streamed(t: Tables, df: DataFrame, key, mode: str) -> DataFrame:
@@ -919,10 +919,17 @@ def _streamed(t: Tables, df: DataFrame, key, mode: str) -> DataFrame:
     return live.read_upserts(t.spark, f"{base}/rows", df.schema, key)
 
 
+def _shuffled(t: Tables) -> DataFrame:
+    """The events in mixed order over many files, one to a micro-batch."""
+    base = f"{work_dir(t.spark)}/events"
+    t.read("events").repartition(6, F.xxhash64("event_id")).write.parquet(base)
+    return live.stream_table(t.spark, base, T.StructType.fromDDL(EVENTS), files_per_trigger=1)
+
+
 @query("", """SELECT CAST(ts AS DATE) AS day, user_id, event_type, count(*) AS plays, round(sum(value), 4) AS secs
     FROM events GROUP BY ALL""")
 def daily_rollup_stream(t):
-    days = live.daily_rollup(_events(t), ["user_id", "event_type"], seconds="value")
+    days = live.daily_rollup(_shuffled(t), ["user_id", "event_type"], seconds="value")
     return rounded(_streamed(t, days, ["day", "user_id", "event_type"], "update"), secs=4)
 
 
@@ -934,6 +941,37 @@ def first_seen_stream(t):
 @query("", "SELECT event_id, ts, user_id, event_type, value FROM events")
 def stream_dedupe(t):
     """The feed delivered twice, each event kept once."""
-    twice = _events(t).unionByName(_events(t))
+    twice = _shuffled(t).unionByName(_events(t))
     once = live.dedupe_stream(twice, key=("event_id",)).select("event_id", "ts", "user_id", "event_type", "value")
     return _streamed(t, once, ["event_id"], "append")
+
+
+@query("", """WITH cut AS (SELECT user_id, max(ts) AS cutoff FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
+    SELECT DISTINCT e.user_id, e.ts, e.event_type AS track_uri FROM events e LEFT JOIN cut USING (user_id)
+    WHERE event_id % 3 <> 0 AND (cutoff IS NULL OR ts > cutoff)""")
+def supersede_stream(t):
+    """Polled events stored before and after an export of every third one: what
+    an export covers goes, and stays away when it is polled again."""
+    path = f"{work_dir(t.spark)}/polled"
+    e = t.read("events").select("event_id", "user_id", "ts", F.col("event_type").alias("track_uri"))
+    polled, by = e.where("event_id % 3 <> 0").drop("event_id"), ["user_id"]
+    put, cut = live.store_polled(path, by=by), live.supersede_polled(path, by=by)
+    put(polled, 0)
+    cut(e.where("event_id % 3 = 0"), 0)
+    put(polled, 1)
+    return t.spark.read.parquet(path).select("user_id", "ts", "track_uri")
+
+
+@query("", """SELECT user_id, event_type, max(ts) AS ts, arg_max(value, ts) AS value FROM events GROUP BY user_id, event_type""")
+def log_reread(t):
+    """A log written in four appends, oldest days first; the latest record per key."""
+    path = f"{work_dir(t.spark)}/log"
+    key = ["user_id", "event_type"]
+    e = t.read("events").withColumn("round", F.pmod(F.dayofyear("ts"), F.lit(4)))
+    schema = T.StructType.fromDDL("user_id bigint, event_type string, ts timestamp_ntz, value double")
+    latest = lambda d: d.groupBy(*key).agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
+    done = None
+    for k in range(4):
+        done = e.where(F.col("round") <= k)
+        logs.append_log(latest(done), path)
+    return logs.read_latest(t.spark, path, schema, key).select(*key, "ts", "value")
