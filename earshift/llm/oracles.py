@@ -86,6 +86,23 @@ FROM c GROUP BY conv_id
 ORACLES = {"op1_quality_rules": RULES_SQL, "op3_exact_dedup": EXACT_SQL, "op9_source_mix": MIX_SQL, "op10_chat_format": CHAT_SQL}
 
 
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS id, doc_id, list_filter(string_split_regex({LOWER}, '{SPACE}+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT id, doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END AS list FROM d),
+b AS (SELECT id, shingle, count(*) AS c FROM (SELECT id, unnest(list) AS shingle FROM s) GROUP BY ALL),
+n AS (SELECT id, sum(c) AS n FROM b GROUP BY id),
+p AS (SELECT x.id AS i, y.id AS k, sum(least(x.c, y.c)) AS both_ FROM b x JOIN b y ON x.shingle = y.shingle AND x.id < y.id GROUP BY ALL),
+l AS (SELECT i, k FROM p JOIN n x ON x.id = i JOIN n y ON y.id = k WHERE both_ / (x.n + y.n - both_) >= 0.8),
+e AS (SELECT i, k FROM l UNION ALL SELECT k, i FROM l),
+r(id, root) AS (SELECT id, id FROM d UNION SELECT e.k, r.root FROM r JOIN e ON e.i = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+g AS (SELECT root, max(doc_id) AS class_id, count(*) AS class_size FROM c JOIN d USING (id) GROUP BY root)
+SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM d JOIN c USING (id) JOIN g USING (root)
+"""
+
+
 def _urls() -> str:
     from .urls import BIN, BINS, MICRO, ORDER, PAD, PARTS, SIGNS
     from .urls import RULES as url_rules
@@ -133,4 +150,4 @@ FROM b JOIN f ON b.url IS NOT DISTINCT FROM f.url, z
 """
 
 
-ORACLES |= {"op5_url_model": _urls()}
+ORACLES |= {"op4_bag_minhash": NEAR_SQL, "op5_url_model": _urls()}
