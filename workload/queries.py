@@ -26,7 +26,7 @@ from earshift.operators import (
     trends as tr,
 )
 from earshift.plans import feeds
-from earshift.sources import logs, payloads
+from earshift.sources import exports, logs, payloads
 from earshift.sources.tables import work_dir
 from earshift.streaming import live
 
@@ -903,6 +903,63 @@ def not_finite(t):
     return qual.not_finite(t.trends(), ("share", "smoothed_share", "tag_seconds")).select("column", "n")
 
 
+# ---- export files ---------------------------------------------------------
+
+LINE_EVENT = """strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS ts, l_linestatus AS platform, CAST(l_quantity * 6000 AS BIGINT) AS ms_played,
+    'Song ' || l_partkey AS track_name, 'Artist ' || l_suppkey AS artist_name,
+    CASE WHEN l_linenumber < 5 THEN 't' || l_partkey END AS track_uri, CASE WHEN l_linenumber = 5 THEN 'e' || l_partkey END AS episode_uri,
+    CASE WHEN l_linenumber = 6 THEN 'b' || l_partkey END AS audiobook_uri, l_returnflag AS reason_end, l_returnflag = 'R' AS skipped"""
+
+
+def _export_folder(t: Tables, broken: bool = False) -> str:
+    """The line table as export files, JSON arrays of some thousand events, the
+    lines numbered 1 once more in files of their own."""
+    base = f"{work_dir(t.spark)}/export"
+    n, uri = F.col("l_linenumber"), lambda letter: F.concat(F.lit(letter), "l_partkey")
+    line = t.read("lineitem")
+    files = max(1, line.count() // 4000)
+    event = F.to_json(F.struct(
+        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.col("l_linestatus").alias("platform"),
+        (F.col("l_quantity") * 6000).cast("bigint").alias("ms_played"), F.lit("10.0.0.1").alias("ip_addr"),
+        F.concat(F.lit("Song "), "l_partkey").alias("master_metadata_track_name"),
+        F.concat(F.lit("Artist "), "l_suppkey").alias("master_metadata_album_artist_name"),
+        F.when(n < 5, uri("t")).alias("spotify_track_uri"), F.when(n == 5, uri("e")).alias("spotify_episode_uri"),
+        F.when(n == 6, uri("b")).alias("audiobook_uri"), F.col("l_returnflag").alias("reason_end"), (F.col("l_returnflag") == "R").alias("skipped")))
+    rows = line.select("l_linenumber", F.pmod(F.xxhash64("l_orderkey"), F.lit(files)).alias("file"), event.alias("event"))
+    rows = rows.select("file", "event", F.explode(F.when(n == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
+    arrays = rows.groupBy("again", "file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("event"), ","), F.lit("]")).alias("value"))
+    if broken:
+        arrays = arrays.unionByName(arrays.where("again = 1").withColumn("value", F.substring("value", 1, 200)).withColumn("again", F.lit(2)))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(base)
+    jvm = t.spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(base)
+    fs = where.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(where):  # the export's file names
+        if f.getPath().getName().startswith("part-"):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(where, f"Streaming_History_Audio_{f.getPath().getName()[:-4]}.json"))
+    return base
+
+
+PLAYED = ("ts", "platform", "ms_played", "track_name", "artist_name", "track_uri", "episode_uri", "audiobook_uri", "reason_end", "skipped",
+          "content_type", "played_seconds", "month")
+
+
+@query("", f"""SELECT DISTINCT CAST(strptime(ts, '%Y-%m-%dT%H:%M:%SZ') AS TIMESTAMP) AS ts, * EXCLUDE (ts), CASE WHEN track_uri IS NOT NULL THEN 'music'
+        WHEN episode_uri IS NOT NULL THEN 'podcast' WHEN audiobook_uri IS NOT NULL THEN 'audiobook' ELSE 'unknown' END AS content_type,
+        ms_played / 1000.0::DOUBLE AS played_seconds, CAST(date_trunc('month', strptime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS DATE) AS month
+    FROM (SELECT {LINE_EVENT} FROM lineitem)""")
+def export_plays(t):
+    return ev.normalise_plays(exports.read_export(t.spark, _export_folder(t))).select(*PLAYED)
+
+
+@query("", """SELECT failed, CASE WHEN failed THEN 0 ELSE (SELECT count(*) + count(*) FILTER (l_linenumber = 1) FROM lineitem) END::BIGINT AS n_rows
+    FROM (VALUES (true), (false)) AS v(failed)""")
+def export_health(t):
+    """Rows of whole files, and of files that are cut off."""
+    h = exports.file_health(t.spark, _export_folder(t, broken=True))
+    return h.groupBy("failed").agg(F.sum("n_rows").alias("n_rows"))
+
+
 # ---- streams --------------------------------------------------------------
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
