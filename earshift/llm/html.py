@@ -7,6 +7,7 @@ blocks below, picks the blocks that stay.  Splitting into blocks is Python in
 Arrow batches; the tree becomes a Spark expression over the list.
 """
 
+import bisect
 import html as references
 import re
 import sys
@@ -38,14 +39,22 @@ FURNITURE_NAMES = frozenset((
     "popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus "
     "respond reply replies related recommended widget widgets toolbar pagination pager search copyright legal disclaimer").split())
 ARTICLE_NAMES = frozenset("article post entry content story main".split())
+#: Words of a name that say what is absent or allowed for, as in no-comments or has-sidebar.
+STATES = frozenset("no not non has have with without hide hides is".split())
+#: Silent elements whose content is no markup, up to their end tag.
+RAW = frozenset("script style title iframe textarea".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<silent>{'|'.join(SILENT)})\b(?=[\s/>]).*?(?:</(?P=silent)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^\"']*>))*+)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S | re.I)
-ATTR = re.compile(r"(class|id|role|href|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+SILENT_TAG = re.compile(rf"<(/?)({'|'.join(SILENT)})(?=[\s/>])", re.I)
+BREAK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BREAKS))})(?=[\s/>])", re.I)
+ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+CLOSED_ITSELF = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/\s*$")
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
+#: Words of a wrapper that outweigh its mark.
+MUCH = 120
 
 BLOCK = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in ("words", "links", "main", "aside", "heading"))])
 FEATURES = ("words", "links", "main", "aside", "heading", "words_before", "links_before", "words_after", "links_after")
@@ -65,6 +74,19 @@ LABELLED: tuple[tuple[float, ...], ...] = (
     (45, .02, 1, 1, 0, 100, 0, 20, 0, 0), (90, 0, 1, 1, 0, 5, 0, 60, 0, 0), (3, 0, 1, 1, 1, 50, 0, 25, 0, 0), (5, 1, 1, 1, 0, 40, 0, 4, 1, 0),
     (10, 0, 0, 1, 1, 70, 0, 30, .5, 0), (150, .1, 0, 1, 0, 20, 0, 10, 0, 0), (4, 0, 0, 1, 1, 0, 0, 3, 1, 0), (1, 0, 1, 1, 0, 90, 0, 2, 0, 0),
     (25, 0, 0, 1, 0, 25, 0, 25, 0, 0), (16, .9, 1, 1, 0, 66, 0, 40, 0, 0), (200, 0, 0, 1, 0, 1, 1, 2, 1, 0), (2, .5, 0, 1, 0, 12, 0, 0, 0, 0),
+    # inside an article, short text before or between linked text
+    (1, 0, 1, 0, 0, 2, 0, 1, 1, 1), (2, 0, 1, 0, 0, 30, 0, 4, 1, 1), (4, 0, 1, 0, 0, 0, 0, 6, 1, 1), (6, 0, 1, 0, 1, 0, 0, 3, 1, 1),
+    (3, 0, 1, 0, 0, 5, 1, 5, 1, 1), (8, 0, 1, 0, 0, 40, 0, 2, .9, 1), (5, .2, 1, 0, 0, 3, .5, 7, .8, 1), (2, 0, 1, 0, 1, 1, 1, 1, 1, 1),
+    (10, 0, 1, 0, 0, 4, 0, 9, 1, 1), (3, 1, 1, 0, 0, 4, 1, 5, 1, 1), (1, 1, 1, 0, 0, 1, 1, 0, 0, 1), (6, .9, 1, 0, 0, 2, 0, 3, .7, 1),
+    (14, 0, 1, 0, 0, 60, 0, 24, 1, 1), (30, .3, 1, 0, 0, 90, .3, 5, 1, 1), (90, 0, 1, 0, 0, 400, 1, 60, 1, 1), (5, 1, 1, 0, 1, 90, .3, 1, 1, 1),
+    # in a wrapper of doubtful mark: long unlinked text stays
+    (40, 0, 0, .5, 0, 6, 0, 60, 0, 1), (80, .05, 0, .5, 0, 40, 0, 30, 0, 1), (25, 0, 0, .5, 0, 50, 0, 90, 0, 1), (150, .02, 0, .5, 0, 1, 1, 2, 1, 1),
+    (35, 0, 1, .5, 0, 40, 0, 55, 0, 1), (60, .1, 1, .5, 0, 9, 0, 70, 0, 1), (210, 0, 1, .5, 0, 0, 0, 3, 1, 1), (20, 0, 0, .5, 0, 33, 0, 4, 0, 1),
+    (6, 0, 0, .5, 0, 45, 0, 51, 0, 1), (3, 0, 0, .5, 1, 60, 0, 38, 0, 1), (7, 0, 0, .5, 1, 0, 0, 48, 0, 1), (9, 0, 0, .5, 0, 31, 0, 55, 0, 1),
+    (2, 1, 0, .5, 0, 1, 1, 2, 1, 0), (4, 0, 0, .5, 0, 2, 1, 3, 1, 0), (30, .8, 0, .5, 0, 12, .6, 9, .8, 0), (5, 0, 0, .5, 0, 3, 0, 4, 0, 0),
+    (1, 1, 1, .5, 0, 50, 0, 1, 1, 0), (3, 0, 1, .5, 0, 70, 0, 2, 1, 0), (2, 0, 1, .5, 0, 1, 1, 60, 0, 0), (45, .9, 0, .5, 0, 3, 1, 20, .8, 0),
+    (12, 1, 0, .5, 0, 30, 0, 50, 0, 0), (3, .8, 0, .5, 0, 6, 1, 90, 0, 0), (8, 0, 1, .5, 0, 30, 0, 40, 0, 0), (6, 0, 1, .5, 1, 3, 1, 25, 0, 0),
+    (12, .8, 1, .5, 0, 30, 0, 20, 0, 0), (40, 1, 1, .5, 0, 10, 1, 50, .2, 0), (60, .9, 1, .5, 0, 80, 0, 3, 1, 0), (24, 0, 1, .5, 0, 3, 1, 1, 1, 1),
     # neither: long plain text stays, short or linked text goes
     (40, 0, 0, 0, 0, 6, 0, 60, 0, 1), (75, .05, 0, 0, 0, 40, 0, 30, 0, 1), (28, .1, 0, 0, 0, 50, 0, 90, 0, 1), (110, 0, 0, 0, 0, 1, 1, 2, 1, 1),
     (20, 0, 0, 0, 0, 35, 0, 44, 0, 1), (52, .2, 0, 0, 0, 18, 0, 5, 0, 1), (33, 0, 0, 0, 0, 0, 0, 0, 0, 1), (18, 0, 0, 0, 0, 64, 0, 3, 0, 1),
@@ -74,41 +96,98 @@ LABELLED: tuple[tuple[float, ...], ...] = (
     (4, 0, 0, 0, 0, 2, 1, 3, 1, 0), (6, 0, 0, 0, 0, 0, 0, 3, 1, 0), (7, 0, 0, 0, 0, 5, .4, 4, .9, 0), (2, 0, 0, 0, 0, 1, 1, 0, 0, 0),
     (45, .9, 0, 0, 0, 3, 1, 20, .8, 0), (8, .6, 0, 0, 0, 70, 0, 6, 1, 0), (3, 0, 0, 0, 1, 4, 1, 5, .9, 0), (2, 0, 0, 0, 1, 2, 0, 3, 1, 0),
     (5, 0, 0, 0, 0, 3, 0, 4, 0, 0), (4, 0, 0, 0, 0, 6, 0, 2, 0, 0), (9, .1, 0, 0, 0, 4, .5, 7, .5, 0), (1, 0, 0, 0, 0, 3, 0, 2, 0, 0),
+    (5, .9, 0, 0, 0, 40, 0, 60, 0, 0), (1, 1, 0, 0, 0, 80, 0, 45, 0, 0), (30, .9, 0, 0, 0, 5, 1, 70, 0, 0), (60, 1, 0, 0, 0, 30, 0, 30, 0, 0),
 )
 
 
-def names(attrs: str) -> tuple[bool, bool]:
-    """Whether class, id or role name page furniture, or an article."""
-    found: set[str] = set()
-    furniture = False
+def attributes(attrs: str) -> dict[str, str | None]:
+    """Values by whole name, as written first; None for a bare name."""
+    out: dict[str, str | None] = {}
     for m in ATTR.finditer(attrs):
-        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if kind == "role":
-            furniture |= value in FURNITURE_ROLES
-        elif kind in ("class", "id"):
-            found.update(NAME.findall(value))
-        elif kind == "hidden":
-            furniture = True
-    main = bool(found & ARTICLE_NAMES)
-    return furniture or bool(found & FURNITURE_NAMES) or ("header" in found and not main), main
+        out.setdefault(m[1].lower(), next((v for v in m.groups()[1:] if v is not None), None))
+    return out
+
+
+def names(tag: str, attrs: str) -> tuple[float, bool, bool]:
+    """Mark of page furniture (0 none, 0.5 doubtful, 1), article, hidden.
+
+    A class or id counts by its words: one that ends in a furniture word is
+    furniture, one that only holds such a word is doubtful, one with a word of
+    STATES says nothing.  Names of articles outweigh as many names of furniture."""
+    got = attributes(attrs) if attrs else {}
+    strong, weak, article = 0, 0, {"article": 1, "main": 2}.get(tag, 0)
+    role = (got.get("role") or "").strip().lower()
+    article += {"article": 1, "main": 2}.get(role, 0)
+    header = False
+    for name in f"{got.get('class') or ''} {got.get('id') or ''}".lower().split():
+        words = NAME.findall(name)
+        if not words or STATES.intersection(words):
+            continue
+        main, aside = bool(ARTICLE_NAMES.intersection(words)), bool(FURNITURE_NAMES.intersection(words))
+        if main and aside:
+            if words[-1] in FURNITURE_NAMES or words[-1] in ARTICLE_NAMES:
+                weak += 1
+            else:
+                article += 1
+        elif main:
+            article += 1
+        elif aside:
+            strong, weak = (strong + 1, weak) if words[-1] in FURNITURE_NAMES else (strong, weak + 1)
+        elif "header" in words:
+            header = True
+    strong += header and not article
+    if role in FURNITURE_ROLES or tag in FURNITURE_TAGS:
+        mark = 1.0
+    elif strong:
+        mark = 1.0 if article < strong else 0.5 if article == strong else 0.0
+    else:
+        mark = 0.5 if weak and not article else 0.0
+    hidden = "hidden" in got and (got["hidden"] or "").strip().lower() in ("", "hidden")
+    return (1.0 if hidden else mark), bool(article) and mark == 0 and not hidden, hidden
+
+
+class Silent:
+    """Where the silent elements of a page end."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.tags: dict[tuple[bool, str], list[int]] = {}
+        for m in SILENT_TAG.finditer(page):
+            self.tags.setdefault((bool(m[1]), m[2].lower()), []).append(m.start())
+
+    def after(self, end: bool, tag: str, at: int) -> int:
+        found = self.tags.get((end, tag), ())
+        k = bisect.bisect_left(found, at)
+        return found[k] if k < len(found) else len(self.page)
+
+    def end(self, tag: str, at: int) -> int:
+        """End of an element whose content begins at ``at``: its end tag; if that is
+        missing or belongs to a later element, the next tag of a block if sooner."""
+        page, close = self.page, self.after(True, tag, at)
+        if close == len(page) or (tag not in RAW and self.after(False, tag, at) < close):
+            m = BREAK_TAG.search(page, at, close)
+            if m:
+                return m.start()
+        return (page.find(">", close) + 1 or len(page)) if close < len(page) else close
 
 
 def blocks(page: str) -> list[tuple]:
     """(text, words, link density, main, aside, heading) of each block with text."""
     out: list[tuple] = []
-    held: list[tuple[str, bool, bool]] = []
+    # surroundings: (parent, tag, mark, article, hidden), the page itself first
+    around: list[tuple[int, str, float, bool, bool]] = [(-1, "", 0.0, False, False)]
+    held = [0]
     text: list[str] = []
-    linked, in_link, own, heading, dropped = 0, False, False, False, False
+    linked, in_link, own, heading, dropped = 0, False, 0.0, False, False
+    silent: Silent | None = None
     at = 0
 
     def close() -> None:
-        nonlocal text, linked, heading, own
+        nonlocal text, linked
         joined = SPACE.sub(" ", "".join(text)).strip()
         if joined:
             n = joined.count(" ") + 1
-            main = bool(held) and held[-1][1]
-            aside = own or (bool(held) and held[-1][2])
-            out.append((joined, float(n), min(1.0, linked / n), float(main), float(aside), float(heading)))
+            out.append((joined, float(n), min(1.0, linked / n), held[-1], own, float(heading)))
         text, linked = [], 0
 
     def add(raw: str) -> None:
@@ -119,42 +198,68 @@ def blocks(page: str) -> list[tuple]:
             if in_link:
                 linked += len(plain.split())
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         add(page[at:m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag in SILENT:
+            if not m["end"] and not CLOSED_ITSELF.search(m["attrs"]):
+                silent = silent or Silent(page)
+                at = silent.end(tag, at)
+            continue
         if tag == "a":
-            in_link = not m["end"] and "href" in m["attrs"].lower()
+            in_link = not m["end"] and "href" in attributes(m["attrs"])
         elif tag in ("br", "img", "wbr"):
             text.append(" ")
         if tag not in BREAKS:
             continue
         close()
-        in_link, own, heading = False, False, False
-        if tag == "head":
-            dropped = not m["end"]
-        elif tag == "body":
-            dropped = False
+        in_link, own, heading = False, 0.0, False
+        if tag != "html":  # any block ends the head
+            dropped = tag == "head" and not m["end"]
         if m["end"]:
             if tag in HOLDERS:
-                for k in range(len(held) - 1, -1, -1):
-                    if held[k][0] == tag:
+                for k in range(len(held) - 1, 0, -1):
+                    if around[held[k]][1] == tag:
                         del held[k:]
                         break
             continue
-        named, article = names(m["attrs"]) if m["attrs"] else (False, False)
+        mark, article, hidden = names(tag, m["attrs"])
         if tag in HOLDERS:
-            main, aside = held[-1][1:] if held else (False, False)
-            top = tag == "header" and not main
-            aside = aside or tag in FURNITURE_TAGS or top or named
-            held.append((tag, main or ((tag in ("article", "main") or article) and not aside), aside))
+            around.append((held[-1], tag, mark, article, hidden))
+            held.append(len(around) - 1)
         else:
-            own = named and tag not in ("body", "html")
+            own = mark if tag not in ("body", "html") else 0.0
             heading = tag[0] == "h" and tag[1:].isdigit()
     add(page[at:])
     close()
+    where = settled(around, out)
+    return [(t, n, links, float(where[k][0]), max(own, where[k][1]), h) for t, n, links, k, own, h in out]
+
+
+def settled(around: Sequence[tuple], found: Sequence[tuple]) -> list[tuple[bool, float]]:
+    """(main, aside) of all surroundings.
+
+    A mark is in doubt if MUCH unlinked text, and most of the page's, is within;
+    an article in doubtful surroundings is an article."""
+    plain = [0.0] * len(around)
+    for _, n, links, k, _, _ in found:
+        plain[k] += n * (1 - links)
+    for k in range(len(around) - 1, 0, -1):
+        plain[around[k][0]] += plain[k]
+    out: list[tuple[bool, float]] = [(False, 0.0)]
+    for k, (up, tag, mark, article, hidden) in enumerate(around[1:], 1):
+        main, aside = out[up]
+        if tag == "header" and not main:
+            mark = 1.0
+        if mark == 1 and not hidden and plain[k] >= max(MUCH, 0.8 * plain[0]):
+            mark = 0.5
+        if article and mark < 1 and aside < 1:
+            out.append((True, 0.0))
+        else:
+            out.append((main, max(aside, mark)))
     return out
 
 

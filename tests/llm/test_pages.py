@@ -135,6 +135,54 @@ def test_main_text_of_odd_pages(spark):
     assert len(html.blocks(long)) == 1
 
 
+LONG = "plain words of a long paragraph without links " * 5
+KEPT_PAGES = {
+    "<div style='overflow:hidden' class='post'><p>Clipped box.</p></div>": "Clipped box.",
+    "<article aria-hidden=\"false\"><p>Shown.</p></article>": "Shown.",
+    "<article><div data-id=\"share\" data-class='menu' title='class=ad'><p>Data only.</p></div></article>": "Data only.",
+    "<article><p hidden>secret</p><div hidden=''><p>secret</p></div><p>Seen.</p></article>": "Seen.",
+    "<article><a data-href='/x'>Not a link at all</a></article>": "Not a link at all",
+    "<div class=\"content-sidebar-wrap\"><h1>Title</h1><p>Short.</p></div>": "Title\n\nShort.",
+    "<article class=\"post no-comments\"><p>Short.</p><p>Words.</p></article>": "Short.\n\nWords.",
+    "<article class='post comments'><p>Short.</p></article>": "Short.",
+    "<div class='has-sidebar'><main><p>Short.</p></main><div class='sidebar'><p>" + LONG + "</p></div></div>": "Short.",
+    f"<div class='menu-layout'><p>{LONG}</p><p>{LONG}</p></div>": f"{LONG.strip()}\n\n{LONG.strip()}",
+    "<div class='notice'>" + f"<p>{LONG}</p>" * 8 + "</div><footer>(c)</footer>": "\n\n".join([LONG.strip()] * 8),
+    "<form id='aspnetForm'><div class='content'><h1>Title</h1>" + f"<p>{LONG}</p>" * 8 + "<p>End.</p></div></form>": "\n\n".join(["Title", *[LONG.strip()] * 8, "End."]),
+    "<div class='main-menu'><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul></div><article>a</article>": "a",
+    "<article><p>See also:</p><ul><li><a href='/a'>One</a></li><li>two</li><li><a href='/b'>Three</a></li></ul></article>": "See also:\n\nOne\n\ntwo\n\nThree",
+    "<html><head><title>Never closed<body><article><p>Still here.</p></article>": "Still here.",
+    "<article><svg/>before <iframe src='x' /><p>one</p><button>Go<p>two</p><button>x</button><p>three</p><script src=\"a\"/><p>four</p></article>": "before\n\none\n\ntwo\n\nthree\n\nfour",
+    "<article><noscript><p>off</p></noscript><p>on<textarea>typed<p>five</p></article>": "on\n\nfive",
+    "<html><head><title>x</title><article><p>No body tag.</p></article>": "No body tag.",
+}
+
+
+def test_main_text_keeps_articles(spark):
+    """Marks found in values or in one word of a name, open silent elements."""
+    df = spark.createDataFrame(list(enumerate(KEPT_PAGES)), "page_id long, html string")
+    got = {r.page_id: r.text for r in html.extract(df, keep=("page_id",)).collect()}
+    assert {p: got[i] for i, p in enumerate(KEPT_PAGES)} == KEPT_PAGES
+    import time
+
+    began = time.time()
+    assert len(html.blocks("<article>" + "<button>x<svg><svg></svg>" * 40_000 + "<p>end")) == 1
+    assert time.time() - began < 10
+
+
+def test_tree_on_grid(spark):
+    """Nothing of an article goes, nothing marked stays, whatever its neighbours."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    n, d = (0, 1, 5, 14, 24, 90, 400), (0, .3, 1)
+    rows = [tuple(map(float, (w or 1, k, m, a, h, *r))) for w, k, (m, a), h, *r in itertools.product(n, d, ((1, 0), (0, 1), (1, 1)), (0, 1), n, d, n, d)]
+    df = spark.createDataFrame(rows, list(html.FEATURES)).repartition(8)
+    kept = html.tree(spark)({f: F.col(f) for f in html.FEATURES}) > 0.5
+    assert df.where(kept != (F.col("aside") == 0)).count() == 0
+
+
 def test_tree_on_other_labels(spark):
     """Trained on two thirds of the labelled blocks, right on most of the rest."""
     rows = html.LABELLED
