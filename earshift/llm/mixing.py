@@ -3,8 +3,8 @@
 Each source's documents form a stream in shuffled order, repeated as often as
 its target asks for and cut into blocks of equal numbers of words.  Slots of the
 schedule are golden-ratio points mapped through the cumulative targets to a
-source; the k-th slot of a source takes its k-th block.  So every stretch of
-the mix holds the sources in their proportions.
+source; the k-th slot of a source takes its k-th block, and what has no slot is
+not taken.  So every stretch of the mix holds the sources in their proportions.
 """
 
 from __future__ import annotations
@@ -55,29 +55,36 @@ def goal() -> Column:
 
 
 def slots(sources: DataFrame, block: int) -> DataFrame:
-    """(rank, k, slot): the schedule.  ``sources`` must be a small written table.
+    """(rank, k, slot): the schedule, a slot for every block of every source.
+    ``sources`` must be a small written table.
 
-    Golden-ratio points hit each source's stretch of the line nearly as often as
-    its share; the few blocks without a point go to the end, and points beyond a
-    source's last block are passed over.
+    A source's stretch of the line is its share of the blocks.  Golden-ratio
+    points hit each stretch nearly as often as its share: about as many points as
+    there are blocks fill all but the last few, and points beyond a source's last
+    block are passed over.
     """
-    spark = sources.sparkSession
-    whole_ = Window.partitionBy()
+    spark, base = sources.sparkSession, work_dir(sources.sparkSession)
     upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    s = sources.where(goal() > 0).select("rank", goal().alias("goal"), F.ceil(goal() / block).alias("blocks"))
-    s = s.select("rank", "blocks", F.sum("goal").over(upto).alias("hi"), F.col("goal"), F.sum("goal").over(whole_).alias("all"))
-    line = s.select(
-        "rank", "blocks", F.floor((F.col("hi") - F.col("goal")) / F.col("all") * FULL).alias("lo"),
-        F.when(F.col("hi") == F.col("all"), F.lit(FULL)).otherwise(F.floor(F.col("hi") / F.col("all") * FULL)).alias("hi"))
-    cells = line.where("hi > lo").select("*", F.explode(F.sequence(
+    s = sources.where(goal() > 0).select("rank", F.ceil(goal() / block).alias("blocks"))
+    s = s.select("rank", "blocks", F.sum("blocks").over(upto).alias("hi"), F.sum("blocks").over(Window.partitionBy()).alias("all"))
+    scale = lambda c: F.floor(c / F.col("all") * FULL)
+    line = s.select("rank", "blocks", scale(F.col("hi") - F.col("blocks")).alias("lo"), scale(F.col("hi")).alias("hi"))
+    cells = line.select("*", F.explode(F.sequence(
         F.shiftright("lo", 32 - CELL_BITS), F.shiftright(F.col("hi") - 1, 32 - CELL_BITS))).alias("cell"))
     n = line.agg(F.sum("blocks")).first()[0] or 0
-    points = spark.range(n).select(
-        F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id"), F.lit(1 << 30)) * GOLDEN, F.lit(FULL)).alias("u"))
-    hit = points.join(cells, F.shiftright("u", 32 - CELL_BITS) == F.col("cell")).where(
-        (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "rank", "blocks")
-    hit = numbered(hit.withColumn("_part", F.floor(F.col("slot") / 65536)), ["rank"], "_part", [F.col("slot")], "k")
-    return hit.where("k < blocks").select("rank", "k", "slot")
+    spread = 3  # any stretch of 1 / n of the line has a point among the first 3 n
+    while True:
+        points = spark.range(spread * n).select(
+            F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id"), F.lit(1 << 30)) * GOLDEN, F.lit(FULL)).alias("u"))
+        hit = points.join(cells, F.shiftright("u", 32 - CELL_BITS) == F.col("cell")).where(
+            (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "rank", "blocks")
+        hit = numbered(hit.withColumn("_part", F.floor(F.col("slot") / 65536)), ["rank"], "_part", [F.col("slot")], "k")
+        out = materialise(hit.where("k < blocks").select("rank", "k", "slot"), f"slots{spread}", base)
+        if out.count() == n:
+            return out
+        if spread > 50:
+            raise ValueError("more blocks than the schedule can tell apart")
+        spread *= 2
 
 
 def shuffled(light: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
@@ -96,8 +103,9 @@ def mix(light: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     """Rows (uid, doc_id, source, size) of a written table to (rows, pieces).
 
     rows: the same with source_size, target and taken, the words that the mix
-    takes.  pieces: slot, uid, from_word, to_word, epoch: the mix itself, in the
-    order of slots.  A source's blocks add up to its rounded target.
+    takes.  pieces: slot, lo, uid, from_word, to_word, epoch: the mix itself, in
+    the order of (slot, lo), lo being a document's place in its source's stream.
+    A source's blocks add up to its rounded target.
     """
     spark, base = light.sparkSession, work_dir(light.sparkSession)
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -109,11 +117,11 @@ def mix(light: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     spans = spans.select("uid", "rank", "epoch", at.alias("lo"), F.least(at + F.col("size"), F.col("goal")).alias("hi")).where("lo < hi")
     # a word range meets each block in one piece
     piece = spans.select("*", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("k"))
-    piece = piece.select("uid", "rank", "epoch", "k", (F.greatest(F.col("lo"), F.col("k") * block) - F.col("lo")).alias("from_word"),
+    piece = piece.select("uid", "rank", "epoch", "lo", "k", (F.greatest(F.col("lo"), F.col("k") * block) - F.col("lo")).alias("from_word"),
                          (F.least(F.col("hi"), (F.col("k") + 1) * block) - F.col("lo")).alias("to_word"))
     sched = slots(sources, block).select(F.col("rank").alias("_r"), F.col("k").alias("_k"), "slot")
-    pieces = piece.join(sched, (F.col("rank") == F.col("_r")) & (F.col("k") == F.col("_k")), "left").select(
-        F.coalesce("slot", F.lit(1 << 40) + F.col("k")).alias("slot"), "uid", "epoch", "from_word", "to_word")
+    pieces = piece.join(sched, (F.col("rank") == F.col("_r")) & (F.col("k") == F.col("_k"))).select(
+        "slot", "lo", "uid", "epoch", "from_word", "to_word")
     taken = pieces.groupBy("uid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     rows = placed.join(taken.withColumnRenamed("uid", "_u"), F.col("uid") == F.col("_u"), "left").select(
         "uid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -141,14 +149,19 @@ def mixed_table(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: floa
                 block: int = BLOCK_WORDS) -> DataFrame:
     """The mix as rows of ``df``: a document stands as often as it is taken, and
     where its source's target ends within it, its first words that are taken
-    (with n_chars, if there is such a column, counted again)."""
+    (with n_chars, if there is such a column, counted again).
+
+    Rows stand in the order of the schedule, each document at the first slot that
+    takes of it: partitions by ranges of slots, and so the files written from
+    them in the order of their names, rows by slot within."""
     spark = df.sparkSession
     base = work_dir(spark)
     kept = materialise(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid")), "rows", base)
     text = F.col("row.text")
     light = kept.select("uid", "row.doc_id", "row.source", n_words(whole(text)).alias("size"))
     _, pieces = mix(materialise(light, "light", base), weights, share, most, block)
-    takes = pieces.groupBy("uid", "epoch").agg(F.max("to_word").alias("to")).select(F.col("uid").alias("_u"), "to")
+    takes = pieces.groupBy("uid", "epoch").agg(F.max("to_word").alias("to"), F.min("slot").alias("_slot"), F.first("lo").alias("_lo"))
+    takes = takes.select(F.col("uid").alias("_u"), "to", "_slot", "_lo")
     out = kept.join(takes, F.col("uid") == F.col("_u"))
     # pieces are words with the white space before them
     pieces_of = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
@@ -156,4 +169,5 @@ def mixed_table(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: floa
     row = F.col("row").withField("text", cut)
     if "n_chars" in df.columns:
         row = row.withField("n_chars", F.length(cut).cast(df.schema["n_chars"].dataType))
-    return out.select(row.alias("row")).select("row.*")
+    placed = out.select(row.alias("row"), "_slot", "_lo").repartitionByRange("_slot", "_lo").sortWithinPartitions("_slot", "_lo")
+    return placed.select("row.*")

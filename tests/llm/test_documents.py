@@ -334,6 +334,74 @@ def test_mixed_table(docs, none):
     assert mixing.mixed_table(none).count() == 0
 
 
+def plain_mix(rows, block):
+    """(doc_id, text) of the mix in order, by lists of words and a loop over slots."""
+    sized = [(r, words(r[1])) for r in rows]
+    target = {}
+    sizes = collections.Counter()
+    for r, w in sized:
+        sizes[r[3]] += len(w)
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    open_, left = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sizes.values())
+    target = dict.fromkeys(order, 0.0)
+    while open_ and left > 1e-9:
+        total, spill = sum(open_.values()), 0.0
+        for s, w in list(open_.items()):
+            target[s] += left * w / total
+            if target[s] >= 2 * sizes[s]:
+                spill += target[s] - 2 * sizes[s]
+                target[s] = 2.0 * sizes[s]
+                del open_[s]
+        left = spill
+    goals = {s: int(target[s] + 0.5) for s in order}
+    takes, blocks = {}, {s: -(-g // block) for s, g in goals.items()}
+    for s in order:
+        mine = sorted((x for x in sized if x[0][3] == s), key=lambda x: (
+            hashlib.md5(f"mix:{'' if x[0][0] is None else x[0][0]}".encode()).hexdigest(), -1 if x[0][0] is None else x[0][0], len(x[1])))
+        at = 0
+        for r, w in mine * 2:
+            n = min(len(w), goals[s] - at)
+            if n > 0:
+                cut = r[1] if n == len(w) else re.match(r"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){%d}" % n, r[1])[0]
+                takes.setdefault((s, at // block), []).append((r[0], cut))
+            at += len(w)
+    n, out, k, slot = sum(blocks.values()), [], collections.Counter(), 0
+    edge = np.cumsum([0, *(blocks[s] for s in order)])
+    while sum(k.values()) < n:
+        u = slot * 2654435769 % 2**32
+        for i, s in enumerate(order):
+            if edge[i] * 2**32 // n <= u < edge[i + 1] * 2**32 // n and k[s] < blocks[s]:
+                out += takes.get((s, k[s]), [])
+                k[s] += 1
+        slot += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 16, 256])
+def test_mixed_table_in_order(docs, spark, tmp_path, block):
+    """Documents, cuts and their order, in memory and over the files by name."""
+    import pyarrow.parquet as pq
+
+    rows = [r for r in corpus() if r[0] != 3]  # without equal ids
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = plain_mix(rows, block)
+    got = mixing.mixed_table(df, block=block)
+    assert [(r.doc_id, r.text) for r in got.collect()] == want
+    got.write.parquet(str(tmp_path / "mix"))
+    files = sorted((tmp_path / "mix").glob("part-*.parquet"))
+    assert [(r["doc_id"], r["text"]) for f in files for r in pq.read_table(f).to_pylist()] == want
+
+
+def test_every_block_has_a_slot(spark):
+    """Sources from one word to many blocks; none is left to the end or out."""
+    goals = [1.0, 3.0, 250_000.0, 17.0, 1.0, 90_000.0, 101.0, 0.0, 199.0]
+    s = spark.createDataFrame([(str(k), 0, k, g) for k, g in enumerate(goals)], "source string, source_size long, rank int, target double")
+    got = collections.defaultdict(list)
+    for r in mixing.slots(s, 100).orderBy("slot").collect():
+        got[r["rank"]].append((r.k, r.slot))
+    assert {k: [x for x, _ in v] for k, v in got.items()} == {k: list(range(-(-int(g) // 100))) for k, g in enumerate(goals) if g}
+
+
 def test_schedule_is_even(spark):
     """Any stretch of the schedule holds the sources in proportion."""
     s = spark.createDataFrame([("a", 0, 0, 60_000.0), ("b", 0, 1, 30_000.0), ("c", 0, 2, 10_000.0)], "source string, source_size long, rank int, target double")
