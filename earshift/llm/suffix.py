@@ -12,13 +12,14 @@ with a common prefix of 50 are equal windows.
 
 Whole copies are settled before, within a block of texts equal stretches leave
 as one, and an anchor's known repeats do not travel at all, so a passage that
-many texts share costs a file a few rows for each block.
+many texts share costs a file a few rows for each block.  Anchors with very many
+stretches are laid out window by window, in files by the window's bytes.
 """
 
 import hashlib
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,9 @@ CHUNK = 1 << 21
 ANCHORS_PER_FILE = 3_000_000
 ROWS_PER_FILE = 400_000
 TEXTS_PER_SHELF = 4096
+HOT_ROWS = ROWS_PER_FILE // 4  # an anchor's stretches that one file can take in besides others
+SAMPLE_BYTES = 1 << 26
+HOT_PIECE = 4096
 LAST = (1 << 63) - 1
 HASH_BYTES = 6
 
@@ -105,10 +109,10 @@ def cuts(*keys: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(change), len(keys[0])]
 
 
-def blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
+def blocks(batch: pa.RecordBatch, chunk: int = CHUNK) -> Iterator[tuple]:
     data, at = S.raw(batch.column(0))
     ids, ths = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-    for lo, hi in S.chunks(at, CHUNK):
+    for lo, hi in S.chunks(at, chunk):
         yield lo, hi, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], ids[lo:hi], ths[lo:hi]
 
 
@@ -137,14 +141,14 @@ ANCHOR_ROWS = "file int, id array<long>, th array<long>, n array<int>, kind arra
 FOUND_ROWS = "shelf int, id array<long>, th array<long>, n array<int>, hashes binary"
 
 
-def list_anchors(files: int):
+def list_anchors(files: int, chunk: int = CHUNK):
     """(text, id, th) to the anchors of a block of texts, one row per file.
 
     Hashes that two texts of a block hold are sure already: they pass through a
     file without being compared, and two witnesses tell their own file."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, at, ids, ths in blocks(batch):
+            for _, _, data, at, ids, ths in blocks(batch, chunk):
                 text, _, h, _, _ = anchors(data, at)
                 h = short(h)
                 o = np.lexsort((text, h))
@@ -216,32 +220,76 @@ def gather_hashes(table: pa.Table) -> pa.Table:
     return pa.table({"id": ids[first], "th": ths[first], "hashes": binaries(packed(h[o]).ravel(), group * HASH_BYTES)})
 
 
-def lay_out(files: int):
+def repeated(batch: pa.RecordBatch, chunk: int) -> Iterator[tuple]:
+    """(text, id, th, hashes) to each block with the stretches at its repeated anchors."""
+    for lo, hi, data, at, ids, ths in blocks(batch, chunk):
+        text, q, h, p0, p1 = anchors(data, at)
+        known, ends = S.raw(batch.column(3).slice(lo, hi - lo))
+        size = np.diff(ends) // HASH_BYTES
+        code = lambda h_, t_: mix(h_ ^ mix(t_.astype(np.uint64)))
+        want = code(unpacked(known), np.repeat(np.arange(hi - lo), size))
+        on = np.isin(code(short(h), text), want)
+        yield data, at, ids, ths, text[on], q[on], h[on], p0[on], p1[on]
+
+
+def count_anchors(chunk: int = CHUNK):
+    """(text, id, th, hashes) to (hash, n) of the anchors with several stretches in a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [short(b[6]) for batch in batches for b in repeated(batch, chunk)]
+        if found:
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["h", "n"])
+    return run
+
+
+def hot_anchors(held: DataFrame, n_bytes: int, least: int, chunk: int = CHUNK, sample_bytes: int = SAMPLE_BYTES) -> dict[int, int]:
+    """Hashes of the anchors with about ``least`` stretches or more, and how many,
+    from a sample of the texts.  They only decide where stretches go."""
+    share = min(1.0, sample_bytes / max(1, n_bytes))
+    part = held.sample(share, 7) if share < 1 else held
+    n = part.mapInArrow(count_anchors(chunk), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return {r.h: int(r.n / share) for r in n.where(F.col("n") >= max(2, least * share)).collect()}
+
+
+def lay_out(files: int, hot: Sequence[int] = (), chunk: int = CHUNK):
     """(text, id, th, hashes) to a block's stretches, one row per file and kind.
 
     Equal stretches of a block leave once, with the least id; those of the other
-    texts are covered whole and pass through without their bytes."""
+    texts are covered whole and pass through without their bytes.  At ``hot``
+    anchors every window is a stretch of its own."""
     around = np.arange(-SPAN, LENGTH)
+    many = np.array(sorted(hot), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at, ids, ths in blocks(batch):
-                text, q, h, p0, p1 = anchors(data, at)
-                known, ends = S.raw(batch.column(3).slice(lo, hi - lo))
-                size = np.diff(ends) // HASH_BYTES
-                code = lambda h_, t_: mix(h_ ^ mix(t_.astype(np.uint64)))
-                want = code(unpacked(known), np.repeat(np.arange(hi - lo), size))
-                on = np.isin(code(short(h), text), want)
-                text, q, h, p0, p1 = text[on], q[on], h[on], p0[on], p1[on]
-                if not len(q):
-                    continue
+            for data, at, ids, ths, *found in repeated(batch, chunk):
+                by_window = np.isin(short(found[2]), many)
+                text, q, h, p0, p1 = (x[~by_window] for x in found)
                 for a in range(0, len(q), 1 << 16):
                     z = slice(a, a + (1 << 16))
                     yield stretch(data, at, ids, ths, files, around, text[z], q[z], h[z], p0[z], p1[z])
+                text, q, h, p0, p1 = (x[by_window] for x in found)
+                # equal windows side by side, so that they meet in one piece
+                n = p1 - p0 + 1
+                each = np.repeat(np.arange(len(n)), n)
+                start = p0[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                o = np.lexsort((ids[text[each]], window_marks(data, start)))
+                for a in range(0, len(o), HOT_PIECE * (SPAN + 1)):
+                    z = o[a:a + HOT_PIECE * (SPAN + 1)]
+                    k, p = each[z], start[z]
+                    yield stretch(data, at, ids, ths, files, around, text[k], q[k], h[k], p, p, True)
     return run
 
 
-def stretch(data, at, ids, ths, files, around, text, q, h, p0, p1) -> pa.RecordBatch:
+def window_marks(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the windows from ``start``."""
+    mark = np.zeros(len(start), np.uint64)
+    for k in range(LENGTH):
+        mark = mark * U(S.ORDER[0]) + data[start + k]
+    return mix(mark)
+
+
+def stretch(data, at, ids, ths, files, around, text, q, h, p0, p1, by_bytes=False) -> pa.RecordBatch:
     spot = q[:, None] + around[None, :]
     inside = (spot >= p0[:, None]) & (spot < (p1 + LENGTH)[:, None])
     rows = np.where(inside, data[np.clip(spot, 0, len(data) - 1)], 0).astype(np.uint8)
@@ -259,7 +307,7 @@ def stretch(data, at, ids, ths, files, around, text, q, h, p0, p1) -> pa.RecordB
     least = np.empty(len(own), np.int64)
     least[o] = np.repeat(own[o[cut[:-1]]], np.diff(cut))
     whole_ = own != least
-    file = np.where(whole_, text % files, (mix(h) % U(files)).astype(np.int64))
+    file = np.where(whole_, text % files, ((mark if by_bytes else mix(h)) % U(files)).astype(np.int64))
     o = np.lexsort((whole_, file))
     text, q, p0, p1, rows, file, own, whole_ = (x[o] for x in (text, q, p0, p1, rows, file, own, whole_))
     cut = cuts(file, whole_)
@@ -375,7 +423,9 @@ def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["id", "th", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", with_bytes: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", with_bytes: bool = False,
+                   anchors_per_file: int = ANCHORS_PER_FILE, rows_per_file: int = ROWS_PER_FILE, texts_per_shelf: int = TEXTS_PER_SHELF,
+                   chunk: int = CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that
     stay), one row per row.
 
@@ -392,18 +442,20 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     total = light.agg(F.sum("n")).first()[0] or 0
     groups = light.groupBy("sha").agg(F.min("id").alias("least")).withColumnRenamed("sha", "_s")
     light = materialise(light.join(groups, F.col("sha") == F.col("_s")).drop("_s"), "placed", base)
-    files = max(1, math.ceil(total * 2 / (SPAN + 2) / ANCHORS_PER_FILE))
-    shelves = max(1, light.count() // TEXTS_PER_SHELF)
-    listed = docs.mapInArrow(list_anchors(files), ANCHOR_ROWS)
+    files = max(1, math.ceil(total * 2 / (SPAN + 2) / anchors_per_file))
+    shelves = max(1, light.count() // texts_per_shelf)
+    listed = docs.mapInArrow(list_anchors(files, chunk), ANCHOR_ROWS)
     found = listed.groupBy("file").applyInArrow(find_repeats(shelves), FOUND_ROWS)
     asked = found.groupBy("shelf").applyInArrow(gather_hashes, "id long, th long, hashes binary")
     first = light.where("id = least").select("id", "th").distinct()
     asked = asked.join(first, ["id", "th"]).select(F.col("id").alias("_i"), F.col("th").alias("_t"), "hashes")
     held = docs.join(asked, (F.col("id") == F.col("_i")) & (F.col("th") == F.col("_t"))).select("text", "id", "th", "hashes")
     held = materialise(held, "held", base)
-    rows = held.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
-    files = max(1, math.ceil(rows / HASH_BYTES / ROWS_PER_FILE))
-    laid = held.mapInArrow(lay_out(files), LAID_ROWS)
+    n_bytes, rows = held.agg(F.sum(F.octet_length("text")), F.sum(F.octet_length("hashes"))).first()
+    rows = (rows or 0) / HASH_BYTES
+    hot = hot_anchors(held, n_bytes or 0, hot_rows, chunk) if rows > hot_rows else {}
+    files = max(1, math.ceil((rows + SPAN * sum(hot.values())) / rows_per_file))
+    laid = held.mapInArrow(lay_out(files, tuple(hot), chunk), LAID_ROWS)
     gone = laid.groupBy("file").applyInArrow(settle(shelves), RUN_ROWS)
     gone = gone.groupBy("shelf").applyInArrow(gather_runs, "id long, th long, starts array<int>, sizes array<byte>")
     gone = gone.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "starts", "sizes")

@@ -263,6 +263,33 @@ def test_suffix_random(spark):
     assert collections.Counter(map(tuple, got)) == collections.Counter(x[:5] for x in plain_strip(rows))
 
 
+def test_hot_anchor_spreads():
+    """A phrase in every text, with differing text around it, is not one file's."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    phrase, n, files = b"please read the licence before copying this", 3000, 16
+    texts = [bytes(r.randrange(97, 123) for _ in range(60)) + phrase + bytes(r.randrange(97, 123) for _ in range(60)) for _ in range(n)]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    h = suffix.short(suffix.anchors(data, at)[2])
+    values, counts = np.unique(h, return_counts=True)
+    shared = values[counts > n // 10]
+    assert len(shared)
+    hashes = [suffix.packed(shared).tobytes()] * n
+    batch = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in texts]), pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array(hashes, pa.binary())],
+                                       names=["text", "id", "th", "hashes"])
+    counted = collections.Counter()
+    for x in suffix.count_anchors()(iter([batch])):
+        counted.update(dict(zip(x["h"].to_pylist(), x["n"].to_pylist())))
+    hot = [k for k, c in counted.items() if c >= n // 10]
+    assert set(hot) == {int(x) for x in shared}
+    load = collections.Counter()
+    for x in suffix.lay_out(files, hot)(iter([batch])):
+        for row in x.to_pylist():
+            load[row["file"]] += len(row["id"])
+    assert max(load.values()) <= 1.5 * sum(load.values()) / files
+
+
 def plain_jump(key, n):
     b, j = -1, 0
     while j < n:
