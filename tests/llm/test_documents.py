@@ -263,6 +263,29 @@ def test_suffix_random(spark):
     assert collections.Counter(map(tuple, got)) == collections.Counter(x[:5] for x in plain_strip(rows))
 
 
+MANY = {"anchors_per_file": 200, "rows_per_file": 40, "texts_per_shelf": 5, "chunk": 700}
+
+
+def hot_corpus():
+    """Phrases below and above 50 bytes in many texts, most with their own text around."""
+    r = random.Random(18)
+    own = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    phrases = ["(c) the usual licence line", "= call now to subscribe to our free letter.. =", "+ a passage of sixty bytes that really is the same in all of it +"]
+    rows = [(i, own(60) + phrases[i % 3] + own(r.choice([0, 5, 60])) + phrases[(i * 7) % 3] + own(45)) for i in range(120)]
+    rows += [(200 + k, rows[k][1][10:150] + own(20)) for k in range(0, 40, 3)] + [(300, "=" * 150 + own(30)), (301, own(9) + "=" * 120)]
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [{**MANY, "hot_rows": 10**9}, {**MANY, "hot_rows": 8}, {"hot_rows": 2}])
+def test_suffix_in_parts(spark, docs, sizes):
+    """Several files, shelves and blocks, with and without hot anchors."""
+    got = suffix.remove_repeats(docs, with_bytes=True, **sizes)
+    assert collections.Counter((*r[:5], bytes(r[5])) for r in got.collect()) == collections.Counter(plain_strip(corpus()))
+    rows = hot_corpus()
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **sizes).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(x[:5] for x in plain_strip(rows))
+
+
 def test_hot_anchor_spreads():
     """A phrase in every text, with differing text around it, is not one file's."""
     import pyarrow as pa
