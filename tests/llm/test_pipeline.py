@@ -2,9 +2,12 @@
 
 import collections
 
+import numpy as np
+
 import corpus_pipeline
-from earshift.llm import rules
-from tests.llm.test_documents import LOWER, SCHEMA, classes_of, corpus, prose, words
+from earshift.llm import bpe, mixing, rules
+from earshift.llm.queries import tokenizer
+from tests.llm.test_documents import LOWER, SCHEMA, classes_of, corpus, plain_mix, prose, words
 
 
 def test_stages(spark, tmp_path):
@@ -32,3 +35,12 @@ def test_stages(spark, tmp_path):
     size = sum(len(words(r.text)) for r in out[2].collect())
     assert abs(sum(len(words(r.text)) for r in out[3].collect()) - 1.5 * size) <= 5
     assert out[4].count() == out[3].count() and {"doc_id", "n_tokens", "ids"} <= set(out[4].columns)
+    # stage 4 by document and text, as a plain mix of what stage 3 wrote; stage 5 row by row
+    sourced = [tuple(r) for r in out[2].collect()]
+    mixed = collections.Counter((r.doc_id, r.source, r.text) for r in out[3].collect())
+    source = {r[0]: r[3] for r in sourced}
+    assert len(source) == len(sourced)
+    assert mixed == collections.Counter((i, source[i], t) for i, t in plain_mix(sourced, mixing.BLOCK_WORDS))
+    encoding = bpe.Codec(*tokenizer()).encoding
+    want = collections.Counter((i, s, np.array(encoding.encode_ordinary(t), "<u4").tobytes()) for i, s, t in mixed.elements())
+    assert collections.Counter((r.doc_id, r.source, bytes(r.ids)) for r in out[4].collect()) == want
