@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagmin, bpe, chat, html, mixing, radix, rules, shards, suffix, urls
+from . import align, attention, bagmin, bpe, chat, html, mixing, radix, rules, shards, suffix, urls, whiten
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PAIR = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,7 +75,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    return align.align(read(spark, sf_dir, "documents"), P.path(PAIR[0]), P.path(PAIR[1]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_rules, op2_byte_bpe, op3_exact_dedup, op4_bag_minhash, op5_url_model, op6_main_text, op7_suffix_dedup, op8_shards, op9_source_mix, op10_chat_format)
+        op1_quality_rules, op2_byte_bpe, op3_exact_dedup, op4_bag_minhash, op5_url_model, op6_main_text, op7_suffix_dedup, op8_shards, op9_source_mix, op10_chat_format,
+        op11_whiten, op12_quality_bags, op13_align)
 }
