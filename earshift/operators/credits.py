@@ -61,10 +61,17 @@ def track_rollup(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     The log is folded on the names themselves first: that step can hash, while
     the lowest of several strings needs a sort, which then runs on few rows.
     """
-    names = ["track_name", "artist_name", "track_artists"]
-    spellings = plays.groupBy(*by, "track_uri", *names).agg(
+    return fold_tracks(fold_spellings(plays, by), by)
+
+
+def fold_spellings(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Time and plays per track and spelling of its names; adds up over batches."""
+    return plays.groupBy(*by, "track_uri", "track_name", "artist_name", "track_artists").agg(
         F.sum("played_seconds").alias("played_seconds"), F.count(F.lit(1)).alias("n_plays")
     )
+
+
+def fold_tracks(spellings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return spellings.groupBy(*by, "track_uri").agg(
         F.min("track_name").alias("track_name"),
         F.min("artist_name").alias("album_artist"),
@@ -81,7 +88,10 @@ def track_credits(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     The log is folded to tracks once; both paths then build an array inside the
     track's own row, so credits need no further shuffle.
     """
-    t = track_rollup(plays, by)
+    return credits_of_tracks(track_rollup(plays, by), by)
+
+
+def credits_of_tracks(t: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     polled = F.coalesce(F.col("listed") != "", F.lit(False))
     performers = F.when(polled, listed_performers(F.col("listed"))).otherwise(
         title_performers(F.col("track_name"), F.col("album_artist"))

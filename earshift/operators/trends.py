@@ -72,10 +72,17 @@ def artist_month(
     how: str = "inner",
 ) -> DataFrame:
     """(listener, month, artist) with credited seconds per variant (``s_<variant>``)."""
+    return artist_month_of(monthly_track_time(plays, params, by), credits, params, by, how)
+
+
+def artist_month_of(
+    time: DataFrame, credits: DataFrame, params: Params = DEFAULTS, by: Sequence[str] = (),
+    how: str = "inner",
+) -> DataFrame:
+    """The same from ``monthly_track_time``."""
     shares = credit_shares(credits, params, by)
     return (
-        monthly_track_time(plays, params, by)
-        .join(shares, shared_keys(shares, by, "track_uri"), how)
+        time.join(shares, shared_keys(shares, by, "track_uri"), how)
         .groupBy(*by, "month", "artist_name")
         .agg(*[F.sum(F.col("secs") * F.col(f"w_{v}")).alias(f"s_{v}") for v in params.variants])
     )
@@ -92,11 +99,19 @@ def tag_month_wide(
     ``every_month``, time that reaches no tag stays as rows with a NULL tag, so
     that no month of the log is lost.
     """
+    return tag_month_of(monthly_track_time(plays, params, by), credits, weights, params, by, every_month)
+
+
+def tag_month_of(
+    time: DataFrame, credits: DataFrame, weights: DataFrame,
+    params: Params = DEFAULTS, by: Sequence[str] = (), every_month: bool = False,
+) -> DataFrame:
+    """The same from ``monthly_track_time``."""
     how = "left" if every_month else "inner"
     who = shared_keys(weights, by, "artist_name")
     per_tag = weights.groupBy(*who, "tag").agg(F.sum("tag_weight").alias("tag_weight"))
     return (
-        artist_month(plays, credits, params, by, how)
+        artist_month_of(time, credits, params, by, how)
         .join(per_tag, who, how)
         .groupBy(*by, "month", "tag")
         .agg(

@@ -43,9 +43,10 @@ def recently_played(pages: DataFrame) -> DataFrame:
 
 
 def page_full(pages: DataFrame, limit: int = 50) -> DataFrame:
-    """Items per page and whether the page was full: then older plays may be lost."""
+    """Items per page, in their place, and whether the page was full: then older
+    plays may be lost."""
     n = F.coalesce(F.size("items"), F.lit(0))
-    return pages.select(n.alias("n_items"), (n >= limit).alias("page_full"))
+    return pages.withColumns({"n_items": n, "page_full": n >= limit}).drop("items")
 
 
 def playlist_items(pages: DataFrame, keep_null: bool = False) -> DataFrame:

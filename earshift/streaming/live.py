@@ -1,26 +1,23 @@
 """Live feeds with Structured Streaming.
 
-Results of changing aggregates are kept as an upsert log: every micro-batch
-writes its changed rows to its own ``epoch`` folder, replaced when the batch is
-replayed, and readers take the newest row per key.  Lost executors or a
-restarted query therefore change nothing.
+Results of changing aggregates are kept as an upsert log (``store.EpochLog``):
+every micro-batch writes its changed rows, replaced when the batch is replayed,
+and readers take the newest row per key.  Lost executors or a restarted query
+therefore change nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.frames import first_per_key
-from ..operators.events import dedupe_polled
 from ..params import DEFAULTS, Params
 from ..sources.payloads import page_full
-from ..sources.tables import read_optional
+from .store import EpochLog, keep_newest
 
 
 def stream_table(
@@ -100,35 +97,31 @@ def with_listed_artists(plays: DataFrame, listed: DataFrame) -> DataFrame:
     return j.withColumn("track_artists", F.greatest("track_artists", "_listed")).drop("_listed").select(*plays.columns)
 
 
-def upsert_log(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer; a replayed batch replaces its own folder."""
+def upsert_log(path: str, key: Sequence[str] = (), order: Sequence[str] = (), fold_after: int = 32) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer; a replayed batch replaces its own rows.  With ``key``
+    earlier batches are folded to their newest rows now and then."""
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/epoch={epoch}")
+        log = EpochLog(batch.sparkSession, path, batch.schema)
+        log.write(batch, epoch)
+        if key:
+            log.fold(epoch - 1, keep_newest(key, order), fold_after)
     return write
 
 
-def read_upserts(spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str]) -> DataFrame:
+def read_upserts(spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Newest row per key of an upsert log; empty before the first batch."""
-    full = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
-    try:
-        rows = spark.read.schema(full).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    return first_per_key(rows, list(key), [F.col("epoch")], last=True).drop("epoch")
+    return EpochLog(spark, path, schema).newest(key, order=order)
 
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_end(
-    df: DataFrame, path: str, checkpoint: str, mode: str = "update"
-) -> StreamingQuery:
+def run_to_end(df: DataFrame, sink: str | Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Process what is there now, then stop.  The same call later goes on where
-    this one ended.  State is kept in RocksDB, off the heap, unless the session
-    names another store."""
+    this one ended.  ``sink`` is a foreachBatch writer or the path of an upsert
+    log.  State is kept in RocksDB, off the heap, unless the session names
+    another store."""
     conf = df.sparkSession.conf
     before = conf.get(STATE_STORE, None)
     if before is None or before.endswith("HDFSBackedStateStoreProvider"):
@@ -136,7 +129,7 @@ def run_to_end(
     try:
         q = (
             df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(upsert_log(path)).start()
+            .trigger(availableNow=True).foreachBatch(upsert_log(sink) if isinstance(sink, str) else sink).start()
         )
         q.awaitTermination()
     finally:
@@ -144,75 +137,7 @@ def run_to_end(
     return q
 
 
-def cutoffs(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame | None:
-    """Last export time seen so far, per listener."""
-    seen = read_optional(spark, f"{path}_cutoffs")
-    return None if seen is None else seen.groupBy(*by).agg(F.max("cutoff").alias("_cutoff"))
-
-
-def after_cutoff(rows: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
-    """Polled rows that no export has superseded yet; listeners without an export keep all."""
-    last = cutoffs(rows.sparkSession, path, by)
-    if last is None:
-        return rows
-    dated = rows.join(last, list(by), "left") if by else rows.withColumn("_cutoff", last.scalar())
-    return dated.where(F.col("_cutoff").isNull() | (F.col("ts") > F.col("_cutoff"))).drop("_cutoff")
-
-
-def store_polled(path: str, params: Params = DEFAULTS, by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer of polled plays: merges a batch into the months it
-    touches, one row per (listener, ts, track), and rewrites only those.  Rows
-    that an export has superseded stay out, also when they arrive after it.
-
-    The new months are written beside the table first and then replace the old
-    ones, because a table cannot be overwritten while it is read.
-    """
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = after_cutoff(batch, path, by).withColumn("month", F.trunc("ts", "month"))
-        old = read_optional(spark, path)
-        if old is not None:
-            new = new.unionByName(old.join(new.select("month").distinct(), "month", "left_semi"), allowMissingColumns=True)
-        replace_months(dedupe_polled(new, by), path, f"{path}_staged/store-{epoch}")
-    return write
-
-
-def supersede_polled(path: str, by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer for export batches: remembers each listener's last
-    export time and drops the polled rows up to it, month by month."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy(*by).agg(F.max("ts").alias("cutoff")).where("cutoff is not null")
-        new.write.mode("overwrite").parquet(f"{path}_cutoffs/epoch={epoch}")
-        old, last = read_optional(spark, path), new.agg(F.max("cutoff")).first()[0]
-        if old is None or last is None:
-            return
-        touched = old.where(F.col("month") <= F.trunc(F.lit(last), "month"))
-        replace_months(after_cutoff(touched, path, by), path, f"{path}_staged/supersede-{epoch}", touched.select("month").distinct())
-    return write
-
-
-def replace_months(rows: DataFrame, path: str, staging: str, months: DataFrame | None = None) -> None:
-    """Replace the months of ``rows``; ``months`` adds ones that are now empty.
-    Those go last, when the others are in place."""
-    spark = rows.sparkSession
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(staging)
-    staged = spark.read.schema(rows.schema).parquet(staging)
-    gone = [] if months is None else [r[0] for r in months.join(staged.select("month").distinct(), "month", "left_anti").collect()]
-    staged.hint("rebalance", "month").write.mode("overwrite").option("compression", "zstd").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-    for month in gone:
-        drop_folder(spark, f"{path}/month={month}")
-    drop_folder(spark, staging)
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def completeness(path: str, params: Params = DEFAULTS) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: items per poll page, and whether it was full."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        page_full(batch, params.poll_page_limit).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-    return write
+def completeness(pages: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Poll pages, a stream too, with the number of their items and whether the
+    page was full, so that older plays may be lost, in place of the items."""
+    return page_full(pages, params.poll_page_limit)

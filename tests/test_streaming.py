@@ -74,17 +74,7 @@ def test_a_table_may_be_a_folder_or_a_file(spark, tmp_path):
     for path, n in ((str(tmp_path / "events.parquet"), 2), (part, 1)):
         s = live.stream_table(spark, path, T.StructType.fromDDL(EVENTS))
         live.run_to_end(live.dedupe_stream(s), str(tmp_path / f"o{n}"), str(tmp_path / f"c{n}"), "append")
-        assert spark.read.parquet(str(tmp_path / f"o{n}")).count() == n
-
-
-def test_supersession_per_listener(spark, tmp_path):
-    path, who = str(tmp_path / "polled"), "user_id int, ts timestamp_ntz, track_uri string"
-    df = lambda *rows: spark.createDataFrame([(u, event(d)[0], "t") for u, d in rows], who)
-    put, cut = live.store_polled(path, by=["user_id"]), live.supersede_polled(path, by=["user_id"])
-    put(df((1, 3), (1, 9), (2, 3)), 0)
-    cut(df((1, 5)), 0)
-    put(df((1, 4), (2, 4)), 1)
-    assert sorted((r.user_id, r.ts.day) for r in spark.read.parquet(path).collect()) == [(1, 9), (2, 3), (2, 4)]
+        assert live.read_upserts(spark, str(tmp_path / f"o{n}"), s.schema, ["ts"]).count() == n
 
 
 def test_credit_repair(spark, tmp_path):
@@ -95,23 +85,6 @@ def test_credit_repair(spark, tmp_path):
     assert column(got, "track_artists", "ts") == ["A\u001fB", "A\u001fB", None]
 
 
-def test_polled_store_and_supersession(spark, tmp_path):
-    path = str(tmp_path / "polled")
-    put, cut = live.store_polled(path), live.supersede_polled(path)
-    df = lambda *rows: spark.createDataFrame(list(rows), EVENTS)
-    put(df(event(1), event(1), event(40)), 0)
-    put(df(event(1), event(2), event(70)), 1)
-    put(df(event(1), event(2), event(70)), 1)  # replay
-    have = lambda: column(tables.read_table(spark, path), "ts", "ts")
-    days = lambda *ds: [dt.datetime(2024, 1, 1) + dt.timedelta(days=d - 1) for d in ds]
-    assert have() == days(1, 2, 40, 70)
-    cut(df(event(41)), 2)
-    assert have() == days(70)
-    cut(df(event(41)), 3)
-    put(df(event(5), event(41), event(71)), 4)  # polled again after the export
-    assert have() == days(70, 71)
-
-
 def test_work_dir_uses_the_shared_folder(spark):
     assert tables.work_dir(spark).startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     df = tables.materialise(spark.range(3).withColumn("x", F.lit("a")), "t")

@@ -28,7 +28,7 @@ from earshift.operators import (
 from earshift.plans import feeds
 from earshift.sources import exports, logs, payloads
 from earshift.sources.tables import work_dir
-from earshift.streaming import live
+from earshift.streaming import live, supersede as sup, trendfeed
 
 from .adapters import Tables
 from .oracles import fold, genre, title, with_views
@@ -970,17 +970,22 @@ def _events(t: Tables) -> DataFrame:
     return live.stream_table(t.spark, f"{t.path}/events.parquet", schema)
 
 
-def _streamed(t: Tables, df: DataFrame, key, mode: str) -> DataFrame:
+def _streamed(t: Tables, df: DataFrame, key, mode: str, order=()) -> DataFrame:
     base = work_dir(t.spark)
     live.run_to_end(df, f"{base}/rows", f"{base}/checkpoint", mode)
-    return live.read_upserts(t.spark, f"{base}/rows", df.schema, key)
+    return live.read_upserts(t.spark, f"{base}/rows", df.schema, key, order)
+
+
+def _as_stream(t: Tables, df: DataFrame, files: int, *by: str) -> DataFrame:
+    """A table in mixed order over many files, one to a micro-batch."""
+    base = f"{work_dir(t.spark)}/feed"
+    df.repartition(files, F.xxhash64(*by)).write.parquet(base)
+    return live.stream_table(t.spark, base, df.schema, files_per_trigger=1)
 
 
 def _shuffled(t: Tables) -> DataFrame:
     """The events in mixed order over many files, one to a micro-batch."""
-    base = f"{work_dir(t.spark)}/events"
-    t.read("events").repartition(6, F.xxhash64("event_id")).write.parquet(base)
-    return live.stream_table(t.spark, base, T.StructType.fromDDL(EVENTS), files_per_trigger=1)
+    return _as_stream(t, t.read("events").select(*T.StructType.fromDDL(EVENTS).fieldNames()), 6, "event_id")
 
 
 @query("", """SELECT CAST(ts AS DATE) AS day, user_id, event_type, count(*) AS plays, round(sum(value), 4) AS secs
@@ -1007,16 +1012,79 @@ def stream_dedupe(t):
     SELECT DISTINCT e.user_id, e.ts, e.event_type AS track_uri FROM events e LEFT JOIN cut USING (user_id)
     WHERE event_id % 3 <> 0 AND (cutoff IS NULL OR ts > cutoff)""")
 def supersede_stream(t):
-    """Polled events stored before and after an export of every third one: what
-    an export covers goes, and stays away when it is polled again."""
-    path = f"{work_dir(t.spark)}/polled"
+    """Two feeds as one stream, files one by one and in mixed order: polled events,
+    some of them twice, and an export of every third event."""
     e = t.read("events").select("event_id", "user_id", "ts", F.col("event_type").alias("track_uri"))
-    polled, by = e.where("event_id % 3 <> 0").drop("event_id"), ["user_id"]
-    put, cut = live.store_polled(path, by=by), live.supersede_polled(path, by=by)
-    put(polled, 0)
-    cut(e.where("event_id % 3 = 0"), 0)
-    put(polled, 1)
-    return t.spark.read.parquet(path).select("user_id", "ts", "track_uri")
+    polled = e.where("event_id % 3 <> 0")
+    polled = polled.unionByName(polled.where("event_id % 2 = 0")).drop("event_id")
+    export = _as_stream(t, e.where("event_id % 3 = 0"), 3, "event_id")
+    moved = sup.supersede_changes(export, _as_stream(t, polled, 4, "ts", "track_uri"), ["user_id"])
+    rows = _streamed(t, moved, ["user_id", "ts", "track_uri"], "update", order=["step"])
+    return rows.where(F.col("state") == sup.KEPT).select("user_id", "ts", "track_uri")
+
+
+@query("trd", """SELECT variant, tag, month, round(share, 9) AS share, round(smoothed_share, 9) AS smoothed_share,
+    round(tag_seconds, 5) AS tag_seconds, n_artists, round(slope, 9) AS slope, round(mean_recent_share, 9) AS mean_recent_share, trend_class
+    FROM trd""")
+def stream_trends(t):
+    """The play log in mixed order, four micro-batches; trends kept up to date."""
+    plays = t.plays().select("ts", "month", "track_uri", "played_seconds")
+    feed = _as_stream(t, plays, 4, "ts", "track_uri")
+    kept = trendfeed.TrendFeed(t.spark, f"{work_dir(t.spark)}/trends", plays.schema, t.credits, t.staged("weights", t.weights))
+    live.run_to_end(feed, kept.update, f"{work_dir(t.spark)}/checkpoint", "append")
+    return rounded(kept.read(), share=9, smoothed_share=9, tag_seconds=5, slope=9, mean_recent_share=9).select(
+        "variant", "tag", "month", "share", "smoothed_share", "tag_seconds", "n_artists", "slope", "mean_recent_share", "trend_class")
+
+
+@query("plays", """SELECT user_id, month, count(*) AS new_artists FROM (
+    SELECT o_custkey AS user_id, artist_name, min(month) AS month FROM plays JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+    GROUP BY ALL""")
+def discovery_stream(t):
+    """Discoveries per listener and month from a log in mixed order: an artist met
+    earlier than was thought moves its discovery."""
+    plays = t.plays(listeners=True).select("user_id", "artist_name", "month", "ts")
+    feed = _as_stream(t, plays, 4, "ts", "artist_name")
+    firsts = feed.groupBy("user_id", "artist_name").agg(F.min("month").alias("month"))
+    changes, write = trendfeed.discovery_feed(t.spark, f"{work_dir(t.spark)}/discoveries", firsts.schema)
+    live.run_to_end(firsts, write, f"{work_dir(t.spark)}/checkpoint")
+    return trendfeed.discoveries(changes, ["user_id"])
+
+
+def _log_and_polls(t: Tables) -> DataFrame:
+    """Plays of the export without performer lists, and polled plays with them."""
+    names = ["ts", "month", "track_uri", "track_name", "artist_name", "track_artists", "played_seconds"]
+    export = t.plays(titles=True).select(*names)
+    polled = t.polled().where(F.substring("track_uri", 6, 20).cast("bigint") % 3 == 0).withColumns(
+        {"month": F.trunc("ts", "month"), "played_seconds": F.col("ms_played") / 1000.0})
+    return export.unionByName(polled.select(*names))
+
+
+@query("plays polled crd", """
+    WITH p AS (SELECT track_uri, false AS listed FROM plays
+               UNION ALL SELECT track_uri, true FROM polled WHERE CAST(substr(track_uri, 6) AS BIGINT) % 3 = 0),
+    n AS (SELECT track_uri, bool_or(listed) AS listed, count(*) AS n_plays FROM p GROUP BY track_uri),
+    c AS (SELECT track_uri, count(*) AS names, count(DISTINCT artist_name) AS once FROM crd GROUP BY track_uri)
+    SELECT CASE WHEN listed THEN 'poller' ELSE 'export' END AS credit_source, CASE WHEN listed THEN once ELSE names END AS n_performers,
+           count(*) AS tracks, sum(n_plays)::BIGINT AS plays FROM n JOIN c USING (track_uri) GROUP BY ALL""")
+def credit_repair_stream(t):
+    """Credits from a mixed feed in which a third of the tracks get a performer
+    list at some time; the trends of the months they feed move with them."""
+    plays = _log_and_polls(t)
+    feed, base = _as_stream(t, plays, 4, "ts", "track_uri", "track_artists"), work_dir(t.spark)
+    credits = trendfeed.CreditFeed(t.spark, f"{base}/credits")
+    trends = trendfeed.TrendFeed(t.spark, f"{base}/trends", plays.schema, lambda: credits.read(), t.staged("weights", t.weights))
+    live.run_to_end(feed, trendfeed.repair_feed(trends, credits), f"{base}/checkpoint", "append")
+    per_track = credits.read().groupBy("track_uri", "credit_source").agg(F.count(F.lit(1)).alias("n_performers"), F.max("n_plays").alias("n_plays"))
+    return per_track.groupBy("credit_source", "n_performers").agg(F.count(F.lit(1)).alias("tracks"), F.sum("n_plays").alias("plays"))
+
+
+@query("polled", """SELECT CAST(ts AS DATE) AS day, least(count(*), 50)::INTEGER AS n_items, count(*) >= 50 AS page_full
+    FROM polled GROUP BY ALL""")
+def poll_completeness(t):
+    """Each day's polled plays as one poll page of at most 50, read as a stream."""
+    page = t.polled().groupBy(F.to_date("ts").alias("day")).agg(F.slice(F.collect_list(F.struct("track_uri")), 1, 50).alias("items"))
+    full = live.completeness(_as_stream(t, page, 3, "day"))
+    return _streamed(t, full, ["day"], "append")
 
 
 @query("", """SELECT user_id, event_type, max(ts) AS ts, arg_max(value, ts) AS value FROM events GROUP BY user_id, event_type""")
