@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import EXPORT, KNOWN_EXPORT_FIELDS
+from .jsonsplit import elements
 from .payloads import utc
 
 # Fixed value: file name pattern of the export.
@@ -62,7 +63,43 @@ def file_health(spark: SparkSession, path: str) -> DataFrame:
         parsed.alias("n_rows"), F.max(bad).alias("failed"))
 
 
-def schema_drift(spark: SparkSession, path: str, sampling: float = 1.0) -> set[str]:
-    """Fields in the files that are not known.  Lower ``sampling`` reads less."""
-    seen = _reader(spark).option("samplingRatio", sampling).json(path).columns
-    return set(seen) - KNOWN_EXPORT_FIELDS - {CORRUPT}
+def export_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Every object of the export files as ``element``, with ``path`` and ``fine``,
+    whether its file is a whole one.  A file is read by as many tasks as it has byte
+    ranges; one without any object gives no row."""
+    rows, files = elements(spark, path, EXPORT_GLOB)
+    return rows.join(files, "path")
+
+
+def parse_parts(parts: DataFrame) -> DataFrame:
+    schema = T.StructType([*EXPORT.fields, T.StructField(CORRUPT, T.StringType())])
+    row = F.from_json("element", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return parts.select("path", "fine", "element", row.alias("_row"))
+
+
+def read_split_export(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``read_export``, for files too large for one task.  A file that goes
+    on after its array counts as broken, which the plain reader does not notice."""
+    require_exports(spark, path)
+    parsed = parse_parts(export_parts(spark, path)).where("fine").select("path", "_row.*")
+    broken = parsed.where(F.col(CORRUPT).isNotNull()).select("path").distinct()  # one bad object spoils its file
+    return parsed.join(broken, "path", "left_anti").withColumn("ts", utc(F.col("ts"))).select(
+        *EXPORT.fieldNames(), F.col("path").alias("source_path"), F.element_at(F.split("path", "/"), -1).alias("source_file"))
+
+
+def file_report(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, n_rows, failed, unknown) per file from one reading: its rows,
+    none if any of it failed, and the fields that are not known with their merged
+    types, nested ones too, as Spark writes a variant's schema."""
+    parsed = parse_parts(export_parts(spark, path))
+    bad = F.col("_row").isNull() | F.col(f"_row.{CORRUPT}").isNotNull() | ~F.col("fine")
+    fields = F.from_json("element", "map<string,variant>")
+    odd = F.map_filter(fields, lambda k, _: ~k.isin(*sorted(KNOWN_EXPORT_FIELDS)))
+    return parsed.groupBy(F.element_at(F.split("path", "/"), -1).alias("source_file")).agg(
+        F.when(F.max(bad), 0).otherwise(F.count(F.lit(1))).alias("n_rows"), F.max(bad).alias("failed"),
+        F.schema_of_variant_agg(F.try_parse_json(F.to_json(odd))).alias("unknown"))
+
+
+def schema_drift(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, unknown) of the files with fields that are not known."""
+    return file_report(spark, path).where(~F.col("unknown").isin("OBJECT<>", "VOID")).select("source_file", "unknown")

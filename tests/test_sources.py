@@ -57,7 +57,7 @@ def test_health_and_drift(spark, folder):
     h = {r.source_file: (r.n_rows, r.failed) for r in exports.file_health(spark, folder).collect()}
     assert h == {"Streaming_History_Audio_0.json": (5, False), "Streaming_History_Video_1.json": (2, False),
                  "Streaming_History_Audio_2.json": (0, True)}
-    assert exports.schema_drift(spark, folder) == {"new_field"}
+    assert {tuple(r) for r in exports.schema_drift(spark, folder).collect()} == {("Streaming_History_Video_1.json", "OBJECT<new_field: BIGINT>")}
 
 
 def test_no_files(spark, tmp_path):

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -960,6 +960,50 @@ def export_health(t):
     return h.groupBy("failed").agg(F.sum("n_rows").alias("n_rows"))
 
 
+def _one_export_file(t: Tables) -> str:
+    """The line table as one export file, an event a line, with braces, quotes and
+    backslashes in the titles; every thirteenth event has fields nobody knows."""
+    base = f"{work_dir(t.spark)}/one"
+    odd = F.array(*[F.lit(x) for x in ODD_TITLES])
+    n = F.col("l_linenumber")
+    event = F.struct(
+        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.lit("10.0.0.1").alias("ip_addr"),
+        (F.col("l_quantity") * 6000).cast("bigint").alias("ms_played"), F.concat(F.element_at(odd, n), F.col("l_partkey").cast("string")).alias(
+            "master_metadata_track_name"), F.concat(F.lit("t"), "l_partkey").alias("spotify_track_uri"), (F.col("l_returnflag") == "R").alias("skipped"),
+        F.when(F.col("l_orderkey") % 13 == 0, F.struct(F.array(F.struct(F.col("l_suppkey").alias("id"))).alias("by"), F.lit("}").alias("note"))).alias("extra"))
+    last = F.lead("l_orderkey").over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey")).isNull()
+    first = F.lag("l_orderkey").over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey")).isNull()
+    line = F.concat(F.when(first, "[").otherwise(","), F.to_json(event), F.when(last, "]").otherwise(""))
+    t.read("lineitem").select(line.alias("value")).coalesce(1).write.text(base)  # one file is the point
+    jvm = t.spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(base)
+    fs = where.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(where):
+        if f.getPath().getName().startswith("part-"):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(where, "Streaming_History_Audio_0.json"))
+    return base
+
+
+ODD_TITLES = ("plain ", 'a "quote" ', "brace } { ", "back\\slash ", '"}, {"', "list [ ", "last ")
+ODD_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in ODD_TITLES) + "]"
+
+
+@query("", f"""SELECT l_shipdate AS ts, CAST(l_quantity * 6000 AS BIGINT) AS ms_played, {ODD_SQL}[l_linenumber] || l_partkey AS track_name,
+    't' || l_partkey AS track_uri, l_returnflag = 'R' AS skipped, count(*) AS n FROM lineitem GROUP BY ALL""")
+def export_split(t):
+    """One file that several tasks read."""
+    rows = exports.read_split_export(t.spark, _one_export_file(t))
+    return rows.groupBy("ts", "ms_played", F.col("master_metadata_track_name").alias("track_name"), F.col("spotify_track_uri").alias("track_uri"), "skipped").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("", """SELECT 'Streaming_History_Audio_0.json' AS source_file, count(*) AS n_rows, false AS failed,
+    'OBJECT<extra: OBJECT<by: ARRAY<OBJECT<id: BIGINT>>, note: STRING>>' AS unknown FROM lineitem""")
+def export_drift(t):
+    """Rows, health and unknown fields, nested ones too, from one reading."""
+    return exports.file_report(t.spark, _one_export_file(t))
+
+
 # ---- streams --------------------------------------------------------------
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
