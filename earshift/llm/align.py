@@ -6,10 +6,13 @@ fragment: an open prefix up to its first common end, closed groups, and an open
 suffix after its last one.  Fragments compose associatively (a suffix and the
 next prefix close one group), so a tree of small tasks settles documents whose
 ranges were cut anywhere.  What lies between common ends is a segment; groups
-and links are local to segments, whose runs end to end are segments again.
+and links are local to segments, whose runs end to end are segments again.  Words
+with the space before them are the shortest segments that need no look around
+them, so each is encoded and linked once.
 
-Link counts of the whole corpus reach the documents by blocks of segments: each
-block asks for the pairs it holds, once each, and gets their counts.
+Link counts of the whole corpus reach the documents by blocks: a block holds its
+documents as lists of segments and each segment's links once, asks for the pairs
+among them, once each, and gets their counts.
 """
 
 import hashlib
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +36,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Characters from which a text is cut into pieces; bytes of a fragment; tokens of
 #: both kinds in a block; fragments that one step of the tree composes.
-LONG, RANGE, BLOCK_TOKENS, FAN = 1 << 16, 1 << 14, 1 << 22, 16
+LONG, RANGE, BLOCK_TOKENS, FAN = 1 << 16, 1 << 14, 1 << 21, 16
+#: Words a task remembers; rows that it takes at a time.
+KNOWN_WORDS, ROWS = 400_000, 256
+#: Below this sign all versions of Unicode agree on letters and digits.
+PLAIN = "\u0250"
+#: Fixed value: how a byte-level vocabulary of this kind cuts texts.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Where words are cut: spaces after other than white space, but for those that end
+#: the text.  Most texts have no white space before a space, and are cut at every one.
+CUT, UNEVEN = re.compile(r"(?<=\S)(?= +[^ ])"), re.compile(r"\s | $")
 #: No token of either kind lies across a space like this one (see ``Pair.cuts``).
 SAFE = re.compile(r"(?<=[A-Za-z0-9.,]) (?=[A-Za-z])")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -50,9 +63,12 @@ def byte_signs() -> dict[str, int]:
 class Pair:
     """Tokenizer A (byte-level, JSON) and B (pieces) with their tokens' bytes."""
 
-    def __init__(self, file_a: str, file_b: str):
+    def __init__(self, file_a: str, file_b: str, pattern: str | None = None):
+        """``pattern``: how A cuts texts, if merging by ids is known to be the same;
+        plain words then go through the faster library."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(file_a)
@@ -64,21 +80,44 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=file_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+        self.size_a, self.size_b = sizes(self.bytes_a), sizes(self.bytes_b)
         # a space inside a piece would let B's tokens lie across a cut
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.quick = None if pattern is None else tiktoken.Encoding("a", pat_str=pattern, special_tokens={}, mergeable_ranks={
+            b: i for i, b in enumerate(self.bytes_a) if i not in self.a.get_added_tokens_decoder()})
+
+    def same_by_ranks(self) -> bool:
+        """Whether merging by A's ids is merging by its list: if every token's bytes
+        merge to that token, two tokens next to each other that make up a third are
+        the two it is merged from, as nothing from outside has touched its bytes."""
+        names = {i: t for t, i in self.a.get_vocab().items()}
+        special = self.a.get_added_tokens_decoder()
+        return all([x.id for x in self.a.model.tokenize(t)] == [i] for i, t in names.items() if i not in special)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of " " + text by A and by B; None where bytes differ from the text's."""
         out: list[tuple[np.ndarray, np.ndarray] | None] = []
-        for at in range(0, len(texts), 64):
-            part = texts[at:at + 64]
-            spaced = [" " + t for t in part]
-            for t, x, y in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(part, num_threads=1)):
-                x, data = x.ids, t.encode()
+        for at in range(0, len(texts), 256):
+            part = texts[at:at + 256]
+            got = [self.quick.encode_ordinary(" " + t) if self.quick is not None and max(t, default="") < PLAIN else None for t in part]
+            slow = [i for i, x in enumerate(got) if x is None]
+            for i, x in zip(slow, self.a.encode_batch_fast([" " + part[i] for i in slow], add_special_tokens=False) if slow else ()):
+                got[i] = x.ids
+            for t, x, y in zip(part, got, self.b.encode(part, num_threads=1)):
+                data = b" " + t.encode()
                 same = b"".join(map(self.bytes_a.__getitem__, x)) == data and b"".join(map(self.bytes_b.__getitem__, y)) == data
                 out.append((np.array(x, "<u4"), np.array(y, "<u4")) if same else None)
         return out
 
+    def words(self, text: str) -> list[str]:
+        """The text's segments, each without the space before it: neither tokenizer
+        has a token across a space that follows other than white space."""
+        if not self.cuts:
+            return [text]
+        if UNEVEN.search(text) or text[:1].isspace():
+            return [w[1:] for w in CUT.split(" " + text)]
+        return text.split(" ")
+
     def pieces(self, text: str, limit: int) -> Iterator[str]:
         """Parts of the text whose tokens in a row are the text's; the space of a cut
         is the one that both tokenizers see before the next part."""
@@ -151,58 +190,202 @@ def links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray)
     return ends, ia, ib, (end_a[ia] == ends) & (end_b[ib] == ends)
 
 
-def ids(x: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(x.as_buffer(), "<u4") if x.is_valid else np.zeros(0, "<u4")
-
-
-def segments(df: DataFrame, file_a: str, file_b: str, text: str, doc_id: str, base: str, long: int, span: int,
-             block_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """(segments, documents without tokens).  Segments: uid, doc_id, k, j, part
-    (their order), whole (the document has no other), block, a, b."""
+def linked(each_a: list[np.ndarray], each_b: list[np.ndarray], size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Segments to (link keys end to end, their ends by segment, groups of each, its
+    groups as text)."""
+    a, b = np.concatenate(each_a).astype(np.int64), np.concatenate(each_b).astype(np.int64)
+    ends, ia, ib, common = links(a, b, size_a, size_b)
+    n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (each_a, each_b))
+    upto = np.searchsorted(ends, np.cumsum(size_a[a])[np.cumsum(n_a) - 1], "right")
+    groups = np.diff(np.concatenate(([0], np.cumsum(common)))[np.concatenate(([0], upto))])
+    # tokens in the order of (group, side, place), each with the sign that follows it:
+    # "," within its side of a group, else "|" or ";"
+    last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    last_a[ia[common]], last_b[ib[common]] = True, True
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    put = np.empty(len(a) + len(b), np.int64)
+    put[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = a * 3 + last_a
+    put[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b * 3 + 2 * last_b
+    names, lo, texts = {c: str(c // 3) + ",|;"[c % 3] for c in np.unique(put).tolist()}, 0, []
+    for hi in np.cumsum(n_a + n_b).tolist():
+        texts.append("".join(map(names.__getitem__, put[lo:hi].tolist()))[:-1])
+        lo = hi
+    return a[ia] * len(size_b) + b[ib], upto, groups, texts
+
+
+class Words:
+    """Segments that a task has met, by number: their links, counts and groups."""
+
+    def __init__(self, pair: Pair):
+        self.pair = pair
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.right, self.counts = np.zeros(0, bool), np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
+        self.keys, self.ends, self.texts = np.zeros(0, np.int64), np.zeros(1, np.int64), []
+
+    def full(self) -> bool:
+        return len(self.known) > KNOWN_WORDS or len(self.keys) > 8 * KNOWN_WORDS
+
+    def add(self, got: list[tuple[np.ndarray, np.ndarray] | None]) -> np.ndarray:
+        """Numbers of new segments."""
+        first, fine = len(self.right), [g for g in got if g is not None]
+        right = np.fromiter((g is not None for g in got), bool, len(got))
+        counts, n, texts = np.zeros((len(got), 4), np.int64), np.zeros(len(got), np.int64), [""] * len(got)
+        if fine:
+            keys, upto, groups, said = linked([g[0] for g in fine], [g[1] for g in fine], self.pair.size_a, self.pair.size_b)
+            n[right] = np.diff(upto, prepend=0)
+            counts[right] = np.column_stack([[len(g[0]) for g in fine], [len(g[1]) for g in fine], groups, n[right]])
+            self.keys = np.append(self.keys, keys)
+            for i, t in zip(np.flatnonzero(right).tolist(), said):
+                texts[i] = t
+        self.right, self.counts = np.append(self.right, right), np.vstack([self.counts, counts])
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(n))
+        self.texts += texts
+        return np.arange(first, first + len(got))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's segments by number."""
+        parts = [self.pair.words(t) for t in texts]
+        new = [w for w in dict.fromkeys(w for p in parts for w in p) if w not in self.known]
+        self.known.update(zip(new, self.add(self.pair.encode(new)).tolist()))
+        return [np.fromiter(map(self.known.__getitem__, p), np.int64, len(p)) for p in parts]
+
+
+class Block:
+    """Rows of one block: documents or parts of them as lists of segments."""
+
+    def __init__(self, words: Words, doc_type: pa.DataType):
+        self.words, self.doc_type = words, doc_type
+        self.rows: list[dict] = []
+        self.items: list[np.ndarray] = []
+        self.tokens = 0
+
+    def put(self, row: dict, items: np.ndarray) -> None:
+        w = self.words
+        n = w.counts[items].sum(axis=0).tolist()
+        text = ";".join(map(w.texts.__getitem__, items.tolist()))
+        self.rows.append(row | dict(zip(COUNTS, n)) | {"groups": hashlib.sha256(text.encode()).hexdigest() if row["whole"] else text})
+        self.items.append(items)
+        self.tokens += n[0] + n[1]
+
+    def close(self, number: int) -> Iterator[pa.RecordBatch]:
+        """The rows with block-wide segment numbers, and one row with the block's
+        pairs, how often it holds each, and every segment's links among them."""
+        if not self.rows:
+            return
+        w, schema = self.words, block_schema(self.doc_type)
+        own, at = np.unique(np.concatenate(self.items), return_inverse=True)
+        often = np.bincount(at)
+        n = w.ends[own + 1] - w.ends[own]
+        upto = np.cumsum(n)
+        held = w.keys[np.arange(upto[-1]) + np.repeat(w.ends[own] - upto + n, n)]
+        keys, spots = np.unique(held, return_inverse=True)
+        counts = np.bincount(spots, np.repeat(often, n)).astype(np.int64)
+        cuts = np.cumsum([len(x) for x in self.items])[:-1]
+        rows = [r | {"block": number, "kind": DOCUMENT, "items": x.astype("<u4").tobytes()} for r, x in zip(self.rows, np.split(at, cuts))]
+        rows.append({"block": number, "kind": PAIRS, "items": spots.astype("<u4").tobytes(), "ends": upto.astype("<u4").tobytes(),
+                     "keys": keys.tobytes(), "counts": counts.tobytes()})
+        self.rows, self.items, self.tokens = [], [], 0
+        yield from pa.Table.from_pylist(rows, schema=schema).to_batches(max_chunksize=1024)
+
+
+DOCUMENT, PAIRS, NONE = 0, 1, 2
+
+
+def block_schema(doc_type: pa.DataType) -> pa.Schema:
+    """Kinds: a document or part of one, a block's pairs, a document without tokens."""
+    return pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("uid", pa.int64()), ("doc_id", doc_type), *((c, pa.int32()) for c in ("k", "j", "part")),
+                      ("whole", pa.bool_()), *((c, pa.int64()) for c in COUNTS[:4]), ("groups", pa.string()),
+                      *((c, pa.binary()) for c in ("items", "ends", "keys", "counts"))])
+
+
+def ids(x: pa.Scalar, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), kind) if x.is_valid else np.zeros(0, kind)
+
+
+def blocks(df: DataFrame, files: tuple[str, str, str | None], text: str, doc_id: str, base: str, long: int, span: int, block_tokens: int) -> DataFrame:
+    """Rows of ``block_schema``: whole documents, and long ones in parts."""
     rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{doc_id}`").alias("doc_id"), whole(F.col(f"`{text}`")).alias("text"))
     id_type = rows.schema["doc_id"].dataType
-    key = [T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), *(T.StructField(c, T.IntegerType()) for c in ("k", "j", "part"))]
-    tokens = [T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]
-    seg_schema = T.StructType([*key, T.StructField("whole", T.BooleanType()), T.StructField("block", T.LongType()), *tokens])
+    doc_type = _arrow(id_type)
+    out_schema = _spark(block_schema(doc_type), id_type)
+    pid = F.spark_partition_id().cast("long").alias("pid")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, block, held = Pair(file_a, file_b), 0, 0
+        words = Words(Pair(*files))
+        block, number = Block(words, doc_type), 0
+        for batch in batches:
+            at = batch.column("pid")[0].as_py() << 24 if batch.num_rows else 0
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                if words.full():
+                    yield from block.close(at + number)
+                    words.forget()
+                    number += 1
+                texts, none = part.column("text").to_pylist(), []
+                for t, items, uid, doc in zip(texts, words(texts), part.column("uid").to_pylist(), part.column("doc_id").to_pylist()):
+                    row = {"uid": uid, "doc_id": doc, "k": 0, "j": 0, "part": 0, "whole": True}
+                    if not t or not words.right[items].all():
+                        none.append(row | {"block": at, "kind": NONE})
+                        continue
+                    block.put(row, items)
+                if none:
+                    yield from pa.Table.from_pylist(none, schema=block_schema(doc_type)).to_batches()
+                if block.tokens > block_tokens:
+                    yield from block.close(at + number)
+                    number += 1
+            yield from block.close(at + number)
+            number += 1
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, number = Pair(*files), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                got = pair.encode([t or "" for t in part.column("text").to_pylist()])
-                at = part.column("pid")[0].as_py() << 24
-                a, b, blocks = [], [], []
-                for x, t in zip(got, part.column("text")):
-                    fine = x is not None and len(t.as_py()) > 0
-                    a.append(x[0].tobytes() if fine else None)
-                    b.append(x[1].tobytes() if fine else None)
-                    if fine:
-                        held += len(x[0]) + len(x[1])
-                        if held > block_tokens:
-                            block, held = block + 1, len(x[0]) + len(x[1])
-                    blocks.append(at + block)
-                n = part.num_rows
-                zero = pa.array(np.zeros(n, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), zero, zero, zero, pa.array([True] * n), pa.array(blocks, pa.int64()),
-                                                  pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=seg_schema.fieldNames())
+            at = (1 << 60) + (batch.column("pid")[0].as_py() << 24) if batch.num_rows else 0
+            words = Words(pair)
+            block = Block(words, doc_type)
+            for lo in range(0, batch.num_rows, 16):
+                part = batch.slice(lo, 16)
+                items = words.add([(ids(a), ids(b)) for a, b in zip(part.column("a"), part.column("b"))])
+                for row, i in zip(part.select(list(KEY)).to_pylist(), items):
+                    block.put(row | {"whole": False}, np.array([i]))
+                if block.tokens > block_tokens:
+                    yield from block.close(at + number)
+                    words.forget()
+                    number += 1
+            yield from block.close(at + number)
+            number += 1
+
+    few = materialise(rows.where(F.length("text") <= long).select("*", pid).mapInArrow(short, out_schema), "short", base)
+    segs, bad = long_segments(rows.where(F.length("text") > long), files, base, long, span)
+    many = materialise(segs.select("*", pid).mapInArrow(parted, out_schema), "long", base)
+    none = bad.select(*[F.col(c) if c in ("uid", "doc_id") else F.lit(NONE).alias(c) if c == "kind" else F.lit(None).cast(out_schema[c].dataType).alias(c)
+                        for c in out_schema.fieldNames()])
+    return few.unionByName(many).unionByName(none)
+
+
+def long_segments(rows: DataFrame, files: tuple[str, str, str | None], base: str, long: int, span: int) -> tuple[DataFrame, DataFrame]:
+    """Long texts (uid, doc_id, text) to (their segments: uid, doc_id, k, j, part, a,
+    b, in that order; the documents without tokens: uid, doc_id)."""
+    id_type = rows.schema["doc_id"].dataType
+    key = [T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), *(T.StructField(c, T.IntegerType()) for c in ("k", "j", "part"))]
+    tokens = [T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(file_a, file_b)
+        pair = Pair(*files)
         for batch in batches:
             for i in range(batch.num_rows):
                 for k, p in enumerate(pair.pieces(batch.column("text")[i].as_py(), long)):
                     yield pa.RecordBatch.from_arrays([batch.column("uid").slice(i, 1), batch.column("doc_id").slice(i, 1), pa.array([k], pa.int32()), pa.array([p])],
                                                      names=["uid", "doc_id", "k", "text"])
 
-    open_schema = T.StructType([*key, T.StructField("whole", T.BooleanType()), T.StructField("block", T.LongType()), *tokens,
-                                *(T.StructField(c, T.BooleanType()) for c in ("ok", "has")), *(T.StructField(c, T.IntegerType()) for c in ("pk", "pj")),
-                                *(T.StructField(c, T.BinaryType()) for c in ("pa", "pb", "sa", "sb"))])
+    open_schema = T.StructType([*key, *tokens, *(T.StructField(c, T.BooleanType()) for c in ("ok", "has")),
+                                *(T.StructField(c, T.IntegerType()) for c in ("pk", "pj")), *(T.StructField(c, T.BinaryType()) for c in ("pa", "pb", "sa", "sb"))])
     open_arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in open_schema])
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, block, held = Pair(file_a, file_b), 0, 0
-        size_a, size_b = sizes(pair.bytes_a), sizes(pair.bytes_b)
+        pair = Pair(*files)
         for batch in batches:
             for row in batch.to_pylist():
                 own = {"uid": row["uid"], "doc_id": row["doc_id"], "k": row["k"], "pk": row["k"]}
@@ -210,45 +393,33 @@ def segments(df: DataFrame, file_a: str, file_b: str, text: str, doc_id: str, ba
                 if got is None:
                     out.append(own | {"j": 0, "part": 2, "ok": False, "has": True, "pj": 0, **dict.fromkeys(("pa", "pb", "sa", "sb"), b"")})
                 else:
-                    for j, (has, p, c, s) in enumerate(fragments(*got, size_a, size_b, span)):
+                    for j, (has, p, c, s) in enumerate(fragments(*got, pair.size_a, pair.size_b, span)):
                         ends = dict(zip(("pa", "pb", "sa", "sb"), (x.tobytes() for x in (*p, *s))))
                         out.append(own | ends | {"j": j, "pj": j, "part": 2, "ok": True, "has": has})
                         if len(c[0]):
-                            held += len(c[0]) + len(c[1])
-                            if held > block_tokens:
-                                block, held = block + 1, len(c[0]) + len(c[1])
-                            out.append(own | {"j": j, "part": 1, "whole": False, "block": (1 << 60) + (row["pid"] << 24) + block,
-                                              "a": c[0].tobytes(), "b": c[1].tobytes()})
+                            out.append(own | {"j": j, "part": 1, "a": c[0].tobytes(), "b": c[1].tobytes()})
                 yield from pa.Table.from_pylist(out, schema=open_arrow).to_batches()
 
     def join(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["k"], r["j"]))
         node, closed = compose(rows)
-        return pa.Table.from_pylist([node, *({**c, "whole": False} for c in closed)], schema=open_arrow)
+        return pa.Table.from_pylist([node, *closed], schema=open_arrow)
 
-    pid = F.spark_partition_id().cast("long").alias("pid")
-    few = materialise(rows.where(F.length("text") <= long).select("*", pid).mapInArrow(short, seg_schema), "short", base)
-    piece_schema = T.StructType([*key[:3], T.StructField("text", T.StringType())])
-    parts = rows.where(F.length("text") > long).mapInArrow(cut, piece_schema).repartition("uid", "k")
-    found = materialise(parts.select("*", pid).mapInArrow(ranges, open_schema), "ranges", base)
-    segs, nodes = [found.where("part = 1")], found.where("part = 2")
+    pieces = rows.mapInArrow(cut, T.StructType([*key[:3], T.StructField("text", T.StringType())])).repartition("uid", "k")
+    found = materialise(pieces.mapInArrow(ranges, open_schema), "ranges", base)
+    segs, nodes = found.where("part = 1"), found.where("part = 2")
     most = nodes.agg(F.max("j").alias("j"), F.max("k").alias("k")).first()
     j, k, level = most["j"] or 0, most["k"] or 0, 0
     while j or k:
         by = ("uid", "k", F.floor(F.col("j") / FAN).alias("_j")) if j else ("uid", F.floor(F.col("k") / FAN).alias("_k"))
         level += 1
         done = materialise(nodes.groupBy(*by).applyInArrow(join, open_schema), f"level{level}", base)
-        segs.append(done.where("part = 0"))
+        segs = segs.unionByName(done.where("part = 0"))
         up = F.floor(F.col("j") / FAN).cast("int").alias("j") if j else F.lit(0).alias("j")
         nodes = done.where("part = 2").select(*[up if c == "j" else F.floor(F.col("k") / FAN).cast("int").alias("k") if c == "k" and not j else c for c in open_schema.fieldNames()])
         j, k = (j // FAN, k) if j else (0, k // FAN)
     bad = nodes.where(~F.col("ok")).select("uid", "doc_id")
-    n_seams = sum(s.count() for s in segs[1:])
-    seams = [s.withColumn("block", F.lit(1 << 61) + F.pmod(F.xxhash64("uid"), F.lit(max(1, n_seams // 4096)))) for s in segs[1:]]
-    out = few.where("a IS NOT NULL")
-    for s in [segs[0], *seams]:
-        out = out.unionByName(s.select(*seg_schema.fieldNames()).join(bad.select("uid"), "uid", "left_anti"))
-    return out, few.where("a IS NULL").select("doc_id").unionByName(bad.select("doc_id"))
+    return segs.select(*KEY, "a", "b").join(bad.select("uid"), "uid", "left_anti"), bad
 
 
 def _arrow(t: T.DataType) -> pa.DataType:
@@ -257,6 +428,12 @@ def _arrow(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
+def _spark(schema: pa.Schema, id_type: T.DataType) -> T.StructType:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return T.StructType([T.StructField(f.name, id_type if f.name == "doc_id" else from_arrow_type(f.type)) for f in schema])
+
+
 def align(df: DataFrame, file_a: str, file_b: str, text: str = "text", doc_id: str = "doc_id", long: int = LONG,
           span: int = RANGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; one
@@ -270,82 +447,41 @@ def align(df: DataFrame, file_a: str, file_b: str, text: str = "text", doc_id: s
     """
     base = work_dir(df.sparkSession)
     pair = Pair(file_a, file_b)
-    bytes_a, bytes_b = pair.bytes_a, pair.bytes_b
-    size_a, size_b, width = sizes(bytes_a).astype(np.int32), sizes(bytes_b).astype(np.int32), len(bytes_b)
-    segs, none = segments(df, file_a, file_b, text, doc_id, base, long, span, block_tokens)
+    width, pattern = len(pair.bytes_b), PATTERN if pair.same_by_ranks() else None
+    rows = blocks(df, (file_a, file_b, pattern), text, doc_id, base, long, span, block_tokens)
+    id_type = rows.schema["doc_id"].dataType
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, keys in held.items():
-                key, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.array(key), pa.array(n.astype(np.int64))], names=["block", "key", "n"])
-            held.clear()
-
         for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for lo, hi in zip(edges, edges[1:]):
-                if lo == hi:
-                    continue
-                if blocks[lo] not in held and len(held) >= 8:
-                    yield from flush()
-                a = np.concatenate([ids(x) for x in batch.column("a").slice(lo, hi - lo)]).astype(np.int64)
-                b = np.concatenate([ids(x) for x in batch.column("b").slice(lo, hi - lo)])
-                _, ia, ib, _ = links(a, b, size_a, size_b)
-                held.setdefault(int(blocks[lo]), []).append(a[ia] * width + b[ib])
-        yield from flush()
-
-    asked = materialise(segs.select("block", "a", "b").mapInArrow(pairs, "block long, key long, n long"), "pairs", base)
+            for number, keys, counts in zip(*(batch.column(c) for c in ("block", "keys", "counts"))):
+                key = ids(keys, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), number.as_py())), pa.array(key), pa.array(ids(counts, "<i8"))], names=["block", "key", "n"])
+
+    asked = materialise(rows.where(F.col("kind") == PAIRS).select("block", "keys", "counts").mapInArrow(pairs, "block long, key long, n long"), "pairs", base)
     counts = materialise(asked.groupBy("key").agg(F.sum("n").alias("count")).withColumn("b", F.pmod("key", F.lit(width))), "counts", base)
     best = counts.groupBy("b").agg(F.max("count").alias("top"))
     judged = counts.join(best, "b").select("key", "count", (F.col("count") == F.col("top")).alias("best"))
     answers = asked.select("block", "key").join(judged, "key").select("block", "key", "count", "best")
-    id_type = segs.schema["doc_id"].dataType
-    schema = T.StructType([*(segs.schema[c] for c in (*KEY, "whole")), *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("groups", T.StringType())])
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("key").to_numpy(), kind="stable")
-        key, count, top = (right.column(c).to_numpy()[order] for c in ("key", "count", "best"))
-        out = []
-        for batch in left.to_batches(max_chunksize=256):
-            out.append(pa.table(scored(batch, key, count, top.astype(bool)), schema=arrow_schema))
-        return pa.concat_tables(out) if out else arrow_schema.empty_table()
-
-    # a token with what follows it: "," within its side of a group, else "|" or ";"
+    schema = T.StructType([*(rows.schema[c] for c in (*KEY, "whole")), *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("groups", T.StringType())])
     arrow_schema = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in schema])
 
-    def scored(batch: pa.RecordBatch, key: np.ndarray, count: np.ndarray, top: np.ndarray) -> dict:
-        each_a, each_b = [ids(x) for x in batch.column("a")], [ids(x) for x in batch.column("b")]
-        a, b = np.concatenate(each_a).astype(np.int64), np.concatenate(each_b).astype(np.int64)
-        ends, ia, ib, common = links(a, b, size_a, size_b)
-        spot = np.searchsorted(key, a[ia] * width + b[ib])
-        n_a, n_b = np.array([len(x) for x in each_a]), np.array([len(x) for x in each_b])
-        stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
-        upto = np.searchsorted(ends, np.cumsum(size_a[a])[stop_a - 1], "right")  # links up to each segment's end
-        by = lambda v: np.diff(np.concatenate(([0], np.cumsum(v, dtype=np.int64)))[np.concatenate(([0], upto))])
-        # the text: tokens in the order of (group, side, place), each with its sign
-        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-        last_a[ia[common]], last_b[ib[common]] = True, True
-        group_a = np.cumsum(last_a) - last_a
-        group_b = np.cumsum(last_b) - last_b
-        before_b = np.searchsorted(group_b, group_a, "left")
-        after_a = np.searchsorted(group_a, group_b, "right")
-        put = np.empty(len(a) + len(b), np.int64)
-        put[np.arange(len(a)) + before_b] = a * 3 + last_a
-        put[np.arange(len(b)) + after_a] = b * 3 + 2 * last_b
-        lo, texts, hi = 0, [], stop_a + stop_b
-        whole_, signs = batch.column("whole").to_pylist(), (",", "|", ";")
-        names = {c: str(c // 3) + signs[c % 3] for c in np.unique(put).tolist()}
-        for i, h in enumerate(hi.tolist()):
-            s = "".join(map(names.__getitem__, put[lo:h].tolist()))[:-1]
-            texts.append(hashlib.sha256(s.encode()).hexdigest() if whole_[i] else s)
-            lo = h
-        return {**{c: batch.column(c) for c in (*KEY, "whole")}, "n_a": n_a, "n_b": n_b, "n_groups": by(common),
-                "n_links": by(np.ones(len(ends), np.int64)), "n_best": by(top[spot]), "count_sum": by(count[spot]), "groups": texts}
-
-    met = materialise(segs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema), "scored", base)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        mine = left.filter(pa.compute.equal(left.column("kind"), PAIRS)).to_batches()[0]
+        order = np.argsort(right.column("key").to_numpy(), kind="stable")  # the block's pairs, all of them
+        spots, ends = ids(mine.column("items")[0]), ids(mine.column("ends")[0]).astype(np.int64)
+        starts = np.concatenate(([0], ends[:-1]))
+        each = {c: np.add.reduceat(right.column(c).to_numpy()[order].astype(np.int64)[spots], starts) for c in ("best", "count")}
+        docs = left.filter(pa.compute.equal(left.column("kind"), DOCUMENT))
+        items = [ids(x) for x in docs.column("items")]
+        first = np.cumsum([0, *map(len, items)])[:-1]
+        items = np.concatenate(items)
+        out = docs.select([*KEY, "whole", *COUNTS[:4]])
+        for name, c in (("n_best", "best"), ("count_sum", "count")):
+            out = out.append_column(name, pa.array(np.add.reduceat(each[c][items], first)))
+        return out.append_column("groups", docs.column("groups")).select(arrow_schema.names).cast(arrow_schema)
+
+    met = materialise(rows.where(F.col("kind") != NONE).drop("keys", "counts").groupBy("block").cogroup(
+        answers.groupBy("block")).applyInArrow(score, schema), "scored", base)
     final = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("groups_sha256", T.StringType())])
     final_arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in final])
 
@@ -359,5 +495,5 @@ def align(df: DataFrame, file_a: str, file_b: str, text: str = "text", doc_id: s
 
     one = met.where("whole").select("doc_id", *COUNTS, F.col("groups").alias("groups_sha256"))
     many = met.where("NOT whole").groupBy("uid").applyInArrow(total, final)
-    zero = none.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in COUNTS], F.lit("").alias("groups_sha256"))
+    zero = rows.where(F.col("kind") == NONE).select("doc_id", *[F.lit(0).cast("long").alias(c) for c in COUNTS], F.lit("").alias("groups_sha256"))
     return one.unionByName(many).unionByName(zero)

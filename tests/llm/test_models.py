@@ -257,7 +257,7 @@ def test_no_rows_to_align(spark):
 
 def test_fragments_compose_in_any_order():
     pair = align.Pair(*FILES)
-    size_a, size_b = align.sizes(pair.bytes_a), align.sizes(pair.bytes_b)
+    size_a, size_b = pair.size_a, pair.size_b
     text = "日本語 naïve don't 🙂🙂 Überraschung " * 9
     a, b = pair.encode([text])[0]
     rows, closed = [], []
@@ -284,8 +284,14 @@ def test_cut_texts_have_the_whole_texts_tokens():
     pair = align.Pair(*FILES)
     assert pair.cuts
     for t in awkward_texts():
-        parts = list(pair.pieces(t or "", 20))
-        whole, cut = pair.encode([t or ""])[0], pair.encode(parts)
-        assert (whole is None) == any(c is None for c in cut)
-        if whole is not None:
-            assert all(np.array_equal(whole[i], np.concatenate([c[i] for c in cut])) for i in (0, 1))
+        whole = pair.encode([t or ""])[0]
+        for p in (pair, align.Pair(*FILES, align.PATTERN)):
+            for parts in (list(p.pieces(t or "", 20)), p.words(t or "")):
+                cut = p.encode(parts)
+                assert (whole is None) == any(c is None for c in cut)
+                if whole is not None:
+                    assert all(np.array_equal(whole[i], np.concatenate([c[i] for c in cut])) for i in (0, 1))
+
+
+def test_merging_by_rank_is_merging_by_list():
+    assert align.Pair(*FILES).same_by_ranks()
