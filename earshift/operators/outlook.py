@@ -13,17 +13,27 @@ from ..params import DEFAULTS, Params
 from .trends import latest_slice
 
 
-def taste_vector(
-    trends: DataFrame, params: Params = DEFAULTS, by: Sequence[str] = (), lam: float | None = None
-) -> DataFrame:
-    """Newest shares tilted by their relative change, as a unit vector."""
+def taste_inputs(trends: DataFrame, params: Params = DEFAULTS, by: Sequence[str] = ()) -> DataFrame:
+    """What a taste vector is made of, a row per tag: worth storing, as any tilt
+    starts from it."""
+    return latest_slice(trends, params, by).select(*by, "tag", "smoothed_share", "rel_change_per_year")
+
+
+def tilted(inputs: DataFrame, params: Params = DEFAULTS, by: Sequence[str] = (), lam: float | None = None) -> DataFrame:
+    """Newest shares tilted by ``lam`` times their relative change, as a unit vector."""
     low, high = params.clamp
     lam = params.lam if lam is None else lam
     rel = F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce("rel_change_per_year", F.lit(0.0))))
     w = F.col("smoothed_share") * (1.0 + lam * rel)
-    tilted = latest_slice(trends, params, by).select(*by, "tag", w.alias("w")).where("w > 0")
+    kept = inputs.select(*by, "tag", w.alias("w")).where("w > 0")
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by)))
-    return tilted.select(*by, "tag", (F.col("w") / length).alias("taste"))
+    return kept.select(*by, "tag", (F.col("w") / length).alias("taste"))
+
+
+def taste_vector(
+    trends: DataFrame, params: Params = DEFAULTS, by: Sequence[str] = (), lam: float | None = None
+) -> DataFrame:
+    return tilted(taste_inputs(trends, params, by), params, by, lam)
 
 
 def seeds(
@@ -107,30 +117,46 @@ def candidate_vectors(tags: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def recommend(
-    shortlist: DataFrame, candidate_tags: DataFrame, taste: DataFrame,
-    params: Params = DEFAULTS, by: Sequence[str] = (),
-) -> DataFrame:
-    """similarity^alpha times tag cosine^beta.  Vectors stay long, so the cosine
-    is a join on tag over at most ``top_tags_per_artist`` rows per candidate.
-    Similarity is relative to the whole shortlist, untagged candidates included.
-    """
+def ranked_heads(shortlist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The shortlist with similarity, which is relative to the whole of it,
+    untagged candidates included."""
     best = F.max("score").over(Window.partitionBy(*by))
-    s = shortlist.withColumn("similarity", F.col("score") / F.when(best == 0, 1.0).otherwise(best))
+    return shortlist.withColumn("similarity", F.col("score") / F.when(best == 0, 1.0).otherwise(best))
+
+
+def postings(shortlist: DataFrame, candidate_tags: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Tag to candidates with their unit weights, for the shortlist only."""
     wanted = candidate_tags.join(shortlist.select("mbid").distinct(), "mbid", "left_semi")
+    return candidate_vectors(wanted, params).select("tag", "mbid", "w", "tag_rank")
+
+
+def rerank(
+    heads: DataFrame, lists: DataFrame, taste: DataFrame, params: Params = DEFAULTS, by: Sequence[str] = ()
+) -> DataFrame:
+    """similarity^alpha times tag cosine^beta, from stored ``ranked_heads`` and
+    ``postings``: another taste costs a join on tag over the lists of its tags."""
     part = F.col("w") * F.col("taste")
-    fit = candidate_vectors(wanted, params).join(taste, "tag").groupBy(*by, "mbid").agg(
+    fit = lists.join(taste, "tag").groupBy(*by, "mbid").agg(
         F.sum(part).alias("trajectory_fit"),
         F.slice(F.sort_array(F.collect_list(
             F.struct((-part).alias("k"), "tag_rank", "tag"))), 1, 3).alias("why"),
     ).where("trajectory_fit > 0")
-    return s.join(fit, [*by, "mbid"]).select(
+    return heads.join(fit, [*by, "mbid"]).select(
         *by, "artist_name", "mbid", "comment",
         (F.pow("similarity", F.lit(params.alpha)) * F.pow("trajectory_fit", F.lit(params.beta))).alias("score"),
         "similarity", "trajectory_fit", F.col("why.tag").alias("matched_genres"), "via_artists", "n_seeds",
     )
 
 
+def recommend(
+    shortlist: DataFrame, candidate_tags: DataFrame, taste: DataFrame,
+    params: Params = DEFAULTS, by: Sequence[str] = (),
+) -> DataFrame:
+    """Vectors stay long, so the cosine is a join on tag over at most
+    ``top_tags_per_artist`` rows per candidate."""
+    return rerank(ranked_heads(shortlist, by), postings(shortlist, candidate_tags, params), taste, params, by)
+
+
 def as_text(recommendations: DataFrame) -> DataFrame:
     """Lists joined with ', ' for files and screens."""
     return recommendations.withColumns({

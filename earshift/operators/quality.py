@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
@@ -95,3 +95,57 @@ def fingerprint(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("content_hash"),
     )
+
+
+def content_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+
+
+def write_digested(df: DataFrame, path: str, key: Sequence[str], parts: int = 4096, fan: int = 64) -> None:
+    """Writes a table in ``parts`` folders by a hash of ``key``, with digests that
+    don't depend on the order of rows: of every part, of every ``fan`` parts, and so
+    on up to one for the whole."""
+    if PART in df.columns:
+        raise ValueError(f"a column is named {PART}")
+    rows = df.withColumn(PART, F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
+    rows.hint("rebalance", PART).write.mode("overwrite").option("compression", "zstd").partitionBy(PART).parquet(f"{path}/rows")
+    stored = df.sparkSession.read.parquet(f"{path}/rows")  # what is there now, not what was meant
+    digest = stored.groupBy(PART).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(content_hash(df).cast("decimal(38,0)")).alias("content_hash"))
+    level, size = digest.select(F.lit(0).alias("level"), F.col(PART).alias("node"), "n_rows", "content_hash"), parts
+    level.write.mode("overwrite").parquet(f"{path}/digests/level=0")
+    k = 0
+    while size > 1:
+        below, k, size = df.sparkSession.read.parquet(f"{path}/digests/level={k}"), k + 1, -(-size // fan)
+        below.groupBy(F.floor(F.col("node") / fan).cast("int").alias("node")).agg(
+            F.sum("n_rows").alias("n_rows"), F.sum("content_hash").alias("content_hash")).write.mode("overwrite").parquet(f"{path}/digests/level={k}")
+
+
+PART = "_part"
+
+
+def differing_parts(spark: SparkSession, a: str, b: str, parts: int = 4096, fan: int = 64) -> list[int]:
+    """Parts in which two ``write_digested`` tables differ, found from the top: only
+    the children of differing nodes are compared."""
+    depth, size = 0, parts
+    while size > 1:
+        depth, size = depth + 1, -(-size // fan)
+    bad: list[int] | None = None
+    for level in range(depth, -1, -1):
+        one, two = (spark.read.parquet(f"{p}/digests/level={level}").select("node", "n_rows", "content_hash") for p in (a, b))
+        if bad is not None:
+            one, two = (d.where(F.floor(F.col("node") / fan).isin(bad)) for d in (one, two))
+        other = two.select("node", F.col("n_rows").alias("_n"), F.col("content_hash").alias("_c"))
+        off = one.join(other, "node", "full").where(~(F.col("n_rows").eqNullSafe(F.col("_n")) & F.col("content_hash").eqNullSafe(F.col("_c"))))
+        bad = [r[0] for r in off.select(F.col("node").cast("int")).collect()]  # at most ``parts``
+        if not bad:
+            return []
+    return sorted(bad or [])
+
+
+def rerun_difference(spark: SparkSession, a: str, b: str, parts: int = 4096, fan: int = 64) -> DataFrame:
+    """Rows, as often as they are, that only one of two ``write_digested`` tables
+    holds, with ``side`` a or b.  Only differing parts are read."""
+    bad = differing_parts(spark, a, b, parts, fan)
+    one, two = (spark.read.parquet(f"{p}/rows").where(F.col(PART).isin(bad)).drop(PART) for p in (a, b))
+    return one.exceptAll(two).withColumn("side", F.lit("a")).unionByName(two.exceptAll(one).withColumn("side", F.lit("b")))

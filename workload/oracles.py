@@ -274,18 +274,19 @@ VIEWS: dict[str, tuple[str, str]] = {
 }
 
 
-def with_views(needs: str, body: str) -> str:
+def with_views(needs: str, body: str, **instead: str) -> str:
+    """``instead``: other SQL for some of the views."""
     done: list[str] = []
 
     def add(name: str) -> None:
         if name not in done:
-            for d in VIEWS[name][0].split():
+            for d in () if name in instead else VIEWS[name][0].split():
                 add(d)
             done.append(name)
 
     for name in needs.split():
         add(name)
-    views = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in done)
+    views = ",\n".join(f"{n} AS ({instead.get(n, VIEWS[n][1])})" for n in done)
     body = body.strip()
     if not views:
         return body

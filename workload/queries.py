@@ -26,7 +26,7 @@ from earshift.operators import (
     trends as tr,
 )
 from earshift.plans import feeds
-from earshift.sources import exports, logs, payloads
+from earshift.sources import exports, logs, overrides, payloads
 from earshift.sources.tables import work_dir
 from earshift.streaming import live, supersede as sup, trendfeed
 
@@ -37,11 +37,11 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(needs: str | None = None, sql: str | None = None):
+def query(needs: str | None = None, sql: str | None = None, **instead: str):
     def register(f: Callable[[Tables], DataFrame]):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = with_views(needs or "", sql)
+            ORACLES[f.__name__] = with_views(needs or "", sql, **instead)
         return f
     return register
 
@@ -346,6 +346,24 @@ def repeat_concentration(t):
     return rounded(met.repeat_concentration(t.plays()), top_1pct_share=9, total_hours=7)
 
 
+LISTENER_SQL = """
+    SELECT CAST(yr AS INTEGER) AS year, any_value(n) AS artists, any_value(k) AS top_1pct_size,
+           round(sum(secs) FILTER (place <= k) / sum(secs), 9) AS top_1pct_share, round(sum(secs) / 3600, 7) AS total_hours
+    FROM (SELECT *, count(*) OVER (PARTITION BY yr) AS n, greatest(1, (count(*) OVER (PARTITION BY yr) + 99) // 100) AS k,
+                 row_number() OVER (PARTITION BY yr ORDER BY secs DESC) AS place
+          FROM (SELECT year(ts) AS yr, o_custkey AS who, sum(CAST(floor(ms_played / 15000) AS BIGINT) * 15.0) AS secs
+                FROM plays JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)) GROUP BY yr"""
+
+
+@query("plays", LISTENER_SQL)
+def listener_concentration(t):
+    """The same measure over listeners in place of artists: thousands a year, so that
+    the cut falls inside, and time in steps of 15 seconds, so that many tie at it."""
+    steps = F.floor(F.col("ms_played") / 15000.0) * 15.0
+    d = t.plays(listeners=True).withColumns({"artist_name": F.col("user_id").cast("string"), "played_seconds": steps})
+    return rounded(met.repeat_concentration(d), top_1pct_share=9, total_hours=7)
+
+
 @query("raw crd wts", """
     SELECT tag, round(sum(tag_weight), 6) AS weighted_plays, round(sum(tag_weight) FILTER (skip), 6) AS weighted_skips,
            round(sum(tag_weight) FILTER (skip) / sum(tag_weight), 9) AS skip_rate,
@@ -566,6 +584,24 @@ def gap_recommendations(t):
     return rounded(d, score=9).select("tag", "artist_name", "mbid", "score")
 
 
+@query("cand cvec now", """
+    SELECT lam, mbid, round(sqrt(similarity) * fit, 9) AS score, round(fit, 9) AS trajectory_fit, n_seeds FROM (
+        SELECT lam, mbid, sum(v.w * taste) AS fit FROM cvec v JOIN (
+            SELECT lam, tag, w / sqrt(sum(w * w) OVER (PARTITION BY lam)) AS taste FROM (
+                SELECT lam, tag, smoothed_share * (1 + lam * greatest(-0.9, least(2.0, coalesce(rel_change_per_year, 0)))) AS w
+                FROM now, (VALUES (0.0::DOUBLE), (2.0), (5.0)) l(lam) WHERE smoothed_share > 0) WHERE w > 0) USING (tag)
+        GROUP BY lam, mbid HAVING sum(v.w * taste) > 0)
+    JOIN (SELECT *, score / max(score) OVER () AS similarity FROM cand) USING (mbid)""")
+def rerank_lambda(t):
+    """The dial: one stored shortlist ranked for three tilts."""
+    short = _candidates(t)
+    heads, lists = t.staged("heads", lambda: out.ranked_heads(short)), t.staged("postings", lambda: out.postings(short, t.candidate_tags()))
+    base = t.staged("taste", lambda: out.taste_inputs(_trends(t)))
+    each = [out.rerank(heads, lists, out.tilted(base, lam=lam)).withColumn("lam", F.lit(lam)) for lam in (0.0, 2.0, 5.0)]
+    rows = each[0].unionByName(each[1]).unionByName(each[2])
+    return rounded(rows, score=9, trajectory_fit=9).select("lam", "mbid", "score", "trajectory_fit", "n_seeds")
+
+
 # ---- playlists ------------------------------------------------------------
 
 def _specs(t):
@@ -621,7 +657,7 @@ def discovery_tracks(t):
     return pl.discovery_tracks(_chosen(t, specs), _anchors(t, specs))
 
 
-@query("anchor disc", """
+INTERLEAVE_SQL = """
     WITH c AS (SELECT label, count(*) AS n FROM anchor GROUP BY label),
     s AS (SELECT label, n, CASE WHEN n > 0 THEN greatest(1, 25 // n) ELSE 25 END AS step FROM (
             SELECT DISTINCT spec.label, coalesce(n, 0) AS n FROM spec LEFT JOIN c USING (label))),
@@ -630,7 +666,10 @@ def discovery_tracks(t):
             THEN (discovery_rank - 1) // (step - 1) * step + (discovery_rank - 1) % (step - 1) + 1
             ELSE discovery_rank - 1 + n END FROM disc JOIN s USING (label))
     SELECT label, slot, track_uri, CAST(p - 1 AS INTEGER) AS position FROM (
-        SELECT *, row_number() OVER (PARTITION BY label ORDER BY k) AS p FROM r) WHERE p <= 25""")
+        SELECT *, row_number() OVER (PARTITION BY label ORDER BY k) AS p FROM r) WHERE p <= 25"""
+
+
+@query("anchor disc", INTERLEAVE_SQL)
 def interleave(t):
     specs = _specs(t)
     anchors = _anchors(t, specs)
@@ -638,6 +677,23 @@ def interleave(t):
     return d.select("label", "slot", "track_uri", "position")
 
 
+PINNED = ("soul", "house", "pop", "techno")
+
+
+@query("anchor disc gap", INTERLEAVE_SQL.replace("track_uri, CAST(p - 1", "track_uri, label NOT IN (SELECT tag FROM gap) AS pinned, CAST(p - 1"),
+       spec="SELECT unnest(" + str(list(PINNED)) + ") AS label")
+def pinned_playlists(t):
+    """The whole build from an override file, which names genres that are no gaps."""
+    path = f"{work_dir(t.spark)}/playlists.csv"
+    lines = [("# by hand", ""), *((p, "") for p in PINNED), ("one too many", "pop|soul")]
+    t.spark.createDataFrame(lines, "label string, tags string").coalesce(1).write.option("header", True).csv(path)
+    named, _ = overrides.playlist_overrides(t.spark, path)
+    specs = t.staged("pinned", lambda: pl.playlist_specs(_gaps(t), named))
+    d = pl.build_playlists(t.log(), t.artist_tags(), _recommend(t), t.candidate_tags(), t.staged("artist_tracks", t.artist_tracks),
+                           t.genre_recordings(), specs)
+    return d.join(specs.select("label", "pinned"), "label").select("label", "slot", "track_uri", "position", "pinned")
+
+
 # ---- consolidation --------------------------------------------------------
 
 @query("fam", "SELECT DISTINCT tag, family FROM fam")
@@ -903,6 +959,23 @@ def not_finite(t):
     return qual.not_finite(t.trends(), ("share", "smoothed_share", "tag_seconds")).select("column", "n")
 
 
+@query("", """
+    WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders),
+    b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 997 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders
+          WHERE o_orderkey % 1009 <> 2 UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 1013 = 3)
+    SELECT 'a' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL
+    SELECT 'b' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def rerun_difference(t):
+    """Two runs of one table; the second changes some rows, loses some and repeats some."""
+    base, key = work_dir(t.spark), F.col("o_orderkey")
+    one = t.read("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    two = one.where(key % 1009 != 2).withColumn("o_totalprice", F.when(key % 997 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    two = two.unionByName(one.where(key % 1013 == 3))
+    for df, name in ((one, "a"), (two, "b")):
+        qual.write_digested(df, f"{base}/{name}", ["o_orderkey"], parts=64, fan=8)
+    return qual.rerun_difference(t.spark, f"{base}/a", f"{base}/b", parts=64, fan=8)
+
+
 # ---- export files ---------------------------------------------------------
 
 LINE_EVENT = """strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS ts, l_linestatus AS platform, CAST(l_quantity * 6000 AS BIGINT) AS ms_played,
