@@ -26,7 +26,7 @@ from earshift.operators import (
     trends as tr,
 )
 from earshift.plans import feeds
-from earshift.sources import exports, logs, overrides, payloads
+from earshift.sources import exports, logs, overrides, payloads, tables
 from earshift.sources.tables import work_dir
 from earshift.streaming import live, supersede as sup, trendfeed
 
@@ -849,6 +849,135 @@ def display_names(t):
     return t.artist_tags().select("tag").distinct().select("tag", pretty(tag).alias("label"), sentence(tag).alias("heading"))
 
 
+@query("trd", f"""SELECT tag, month, round(share, 9) AS share, round(smoothed_share, 9) AS smoothed_share FROM trd
+    WHERE variant = 'with_features' AND tag IN {PIVOT_TAGS}""")
+def trajectories(t):
+    return rounded(feeds.trajectories(t.trends(), PIVOT_TAGS), share=9, smoothed_share=9)
+
+
+@query("gap", "SELECT tag, round(gap_score, 9) AS gap_score, n_artists FROM gap ORDER BY gap.gap_score DESC NULLS LAST, tag LIMIT 10")
+def gaps_chart(t):
+    return rounded(feeds.gaps_chart(_gaps(t)), gap_score=9).select("tag", "gap_score", "n_artists")
+
+
+@query("plays", "SELECT year, round(100 * top_1pct_share, 4) AS pct FROM (" + LISTENER_SQL + ")")
+def concentration_chart(t):
+    steps = F.floor(F.col("ms_played") / 15000.0) * 15.0
+    d = t.plays(listeners=True).withColumns({"artist_name": F.col("user_id").cast("string"), "played_seconds": steps})
+    return rounded(feeds.concentration_chart(met.repeat_concentration(d)), pct=4)
+
+
+@query("fc", """SELECT CASE tag WHEN 'uk garage' THEN 'UK garage' ELSE tag END AS genre, printf('%.1f%%', share_now * 100) AS now,
+    printf('%.1f%%', share_future * 100) AS projected FROM fc ORDER BY share_future DESC NULLS LAST, tag LIMIT 12""")
+def forecast_table(t):
+    return feeds.forecast_table(out.forecast(t.trends())).select("genre", "now", "projected")
+
+
+@query("rec", """SELECT tag, artist_name, mbid, round(score, 9) AS score FROM (
+    SELECT tag, r.*, row_number() OVER (PARTITION BY tag ORDER BY r.score DESC, r.mbid) AS place
+    FROM (SELECT DISTINCT mbid, unnest(why) AS tag FROM rec) JOIN rec r USING (mbid)) WHERE place <= 3""")
+def best_per_tag(t):
+    return rounded(feeds.best_per_tag(_recommend(t)), score=9).select("tag", "artist_name", "mbid", "score")
+
+
+# ---- files written and read back --------------------------------------------
+
+def _csv_of(t: Tables, df: DataFrame, name: str) -> str:
+    path = f"{work_dir(t.spark)}/{name}.csv"
+    df.coalesce(1).write.option("header", True).csv(path)  # files of this kind are written by hand, in one piece
+    return path
+
+
+@query("art", """
+    SELECT artist_name, ident, CASE WHEN nation % 4 = 3 AND nation % 5 <> 0 THEN 'rejected' ELSE 'valid' END AS outcome, n_tags FROM (
+        SELECT artist_name, nation, CASE nation % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ignore' WHEN 2 THEN
+                   lower(printf('%08X-0000-4000-8000-%012X', artist_id, nation)) ELSE 'what?' END AS ident,
+               CASE WHEN nation % 4 = 3 THEN 0 WHEN nation % 5 = 0 THEN 2 ELSE 0 END AS n_tags FROM art)
+    WHERE nation % 4 <> 0 AND NOT (nation % 4 = 3 AND nation % 5 = 0) OR (nation % 4 = 0 AND nation % 5 = 0)""")
+def override_file(t):
+    """Artist overrides written as a hand-kept CSV and read back: ids, IGNORE, tags,
+    and ids that are none."""
+    n = F.col("nation")
+    ident = F.when(n % 4 == 1, "IGNORE").when(n % 4 == 2, F.format_string("%08X-0000-4000-8000-%012X", "artist_id", "nation")).when(n % 4 == 3, "what?")
+    lines = t.artists().where(~((n % 4 == 3) & (n % 5 == 0))).select(
+        "artist_name", F.coalesce(ident, F.lit("")).alias("mbid"), F.lit("by hand, \"quoted\"").alias("note"),
+        F.when((n % 4 != 3) & (n % 5 == 0), "deep house | soul|").otherwise("").alias("tags"))
+    valid, rejected = overrides.artist_overrides(t.spark, _csv_of(t, lines, "artists"))
+    good = valid.select("artist_name", F.when(F.col("ignore"), "ignore").otherwise(F.col("mbid")).alias("ident"), F.lit("valid").alias("outcome"),
+                        F.size("tags").alias("n_tags"))
+    return good.unionByName(rejected.select("artist_name", F.col("mbid").alias("ident"), F.lit("rejected").alias("outcome"), F.lit(0).alias("n_tags")))
+
+
+@query("trk", f"""
+    SELECT title_key, artist_key, arg_max(decision, part_id) AS decision, false AS is_rejected FROM (
+        SELECT {title('track_name')} AS title_key, {fold('artist_name')} AS artist_key, part_id,
+               CASE part_id % 3 WHEN 0 THEN 'keep' ELSE 'drop' END AS decision FROM trk WHERE part_id % 7 <> 0 AND part_id % 2 = 0) GROUP BY 1, 2
+    UNION ALL SELECT track_name, artist_name, 'Maybe', true FROM trk WHERE part_id % 7 = 0 AND part_id % 2 = 0""")
+def decision_file(t):
+    """Consolidation decisions as a CSV, the last line for a song winning."""
+    k = F.col("part_id")
+    lines = t.tracks().where(k % 2 == 0).orderBy("part_id").select(
+        F.when(k % 7 == 0, "Maybe").when(k % 3 == 0, "KEEP").otherwise("drop").alias("decision"), "artist_name", "track_name", F.lit("").alias("note"))
+    valid, rejected = overrides.consolidate_overrides(t.spark, _csv_of(t, lines, "songs"))
+    return valid.select("title_key", "artist_key", "decision", F.lit(False).alias("is_rejected")).unionByName(rejected.select(
+        F.col("track_name").alias("title_key"), F.col("artist_name").alias("artist_key"), "decision", F.lit(True).alias("is_rejected")))
+
+
+@query("anchor disc", "SELECT run_date, gap_tag, slot, track_uri, position, source FROM (" + INTERLEAVE_SQL.replace(
+    "SELECT label, slot, track_uri,", "SELECT label AS gap_tag, slot, track_uri, CASE slot WHEN 'anchor' THEN 'plays' ELSE 'recommendations' END AS source,", 1)
+    + "), (VALUES ('2024-01-01'), ('2024-02-01')) d(run_date)")
+def playlist_archive(t):
+    """Two runs' playlists added to the archive and read back; a run without rows adds nothing."""
+    specs = _specs(t)
+    anchors = _anchors(t, specs)
+    rows = t.staged("playlists", lambda: pl.interleave(anchors, pl.discovery_tracks(_chosen(t, specs), anchors), 25))
+    path = f"{work_dir(t.spark)}/archive"
+    for day in ("2024-01-01", "2024-02-01"):
+        tables.append_archive(pl.archive_rows(rows, day), path)
+    tables.append_archive(pl.archive_rows(rows.where("position < 0"), "2024-03-01"), path)
+    return tables.read_archive(t.spark, path).select("run_date", "gap_tag", "slot", "track_uri", "position", "source")
+
+
+@query("tags", "SELECT DISTINCT lower(tag) AS term FROM tags")
+def vocabulary_file(t):
+    """Genre terms, one a line, with blanks, capitals and repeats."""
+    path = f"{work_dir(t.spark)}/terms"
+    t.artist_tags().select(F.concat(F.lit("  "), F.initcap("tag"), F.lit(" ")).alias("value")).unionByName(
+        t.spark.range(3).select(F.lit("   ").alias("value"))).write.text(path)
+    return overrides.vocabulary(t.spark, path)
+
+
+@query("", """SELECT l_returnflag AS name, count(*) AS n FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem) GROUP BY 1 HAVING count(*) <> 1
+    UNION ALL SELECT 'missing', 0""")
+def ambiguous_sources(t):
+    """Wanted sources that no playlist or several have."""
+    lists = t.read("lineitem").select(F.col("l_returnflag").alias("name"), "l_linestatus").distinct()
+    return qual.ambiguous_sources(lists, ["A", "N", "R", "missing"])
+
+
+@query("", """SELECT count(*) FILTER (l_linenumber % 3 = 0) AS null_artist_rows, count(*) FILTER (l_linenumber % 2 = 0) AS video_rows FROM lineitem""")
+def log_warnings(t):
+    n = F.col("l_linenumber")
+    d = t.read("lineitem").select(F.when(n % 3 != 0, F.lit("x")).alias("artist_name"), F.when(n % 2 == 0, "video").otherwise("audio").alias("source_kind"))
+    return qual.log_warnings(d)
+
+
+@query("tags", "SELECT count(*) AS n_rows, count(*) FILTER (is_genre) AS n_genre_rows FROM tags")
+def tag_row_counts(t):
+    return met.tag_row_counts(t.artist_tags())
+
+
+@query("", """SELECT 'x' AS "column", count(*) AS n FROM lineitem WHERE l_linenumber < 3
+    UNION ALL SELECT 'y', count(*) FROM lineitem WHERE l_quantity > 40""")
+def not_finite_rows(t):
+    """Columns with values that are no numbers or have no end; z has none."""
+    n = F.col("l_linenumber")
+    d = t.read("lineitem").select(
+        F.when(n == 1, float("nan")).when(n == 2, float("-inf")).otherwise(1.0).alias("x"),
+        F.when(F.col("l_quantity") > 40, float("inf")).when(n == 3, F.lit(None)).otherwise(2.0).alias("y"), F.lit(0.5).alias("z"))
+    return qual.not_finite(d, ("x", "y", "z")).select("column", "n")
+
+
 # ---- payloads and logs ----------------------------------------------------
 
 def _names(c):
@@ -1017,6 +1146,39 @@ PLAYED = ("ts", "platform", "ms_played", "track_name", "artist_name", "track_uri
           "content_type", "played_seconds", "month")
 
 
+@query("", """
+    SELECT source_kind, content_type, count(*) AS n, count(*) FILTER (is_first) AS in_first FROM (
+        SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'video' ELSE 'audio' END AS source_kind, l_linenumber < 2 AS is_first,
+               CASE WHEN l_linenumber < 5 THEN 'music' ELSE 'unknown' END AS content_type
+        FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate FROM lineitem)) GROUP BY 1, 2""")
+def export_kinds(t):
+    """Audio and video files, one of them twice: an event keeps the lowest file name,
+    and the kind goes with it."""
+    base = f"{work_dir(t.spark)}/kinds"
+    n = F.col("l_linenumber")
+    event = F.to_json(F.struct(
+        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), (F.col("l_quantity") * 6000).cast("bigint").alias("ms_played"),
+        F.format_string("%d of %d in %d", "l_partkey", "l_orderkey", "l_linenumber").alias("master_metadata_track_name"),
+        F.when(n < 5, F.concat(F.lit("t"), "l_partkey")).alias("spotify_track_uri")))
+    line = t.read("lineitem")
+    files = max(1, line.count() // 4000)
+    name = F.explode(F.when(n == 1, F.array(F.lit("Audio_0"), F.lit("Audio_1"))).when(n % 2 == 0, F.array(F.lit("Video_2"))).otherwise(F.array(F.lit("Audio_1"))))
+    rows = line.select("l_linenumber", event.alias("event"), F.pmod(F.xxhash64("l_orderkey"), F.lit(files)).alias("file"))
+    rows = rows.select("event", "file", name.alias("name"))
+    arrays = rows.groupBy("name", "file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("event"), ","), F.lit("]")).alias("value"))
+    arrays.select("name", "value").write.option("maxRecordsPerFile", 1).partitionBy("name").text(base)
+    jvm = t.spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(base)
+    fs = top.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in ("Audio_0", "Audio_1", "Video_2"):
+        for k, f in enumerate(fs.listStatus(jvm.org.apache.hadoop.fs.Path(base, f"name={folder}"))):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(base, f"Streaming_History_{folder}_{k}.json"))
+        fs.delete(jvm.org.apache.hadoop.fs.Path(base, f"name={folder}"), True)
+    plays = ev.normalise_plays(exports.read_export(t.spark, base))
+    return plays.groupBy("source_kind", "content_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("source_file").contains("Audio_0"), 1)).alias("in_first"))
+
+
 @query("", f"""SELECT DISTINCT CAST(strptime(ts, '%Y-%m-%dT%H:%M:%SZ') AS TIMESTAMP) AS ts, * EXCLUDE (ts), CASE WHEN track_uri IS NOT NULL THEN 'music'
         WHEN episode_uri IS NOT NULL THEN 'podcast' WHEN audiobook_uri IS NOT NULL THEN 'audiobook' ELSE 'unknown' END AS content_type,
         ms_played / 1000.0::DOUBLE AS played_seconds, CAST(date_trunc('month', strptime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS DATE) AS month
