@@ -54,22 +54,30 @@ def fold_name(name: Column) -> Column:
     so only the others carry a value into the Arrow function.  NULL, and names without a letter or
     digit, fold to ''.
     """
+    plain, is_ascii, ascii_key = _ascii_fold(name)
+    return F.when(is_ascii, ascii_key).otherwise(_unicode_fold()(F.when(~is_ascii, plain)))
+
+
+def _ascii_fold(name: Column) -> tuple[Column, Column, Column]:
+    """The name without stylised signs, whether it is ASCII, and its key if it is."""
     plain = F.translate(F.coalesce(name, F.lit("")), STYLISED, PLAIN)
-    is_ascii = plain.rlike(r"\A\p{ASCII}*\z")
     short = F.regexp_replace(F.regexp_replace(F.lower(plain), DROPPED_WORDS, ""), NOT_KEY_CHARS, "")
     ascii_key = F.when(short != "", short).otherwise(F.regexp_replace(F.lower(plain), NOT_KEY_CHARS, ""))
-    return F.when(is_ascii, ascii_key).otherwise(_unicode_fold()(F.when(~is_ascii, plain)))
+    return plain, plain.rlike(r"\A\p{ASCII}*\z"), ascii_key
 
 
 def with_folded(df: DataFrame, **keys: str) -> DataFrame:
-    """Add ``key=column`` folded keys by folding each distinct value once.
+    """Add ``key=column`` folded keys, as ``fold_name`` gives them.
 
-    Worth it where rows outnumber names.  NULL counts as ''.
+    Rows never pass through Python: only the distinct names outside ASCII do, and
+    their keys are joined.  NULL counts as ''.
     """
     for key, column in keys.items():
-        named = df.withColumn("_name", F.coalesce(column, F.lit("")))
-        names = named.select("_name").distinct().withColumn(key, fold_name(F.col("_name")))
-        df = named.join(names, "_name").drop("_name")
+        plain, is_ascii, ascii_key = _ascii_fold(F.col(f"`{column}`"))
+        odd = df.where(~is_ascii).select(F.col(f"`{column}`").alias("_name")).distinct()
+        odd = odd.select("_name", fold_name(F.col("_name")).alias("_key"))
+        df = df.join(odd, F.col(f"`{column}`") == F.col("_name"), "left").withColumn(
+            key, F.when(is_ascii, ascii_key).otherwise(F.col("_key"))).drop("_name", "_key")
     return df
 
 

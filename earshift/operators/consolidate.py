@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import first_per_key, ratio
-from ..functions.text import fold_name, tag_family, title_key
+from ..functions.text import fold_name, tag_family, title_key, with_folded
 from ..params import DEFAULTS, Params
 
 KEEP, DROP, REVIEW = "keep", "drop", "review"
@@ -60,8 +60,8 @@ def score_credits(items: DataFrame, weights: DataFrame, params: Params = DEFAULT
     """
     lists = items.select("artists").distinct()
     w = weights.select("name_key", "rap_share", "tag_notes", F.lit(True).alias("_known"))
-    credits = lists.select("artists", F.posexplode_outer("artists").alias("pos", "name")).withColumn(
-        "name_key", fold_name(F.col("name"))).join(w, "name_key", "left")
+    each = lists.select("artists", F.posexplode_outer("artists").alias("pos", "name"))
+    credits = with_folded(each, name_key="name").join(w, "name_key", "left")
     share, pos = F.col("rap_share"), F.col("pos")
     is_credit = pos.isNotNull()
     unknown = is_credit & F.col("_known").isNull()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import first_per_key
-from ..functions.text import fold_name
+from ..functions.text import fold_name, with_folded
 from ..params import DEFAULTS, Params
 
 # Fixed value: shape of a catalogue id.
@@ -45,15 +45,13 @@ def resolve_artists(names: DataFrame, resolver_candidates: DataFrame, failed: Da
     """
     c = resolver_candidates.withColumn("n_tags", F.size(F.coalesce("tags", F.array().cast(
         resolver_candidates.schema["tags"].dataType))))
-    target = fold_name(F.col("query_name"))
-    keys = c.select(
-        "query_name", "pos", "mbid", "name", "score", "tags", "n_tags",
-        target.alias("target"), fold_name(F.col("name")).alias("own_key"), "aliases",
-    )
+    keys = with_folded(c, target="query_name", own_key="name").select(
+        "query_name", "pos", "mbid", "name", "score", "tags", "n_tags", "target", "own_key")
     # Aliases are folded as rows: a Python function cannot run inside an array
     # lambda.  They meet their candidate again on its position.
-    alias_hits = c.select("query_name", "pos", F.explode("aliases").alias("alias"), target.alias("target")).where(
-        fold_name(F.col("alias")) == F.col("target")
+    aliases = c.select("query_name", "pos", F.explode("aliases").alias("alias"))
+    alias_hits = with_folded(aliases, target="query_name", alias_key="alias").where(
+        F.col("alias_key") == F.col("target")
     ).select("query_name", "pos").distinct().withColumn("by_alias", F.lit(True))
     matched = keys.join(alias_hits, ["query_name", "pos"], "left")
     own = F.col("own_key") == F.col("target")

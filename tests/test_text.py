@@ -59,3 +59,16 @@ def test_tag_family(spark, tags, family):
 def test_display(spark):
     assert keys(spark, pretty, ["uk garage", "melodic edm", "soul"]) == ["UK garage", "melodic EDM", "soul"]
     assert keys(spark, sentence, ["uk Garage", ""]) == ["Uk Garage", ""]
+
+
+def test_only_names_outside_ascii_meet_python(spark):
+    from earshift.functions.text import with_folded
+
+    names = ["The Beatles", "Björk", "BJORK", None, "", "Ünï & Söhne", "東京事変", "Björk", "A$AP", "The"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
+    both = with_folded(df, key="name").withColumn("one", fold_name(F.col("name")))
+    rows = both.collect()
+    assert len(rows) == len(names) and all(r.key == r.one for r in rows)
+    plan = with_folded(df, key="name")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("ArrowEvalPython"):]
+    assert plan.count("ArrowEvalPython") == 1 and "HashAggregate" in below  # distinct names first

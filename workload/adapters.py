@@ -167,8 +167,9 @@ class Tables:
         )
 
     def log(self) -> DataFrame:
-        """Plays for queries that read them several times."""
-        return self.staged("plays", lambda: self.plays(titles=True))
+        """What queries that read the plays several times need of them."""
+        return self.staged("plays", lambda: self.plays(titles=True).select(
+            "ts", "month", "track_uri", "artist_name", "track_name", "track_artists", "played_seconds"))
 
     def full_credits(self) -> DataFrame:
         return track_credits(self.plays(titles=True))

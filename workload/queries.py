@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshift.functions.frames import rounded
-from earshift.functions.text import pretty, sentence, tag_family
+from earshift.functions.text import pretty, sentence, tag_family, with_folded
 from earshift.operators import (
     consolidate as con,
     credits as crd,
@@ -779,6 +779,16 @@ def song_keys(t):
     return con.with_song_key(t.playlist_items()).select("track_name", "title_key", "artist_key").distinct()
 
 
+@query("", rf"""SELECT word, {fold("replace(word, 'ß', 'ss')")} AS name_key FROM (
+    SELECT DISTINCT unnest(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')) AS word FROM documents)
+    WHERE regexp_matches(word, '[^\x00-\x7F]')""")
+def fold_unicode(t):
+    """Keys of all words outside ASCII in the documents."""
+    words = t.read("documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("word"))
+    odd = words.where(~F.col("word").rlike(r"\A\p{ASCII}*\z")).distinct()
+    return with_folded(odd, name_key="word")
+
+
 # ---- feeds ----------------------------------------------------------------
 
 @query("trd", """
