@@ -8,6 +8,7 @@ Arrow batches; the tree becomes a Spark expression over the list.
 """
 
 import bisect
+import functools
 import html as references
 import re
 import sys
@@ -30,14 +31,26 @@ BREAKS = frozenset((
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p pre section summary table "
     "tbody td tfoot th thead tr ul").split())
 #: Elements that are tracked as surroundings of a block.
-HOLDERS = BREAKS - frozenset("p li dt dd td th tr hr h1 h2 h3 h4 h5 h6 body html head caption legend".split())
+HOLDERS = BREAKS - frozenset("p tr hr h1 h2 h3 h4 h5 h6 body html head caption legend".split())
+#: Elements that end where another of their kind begins, up to the list or table that holds them.
+ITEMS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "table"), "th": ("td th", "table")}
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 FURNITURE_NAMES = frozenset((
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars menu menus "
     "nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus "
-    "respond reply replies related recommended widget widgets toolbar pagination pager search copyright legal disclaimer").split())
+    "respond reply replies related recommended widget widgets toolbar pagination pager search copyright legal disclaimer "
+    "feedback discussion discussions reactions testimonial testimonials trackback trackbacks pingback teaser teasers").split())
+#: Of these, names that layouts of whole pages carry too, as in content-sidebar.
+LAYOUT = frozenset("banner sidebar sidebars menu menus nav navbar navigation footer masthead topbar toolbar widget widgets modal overlay".split())
+#: Words that add nothing to the one before, written apart or together with it.
+FILLERS = frozenset((
+    "list area box section sections wrap wrapper container inner outer body text item items block bar holder row col column panel "
+    "link links info form thread title meta author avatar count unit slot zone group content main entry post posts").split())
+#: Words for an element that holds all that its name lists, as in content-sidebar-wrap.
+AROUND = frozenset("wrap wrapper container layout page".split())
+PHRASES = frozenset((("site", "info"), ("tag", "cloud"), ("skip", "link"), ("back", "top")))
 ARTICLE_NAMES = frozenset("article post entry content story main".split())
 #: Words of a name that say what is absent or allowed for, as in no-comments or has-sidebar.
 STATES = frozenset("no not non has have with without hide hides is".split())
@@ -53,6 +66,7 @@ ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 CLOSED_ITSELF = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/\s*$")
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Words of a wrapper that outweigh its mark.
 MUCH = 120
 
@@ -108,31 +122,49 @@ def attributes(attrs: str) -> dict[str, str | None]:
     return out
 
 
+@functools.lru_cache(1 << 14)
+def compound(word: str) -> tuple[str, ...]:
+    """A known word and a filler written as one, apart."""
+    if word in FURNITURE_NAMES or word in ARTICLE_NAMES:
+        return (word,)
+    for k in range(len(word) - 1, 1, -1):
+        if word[:k] in FURNITURE_NAMES and word[k:] in FILLERS:
+            return word[:k], word[k:]
+    return (word,)
+
+
 def names(tag: str, attrs: str) -> tuple[float, bool, bool]:
     """Mark of page furniture (0 none, 0.5 doubtful, 1), article, hidden.
 
-    A class or id counts by its words: one that ends in a furniture word is
-    furniture, one that only holds such a word is doubtful, one with a word of
-    STATES says nothing.  Names of articles outweigh as many names of furniture."""
+    A class or id counts by its words, fillers at its end left out: one that begins
+    or ends in a word for reactions, adverts or notices is furniture, and so is one
+    that ends in a word of layouts and names no article; one that only holds such a
+    word is doubtful, one with a word of STATES says nothing.  Names of articles
+    outweigh as many names of furniture."""
     got = attributes(attrs) if attrs else {}
     strong, weak, article = 0, 0, {"article": 1, "main": 2}.get(tag, 0)
     role = (got.get("role") or "").strip().lower()
     article += {"article": 1, "main": 2}.get(role, 0)
     header = False
-    for name in f"{got.get('class') or ''} {got.get('id') or ''}".lower().split():
-        words = NAME.findall(name)
+    for name in f"{got.get('class') or ''} {got.get('id') or ''}".split():
+        words = [w for x in NAME.findall(HUMP.sub("-", name).lower()) for w in compound(x)]
         if not words or STATES.intersection(words):
             continue
-        main, aside = bool(ARTICLE_NAMES.intersection(words)), bool(FURNITURE_NAMES.intersection(words))
-        if main and aside:
-            if words[-1] in FURNITURE_NAMES or words[-1] in ARTICLE_NAMES:
-                weak += 1
-            else:
+        core = list(words)
+        while len(core) > 1 and core[-1] in FILLERS:
+            core.pop()
+        aside, main = FURNITURE_NAMES.intersection(words), bool(ARTICLE_NAMES.intersection(words))
+        if aside & {core[0], core[-1]} - LAYOUT or tuple(words[:2]) in PHRASES:
+            strong += 1
+        elif main and aside:
+            if core[0] in ARTICLE_NAMES and words[-1] in AROUND:
                 article += 1
+            else:
+                weak += 1
         elif main:
             article += 1
         elif aside:
-            strong, weak = (strong + 1, weak) if words[-1] in FURNITURE_NAMES else (strong, weak + 1)
+            strong, weak = (strong + 1, weak) if core[-1] in aside else (strong, weak + 1)
         elif "header" in words:
             header = True
     strong += header and not article
@@ -227,6 +259,14 @@ def blocks(page: str) -> list[tuple]:
                         break
             continue
         mark, article, hidden = names(tag, m["attrs"])
+        if tag in ITEMS:
+            same, within = (x.split() for x in ITEMS[tag])
+            for k in range(len(held) - 1, 0, -1):
+                if around[held[k]][1] in same:
+                    del held[k:]
+                    break
+                if around[held[k]][1] in within:
+                    break
         if tag in HOLDERS:
             around.append((held[-1], tag, mark, article, hidden))
             held.append(len(around) - 1)
@@ -311,7 +351,8 @@ def extract(df: DataFrame, page: str = "html", keep: Sequence[str] = ("page_id",
             labelled: Sequence[Sequence[float]] = LABELLED) -> DataFrame:
     """``keep``, text and n_chars (code points), one row per row.
 
-    A null or empty page has an empty text.  Pages that repeat are read each; an
+    A null or empty page has an empty text.  Of a page in which the tree finds no
+    main text, the blocks without mark or link stay.  Pages that repeat are read each; an
     empty table gives an empty one; columns not in ``keep`` go.  Markup that is
     cut off or not closed ends with the page.
     """
@@ -327,5 +368,8 @@ def extract(df: DataFrame, page: str = "html", keep: Sequence[str] = ("page_id",
         return F.when(grown(f) > 0.5, x["text"])
 
     texts = F.array_compact(F.transform(b, stays))
+    # a page too short for the tree to find anything: all that is neither marked nor linked
+    plain = F.transform(F.filter(b, lambda x: (x["aside"] == 0) & (x["links"] < 0.5)), lambda x: x["text"])
+    texts = F.when(F.size(texts) > 0, texts).otherwise(plain)
     out = to_blocks(df, page, keep).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.array_join(texts, "\n\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

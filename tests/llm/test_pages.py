@@ -158,6 +158,44 @@ KEPT_PAGES = {
 }
 
 
+CLEAN_PAGES = {
+    f"<div id='content'><p>{LONG}</p><ol class=\"commentlist\"><li class=\"comment\"><p>Nice</p></li><li class='comment'><p>{LONG}</p></li></ol></div>": LONG.strip(),
+    f"<article><p>Body.</p><div class=\"comment-content\"><p>hi {LONG}</p></div></article>": "Body.",
+    f"<article><p>Body.</p></article><div class='comments-area'><div class='comment-body'><p>{LONG}</p></div></div>": "Body.",
+    f"<div class='post'><p>Body.</p><div class='userComments'><p>{LONG}</p></div></div>": "Body.",
+    f"<article><p>Body.</p><div class='reader-feedback'><p>{LONG}</p></div></article>": "Body.",
+    f"<article><p>Body.</p><div class='related-posts'><p>{LONG}</p></div></article>": "Body.",
+    "<article><p>Body.</p><p class='advert-text'>buy</p></article>": "Body.",
+    f"<article><p>Body.</p></article><div class='cookie-banner-text'>{LONG}</div>": "Body.",
+    f"<article><p>Body.</p></article><div class='site-info'>{LONG}</div>": "Body.",
+    "<p>Short text only</p>": "Short text only",
+    "<ul class='menu'><li><a href='/'>Home</a></ul><h1>Title</h1><p>Short text.</p>": "Title\n\nShort text.",
+    "<article><ul><li>one<li>two<ul><li>in<li>deep</ul><li class='ad'>buy<p>now</p><li>three</ul></article>": "one\n\ntwo\n\nin\n\ndeep\n\nthree",
+    "<article><table><tr><td class='promo-box'>buy<p>now</p><td>cell<tr><td>last</table></article>": "cell\n\nlast",
+}
+
+
+def test_main_text_without_comments_and_adverts(spark):
+    """Names written together, in humps or with fillers, and marks on list items."""
+    df = spark.createDataFrame(list(enumerate(CLEAN_PAGES)), "page_id long, html string")
+    got = {r.page_id: r.text for r in html.extract(df, keep=("page_id",)).collect()}
+    assert {p: got[i] for i, p in enumerate(CLEAN_PAGES)} == CLEAN_PAGES
+
+
+def test_pages_without_marks(spark):
+    """By words, links and neighbours alone: given pages whose article tags are divs."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(f"{PATH}/pages.parquet")
+    bare = df.withColumn("html", F.regexp_replace("html", "<(/?)article>", "<$1div>"))
+    got = {r.page_id: r.text for r in html.extract(bare).collect()}
+    right = kept = wanted = 0
+    for r in df.collect():
+        want, have = (collections.Counter(x for x in t.split("\n\n") if x) for t in (plain_article(r.html), got[r.page_id]))
+        right, kept, wanted = right + sum((want & have).values()), kept + sum(have.values()), wanted + sum(want.values())
+    assert right >= 0.95 * kept and right >= 0.95 * wanted
+
+
 def test_main_text_keeps_articles(spark):
     """Marks found in values or in one word of a name, open silent elements."""
     df = spark.createDataFrame(list(enumerate(KEPT_PAGES)), "page_id long, html string")
