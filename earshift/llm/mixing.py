@@ -12,17 +12,23 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialise, work_dir
 from .text import n_words, numbered, running, whole
 
-#: 2**32 divided by the golden ratio: the step of the schedule's points.
-GOLDEN = 2654435769
-FULL, CELL_BITS = 1 << 32, 16
+#: The schedule's line has 2**62 places, and its points step by that over the golden
+#: ratio: 10**11 blocks, as 100 TB have, still get stretches of many places each.
+BITS = 62
+GOLDEN = 2850178704830799621
+CELL_BITS = 16
 BLOCK_WORDS = 256
 ROWS_PER_PART = 100_000
+#: A partition of the mixed table holds at most so many words, and not less than so
+#: many for the sake of the session's number of shuffle partitions.
+MOST_WORDS, LEAST_WORDS = 1 << 24, 1 << 16
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -54,37 +60,40 @@ def goal() -> Column:
     return F.floor(F.col("target") + 0.5)
 
 
-def slots(sources: DataFrame, block: int) -> DataFrame:
+def point(i: Column, bits: int = BITS) -> Column:
+    """Place of point ``i``: i times the step, modulo 2**bits (an even number), by
+    halves so that no product leaves a long."""
+    half = bits // 2
+    low = (1 << half) - 1
+    step = GOLDEN >> (BITS - bits)
+    i1, i0 = F.shiftright(i, half).bitwiseAND(F.lit(low)), i.bitwiseAND(F.lit(low))
+    cross = (i1 * (step & low)).bitwiseAND(F.lit(low)) + (i0 * (step >> half)).bitwiseAND(F.lit(low))
+    return (i0 * (step & low) + F.shiftleft(cross.bitwiseAND(F.lit(low)), half)).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def slots(sources: DataFrame, block: int, bits: int = BITS) -> DataFrame:
     """(rank, k, slot): the schedule, a slot for every block of every source.
     ``sources`` must be a small written table.
 
-    A source's stretch of the line is its share of the blocks.  Golden-ratio
-    points hit each stretch nearly as often as its share: about as many points as
-    there are blocks fill all but the last few, and points beyond a source's last
-    block are passed over.
+    A source's stretch of the line is its share of the blocks.  The first 3 n
+    golden-ratio points leave no gap of 1 / n, so every block of n finds its point
+    among them; points beyond a source's last block are passed over.
     """
-    spark, base = sources.sparkSession, work_dir(sources.sparkSession)
     upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     s = sources.where(goal() > 0).select("rank", F.ceil(goal() / block).alias("blocks"))
     s = s.select("rank", "blocks", F.sum("blocks").over(upto).alias("hi"), F.sum("blocks").over(Window.partitionBy()).alias("all"))
-    scale = lambda c: F.floor(c / F.col("all") * FULL)
+    scale = lambda c: F.floor(c / F.col("all") * F.lit(float(1 << bits)))
     line = s.select("rank", "blocks", scale(F.col("hi") - F.col("blocks")).alias("lo"), scale(F.col("hi")).alias("hi"))
-    cells = line.select("*", F.explode(F.sequence(
-        F.shiftright("lo", 32 - CELL_BITS), F.shiftright(F.col("hi") - 1, 32 - CELL_BITS))).alias("cell"))
     n = line.agg(F.sum("blocks")).first()[0] or 0
-    spread = 3  # any stretch of 1 / n of the line has a point among the first 3 n
-    while True:
-        points = spark.range(spread * n).select(
-            F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id"), F.lit(1 << 30)) * GOLDEN, F.lit(FULL)).alias("u"))
-        hit = points.join(cells, F.shiftright("u", 32 - CELL_BITS) == F.col("cell")).where(
-            (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "rank", "blocks")
-        hit = numbered(hit.withColumn("_part", F.floor(F.col("slot") / 65536)), ["rank"], "_part", [F.col("slot")], "k")
-        out = materialise(hit.where("k < blocks").select("rank", "k", "slot"), f"slots{spread}", base)
-        if out.count() == n:
-            return out
-        if spread > 50:
-            raise ValueError("more blocks than the schedule can tell apart")
-        spread *= 2
+    if 8 * n > 1 << bits:
+        raise ValueError("more blocks than the line has places for")
+    cells = line.select("*", F.explode(F.sequence(
+        F.shiftright("lo", bits - CELL_BITS), F.shiftright(F.col("hi") - 1, bits - CELL_BITS))).alias("cell"))
+    points = sources.sparkSession.range(3 * n).select(F.col("id").alias("slot"), point(F.col("id"), bits).alias("u"))
+    hit = points.join(cells, F.shiftright("u", bits - CELL_BITS) == F.col("cell")).where(
+        (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "rank", "blocks")
+    hit = numbered(hit.withColumn("_part", F.floor(F.col("slot") / 65536)), ["rank"], "_part", [F.col("slot")], "k")
+    return hit.where("k < blocks").select("rank", "k", "slot")
 
 
 def shuffled(light: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
@@ -100,12 +109,14 @@ def shuffled(light: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
 
 def mix(light: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
         block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Rows (uid, doc_id, source, size) of a written table to (rows, pieces).
+    """Rows (uid, doc_id, source, size) of a written table to (rows, takes).
 
     rows: the same with source_size, target and taken, the words that the mix
-    takes.  pieces: slot, lo, uid, from_word, to_word, epoch: the mix itself, in
-    the order of (slot, lo), lo being a document's place in its source's stream.
-    A source's blocks add up to its rounded target.
+    takes, first_slot and n_slots, the slots that take of it (0 and null if none).
+    takes: uid, epoch, slot, lo, to_word, size: the mix itself, a row for each
+    document as often as it is taken, at its first slot.  It stands in the order of
+    (slot, lo), lo being a document's place in its source's stream.  A source's
+    blocks add up to its rounded target.
     """
     spark, base = light.sparkSession, work_dir(light.sparkSession)
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -114,18 +125,22 @@ def mix(light: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     epochs = F.explode(F.sequence(F.lit(0), F.lit(max(1, math.ceil(most)) - 1))).alias("epoch")
     spans = placed.where("size > 0").select("uid", "rank", "size", "start", "source_size", goal().alias("goal"), epochs)
     at = F.col("start") + F.col("epoch") * F.col("source_size")
-    spans = spans.select("uid", "rank", "epoch", at.alias("lo"), F.least(at + F.col("size"), F.col("goal")).alias("hi")).where("lo < hi")
+    spans = spans.select("uid", "rank", "epoch", "size", at.alias("lo"), F.least(at + F.col("size"), F.col("goal")).alias("hi")).where("lo < hi")
     # a word range meets each block in one piece
     piece = spans.select("*", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("k"))
-    piece = piece.select("uid", "rank", "epoch", "lo", "k", (F.greatest(F.col("lo"), F.col("k") * block) - F.col("lo")).alias("from_word"),
+    piece = piece.select("uid", "rank", "epoch", "size", "lo", "k", (F.greatest(F.col("lo"), F.col("k") * block) - F.col("lo")).alias("from_word"),
                          (F.least(F.col("hi"), (F.col("k") + 1) * block) - F.col("lo")).alias("to_word"))
     sched = slots(sources, block).select(F.col("rank").alias("_r"), F.col("k").alias("_k"), "slot")
-    pieces = piece.join(sched, (F.col("rank") == F.col("_r")) & (F.col("k") == F.col("_k"))).select(
-        "slot", "lo", "uid", "epoch", "from_word", "to_word")
-    taken = pieces.groupBy("uid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    rows = placed.join(taken.withColumnRenamed("uid", "_u"), F.col("uid") == F.col("_u"), "left").select(
-        "uid", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return rows, pieces
+    met = piece.join(sched, (F.col("rank") == F.col("_r")) & (F.col("k") == F.col("_k")))
+    takes = materialise(met.groupBy("uid", "epoch").agg(
+        F.min("slot").alias("slot"), F.count(F.lit(1)).alias("n_slots"), F.first("lo").alias("lo"), F.max("to_word").alias("to_word"),
+        F.sum(F.col("to_word") - F.col("from_word")).alias("words"), F.first("size").alias("size")), "takes", base)
+    taken = takes.groupBy(F.col("uid").alias("_u")).agg(
+        F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.sum("n_slots").alias("n_slots"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = placed.join(taken, F.col("uid") == F.col("_u"), "left").select(
+        "uid", "doc_id", "source", "size", "source_size", "target", zero("taken"), "first_slot", zero("n_slots"))
+    return rows, takes
 
 
 def light_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
@@ -135,14 +150,29 @@ def light_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source
 
 def mix_documents(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
                   text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row.
+    """doc_id, size, source_size, target, taken, first_slot and n_slots for each row.
 
     Null texts and texts without words have size 0 and are never taken; null
     sources are one source, ranked last; null and repeated ids are rows like any
     other.  An empty table gives an empty one; further columns are ignored.
     """
     light = materialise(light_rows(df, text, doc_id, source), "light", work_dir(df.sparkSession))
-    return mix(light, weights, share, most)[0].select("doc_id", "size", "source_size", "target", "taken")
+    return mix(light, weights, share, most)[0].select(
+        "doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
+
+
+def row_ids(df: DataFrame, base: str) -> DataFrame:
+    """The rows as (row, uid).  A Parquet table's rows are numbered by file and place
+    in the file, so that each reading gives the same numbers; anything else is
+    written first."""
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    except AnalysisException:
+        return materialise(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid")), "rows", base)
+    number = F.row_number().over(Window.orderBy("_f")).cast("long")  # one row per file
+    listed = materialise(files.select("_f").distinct().select("_f", number.alias("_n")), "files", base)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col("_metadata.file_path").alias("_p"), F.col("_metadata.row_index").alias("_i"))
+    return rows.join(listed, F.col("_p") == F.col("_f")).select("row", (F.shiftleft("_n", 40) + F.col("_i")).alias("uid"))
 
 
 def mixed_table(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
@@ -152,22 +182,29 @@ def mixed_table(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: floa
     (with n_chars, if there is such a column, counted again).
 
     Rows stand in the order of the schedule, each document at the first slot that
-    takes of it: partitions by ranges of slots, and so the files written from
-    them in the order of their names, rows by slot within."""
+    takes of it: partitions are stretches of the mix, and so the files written from
+    them in the order of their names, rows by slot within.  Which partition a row
+    goes to is settled on light rows, by the words before it; the texts are
+    shuffled to their numbers, and once more in the order of the mix."""
     spark = df.sparkSession
     base = work_dir(spark)
-    kept = materialise(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid")), "rows", base)
+    kept = row_ids(df, base)
     text = F.col("row.text")
     light = kept.select("uid", "row.doc_id", "row.source", n_words(whole(text)).alias("size"))
-    _, pieces = mix(materialise(light, "light", base), weights, share, most, block)
-    takes = pieces.groupBy("uid", "epoch").agg(F.max("to_word").alias("to"), F.min("slot").alias("_slot"), F.first("lo").alias("_lo"))
-    takes = takes.select(F.col("uid").alias("_u"), "to", "_slot", "_lo")
-    out = kept.join(takes, F.col("uid") == F.col("_u"))
+    _, takes = mix(materialise(light, "light", base), weights, share, most, block)
+    total = takes.agg(F.sum("to_word")).first()[0] or 0
+    parts = max(1, math.ceil(total / MOST_WORDS), min(math.ceil(total / LEAST_WORDS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    order = [F.col("slot"), F.col("lo")]
+    placed = running(takes.withColumn("_part", F.floor(F.col("slot") / 65536)), [], "_part", order, "to_word", "_before")
+    part = F.floor(F.col("_before") * parts / F.lit(max(1, total))).cast("int")
+    placed = materialise(placed.select(F.col("uid").alias("_u"), "to_word", "size", "slot", "lo", part.alias("part")), "placed_takes", base)
+    out = kept.join(placed, F.col("uid") == F.col("_u"))
     # pieces are words with the white space before them
     pieces_of = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.when(F.col("to") >= n_words(text), text).otherwise(F.array_join(F.slice(pieces_of, F.lit(1), F.col("to").cast("int")), ""))
+    cut = F.when(F.col("to_word") >= F.col("size"), text).otherwise(
+        F.array_join(F.slice(pieces_of, F.lit(1), F.col("to_word").cast("int")), ""))
     row = F.col("row").withField("text", cut)
     if "n_chars" in df.columns:
         row = row.withField("n_chars", F.length(cut).cast(df.schema["n_chars"].dataType))
-    placed = out.select(row.alias("row"), "_slot", "_lo").repartitionByRange("_slot", "_lo").sortWithinPartitions("_slot", "_lo")
-    return placed.select("row.*")
+    dealt = out.select(row.alias("row"), "slot", "lo", "part").repartitionById(parts, F.col("part"))
+    return dealt.sortWithinPartitions("slot", "lo").select("row.*")

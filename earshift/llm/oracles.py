@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from .chat import END, ESCAPES
+from .mixing import BITS, BLOCK_WORDS, GOLDEN
 from .rules import RULES, STOP_WORDS, SYMBOLS
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -57,10 +58,24 @@ z AS (SELECT arg_min((total - full_) / open_w, (lvl, rnk)) AS lv FROM l WHERE fu
 t AS (SELECT source, source_size, least(cap, lv * w) AS target, floor(least(cap, lv * w) + 0.5)::BIGINT AS goal FROM l, z),
 p AS (SELECT d.*, source_size, target, goal,
              (sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS a
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT rnk, ceil(goal / {BLOCK_WORDS})::BIGINT AS blocks, sum(ceil(goal / {BLOCK_WORDS})) OVER (ORDER BY rnk)::BIGINT AS upto,
+             sum(ceil(goal / {BLOCK_WORDS})) OVER ()::BIGINT AS n
+      FROM (SELECT rnk, floor(least(cap, lv * w) + 0.5)::BIGINT AS goal FROM l, z) WHERE goal > 0),
+e AS (SELECT rnk, blocks, floor((upto - blocks)::DOUBLE / n * {2.0 ** BITS!r}::DOUBLE) AS lo, floor(upto::DOUBLE / n * {2.0 ** BITS!r}::DOUBLE) AS hi FROM b),
+g AS (SELECT slot, ((slot::HUGEINT * {GOLDEN}) % {2 ** BITS})::BIGINT AS u
+      FROM (SELECT unnest(range(coalesce((SELECT 3 * max(n) FROM b), 0))) AS slot)),
+k AS (SELECT rnk, slot, row_number() OVER (PARTITION BY rnk ORDER BY slot) - 1 AS k, blocks
+      FROM g JOIN e ON u >= lo::BIGINT AND u < hi::BIGINT),
+c AS (SELECT *, row_number() OVER () AS id FROM p),
+y AS (SELECT id, rnk, x.at AS lo, least(x.at + size, goal) AS hi FROM (
+      SELECT id, rnk, size, goal, unnest([a, a + c.source_size]) AS at FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source) x
+      WHERE size > 0 AND x.at < goal),
+v AS (SELECT id, rnk, unnest(range(lo // {BLOCK_WORDS}, (hi - 1) // {BLOCK_WORDS} + 1)) AS k FROM y),
+f AS (SELECT id, min(slot) AS first_slot, count(*) AS n_slots FROM v JOIN k USING (rnk, k) WHERE k.k < k.blocks GROUP BY id)
+SELECT doc_id, size, source_size, target, first_slot, coalesce(n_slots, 0) AS n_slots,
        (greatest(0, least(a + size, goal) - a) + greatest(0, least(a + source_size + size, goal) - a - source_size))::BIGINT AS taken
-FROM p
+FROM c LEFT JOIN f USING (id)
 """
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from earshift.llm import bagmin, bpe, mixing, radix, rules, shards, suffix
 from earshift.llm.queries import tokenizer
@@ -322,7 +323,7 @@ def plain_jump(key, n):
 
 
 def test_shards(docs, none):
-    got = shards.plan(docs, 5, rows_per_task=2).collect()
+    got = shards.plan(docs, 5).collect()
     seen = collections.defaultdict(list)
     for r in got:
         key = (r.doc_id or 0) % 2**64
@@ -342,6 +343,24 @@ def test_jump_is_even():
     assert (shards.jump(np.array([-1, 0]), 7) == [plain_jump(2**64 - 1, 7), plain_jump(0, 7)]).all()
 
 
+def test_slots_are_places_in_the_files(docs, spark, tmp_path):
+    """All columns come back, each row at the place its slot names."""
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "out")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 2)
+    try:
+        shards.write(docs, 3, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    got = shards.read(spark, path)
+    assert collections.Counter(tuple(r[c] for c in docs.columns) for r in got.collect()) == collections.Counter(map(tuple, docs.collect()))
+    for n in range(3):
+        files = sorted((tmp_path / "out" / f"shard={n}").glob("part-*.parquet"))
+        want = [r["text"] for f in files for r in pq.ParquetFile(f).read().to_pylist()]
+        assert [r.text for r in got.where(f"shard = {n}").orderBy("slot").collect()] == want and len(files) > 1
+
+
 def test_shards_written(docs, spark, tmp_path):
     shards.write(docs.drop("row"), 4, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
@@ -418,9 +437,9 @@ def plain_mix(rows, block):
     n, out, k, slot = sum(blocks.values()), [], collections.Counter(), 0
     edge = np.cumsum([0, *(blocks[s] for s in order)])
     while sum(k.values()) < n:
-        u = slot * 2654435769 % 2**32
+        u = slot * mixing.GOLDEN % 2**62
         for i, s in enumerate(order):
-            if edge[i] * 2**32 // n <= u < edge[i + 1] * 2**32 // n and k[s] < blocks[s]:
+            if int(edge[i]) * 2**62 // n <= u < int(edge[i + 1]) * 2**62 // n and k[s] < blocks[s]:
                 out += takes.get((s, k[s]), [])
                 k[s] += 1
         slot += 1
@@ -428,15 +447,20 @@ def plain_mix(rows, block):
 
 
 @pytest.mark.parametrize("block", [3, 16, 256])
-def test_mixed_table_in_order(docs, spark, tmp_path, block):
-    """Documents, cuts and their order, in memory and over the files by name."""
+def test_mixed_table_in_order(docs, spark, tmp_path, monkeypatch, block):
+    """Documents, cuts and their order, in memory and over the files by name, of a
+    written table and of one that is not."""
     import pyarrow.parquet as pq
 
     rows = [r for r in corpus() if r[0] != 3]  # without equal ids
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     want = plain_mix(rows, block)
-    got = mixing.mixed_table(df, block=block)
-    assert [(r.doc_id, r.text) for r in got.collect()] == want
+    df.write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(mixing, "LEAST_WORDS", 500)
+    for d in (df, spark.read.parquet(str(tmp_path / "docs"))):
+        got = mixing.mixed_table(d, block=block)
+        assert got.columns == df.columns and [(r.doc_id, r.text) for r in got.collect()] == want
+    assert got.rdd.getNumPartitions() > 1
     got.write.parquet(str(tmp_path / "mix"))
     files = sorted((tmp_path / "mix").glob("part-*.parquet"))
     assert [(r["doc_id"], r["text"]) for f in files for r in pq.read_table(f).to_pylist()] == want
@@ -452,6 +476,25 @@ def test_every_block_has_a_slot(spark):
     assert {k: [x for x, _ in v] for k, v in got.items()} == {k: list(range(-(-int(g) // 100))) for k, g in enumerate(goals) if g}
 
 
+@pytest.mark.parametrize("bits", [14, 20, 62])
+def test_short_lines_serve_narrow_sources(spark, bits):
+    """Blocks as dense on the line as a very large table's: each still has its slot."""
+    goals = [1.0, 1500.0, 1.0, 2.0, 400.0, 1.0]
+    s = spark.createDataFrame([(str(k), 0, k, g) for k, g in enumerate(goals)], "source string, source_size long, rank int, target double")
+    got = collections.Counter((r["rank"], r.k) for r in mixing.slots(s, 1, bits).collect())
+    assert got == collections.Counter((k, i) for k, g in enumerate(goals) for i in range(int(g)))
+    with pytest.raises(ValueError):
+        mixing.slots(s, 1, 12)
+
+
+def test_points_are_exact(spark):
+    ids = [0, 1, 2, 2**31 - 1, 2**31, 10**11 + 7, 2**40 + 3, 2**61 + 5]
+    for bits in (14, 40, 62):
+        step = mixing.GOLDEN >> (62 - bits)
+        d = spark.createDataFrame([(i,) for i in ids], "id long").select("id", mixing.point(F.col("id"), bits).alias("u"))
+        assert {r["id"]: r["u"] for r in d.collect()} == {i: i * step % 2**bits for i in ids}
+
+
 def test_schedule_is_even(spark):
     """Any stretch of the schedule holds the sources in proportion."""
     s = spark.createDataFrame([("a", 0, 0, 60_000.0), ("b", 0, 1, 30_000.0), ("c", 0, 2, 10_000.0)], "source string, source_size long, rank int, target double")
@@ -460,3 +503,13 @@ def test_schedule_is_even(spark):
     for lo in range(0, 900, 100):
         n = collections.Counter(r["rank"] for r in rows[lo:lo + 100])
         assert abs(n[0] - 60) <= 4 and abs(n[1] - 30) <= 4 and abs(n[2] - 10) <= 4
+
+
+def test_block_pairs_of_a_group_are_dealt_out(spark):
+    """A group's block pairs go to tasks of their own, whatever the join before."""
+    left = spark.range(64).selectExpr("id % 2 AS group", "id AS nid", "cast(id % 8 AS int) AS i", "cast(id % 8 AS int) AS j")
+    rows = left.join(spark.range(2).selectExpr("id AS _g").hint("merge"), left["group"] == F.col("_g")).drop("_g")
+    where = bagmin.by_blocks(rows, lambda t: t.select(["nid", "nid"]).rename_columns(["a", "b"]))
+    plan = where._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("FlatMapGroupsInArrow"):]
+    assert re.search(r"hashpartitioning\(group#\d+L?, i#\d+, j#\d+", below[:below.index("SortMergeJoin")])
