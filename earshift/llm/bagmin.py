@@ -278,7 +278,13 @@ def large_groups(members: DataFrame, roots: DataFrame, texts: DataFrame, base: s
     def run(table: pa.Table) -> pa.Table:
         return block_links(table, least)
 
-    return materialise(rows.groupBy("group", "i", "j").applyInArrow(run, "a long, b long"), "block_links", base)
+    return materialise(by_blocks(rows, run), "block_links", base)
+
+
+def by_blocks(rows: DataFrame, run) -> DataFrame:
+    """``run`` on each pair of blocks, dealt by the pair: left to itself Spark takes the
+    join's partitioning by group as good enough, and one task gets all of a group."""
+    return rows.repartition("group", "i", "j").groupBy("group", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def block_links(table: pa.Table, least: float) -> pa.Table:
