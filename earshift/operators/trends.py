@@ -138,40 +138,60 @@ def tag_month(
     )
 
 
-def tag_grid(
-    plays: DataFrame, credits: DataFrame, weights: DataFrame,
-    params: Params = DEFAULTS, by: Sequence[str] = (),
+def _grid(
+    plays: DataFrame, credits: DataFrame, weights: DataFrame, params: Params, by: Sequence[str],
 ) -> DataFrame:
-    """Dense (listener, variant, tag, month): every tag of a listener in every
-    month that listener played anything.  ``month_idx`` counts observed months.
+    """``tag_grid`` with ``month_seconds``, the month's tagged time per variant.
 
     The folded log is written once; the listener's months, its tags and the
-    cells are read from there.  Only a listener's list of months, which the
-    calendar bounds, is ordered as a whole.
+    cells are read from there.  Only the folded rows move between tasks: a
+    listener's months, with their totals, and the series of its tags, both bounded
+    by the calendar, meet in one task and are laid out there.
     """
     wide = materialise(tag_month_wide(plays, credits, weights, params, by, every_month=True), "wide")
-    own = Window.partitionBy(*by)
-    months = wide.select(*by, "month").distinct().select(
-        *by, "month", F.row_number().over(own.orderBy("month")).alias("month_idx"), F.count(F.lit(1)).over(own).alias("n_months"))
-    wide = wide.where(F.col("tag").isNotNull())
-    tags = wide.select(*by, "tag").distinct()
     if by:
-        cells = tags.join(months, list(by))
+        wide = wide.repartition(*by)
+    tagged = F.col("tag").isNotNull() & F.col("month").isNotNull()
+    totals = [f"t_{v}" for v in params.variants]
+    months = wide.groupBy(*by, "month").agg(
+        *[F.sum(F.when(tagged, F.col(f"s_{v}"))).alias(f"t_{v}") for v in params.variants])
+    values = [*[f"s_{v}" for v in params.variants], "n_artists"]
+    if by:
+        months = months.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("month", *totals))).alias("_months"))
+        series = wide.where(F.col("tag").isNotNull()).groupBy(*by, "tag").agg(F.map_from_entries(F.collect_list(
+            F.when(F.col("month").isNotNull(), F.struct("month", F.struct(*values))))).alias("_cells"))
+        cells = series.join(months, list(by)).select(
+            *by, "tag", "_cells", F.size("_months").alias("n_months"), F.posexplode("_months").alias("_at", "_month"))
+        cells = cells.select(*by, "tag", "n_months", (F.col("_at") + 1).alias("month_idx"), "_month.*",
+                             F.try_element_at("_cells", "_month.month").alias("_cell"))
+        dense = cells.select("*", *[F.col(f"_cell.{c}") for c in values])
     else:
-        calendar = months.agg(F.collect_list(F.struct("month", "month_idx", "n_months"))).scalar()
-        cells = tags.select("tag", F.inline(calendar))
-    dense = cells.join(wide, [*by, "tag", "month"], "left").select(
-        *by, "tag", "month", F.col("n_months").cast("int").alias("n_months"), "month_idx",
-        *[F.coalesce(f"s_{v}", F.lit(0.0)).alias(f"s_{v}") for v in params.variants],
-        F.coalesce("n_artists", F.lit(0)).alias("n_artists"),
-    )
+        whole = Window.partitionBy()
+        months = months.select(
+            "month", F.row_number().over(whole.orderBy("month")).alias("month_idx"), F.count(F.lit(1)).over(whole).alias("n_months"), *totals)
+        wide = wide.where(F.col("tag").isNotNull())
+        calendar = months.agg(F.collect_list(F.struct(*months.columns))).scalar()
+        dense = wide.select("tag").distinct().select("tag", F.inline(calendar)).join(wide, ["tag", "month"], "left")
+    each = F.explode(F.array(*[
+        F.struct(F.lit(v).alias("variant"), F.coalesce(f"s_{v}", F.lit(0.0)).alias("tag_seconds"), F.col(f"t_{v}").alias("month_seconds"))
+        for v in params.variants])).alias("_v")
     return dense.select(
-        *by, "tag", "month", "n_months", "month_idx", "n_artists", _per_variant(params)
+        *by, "tag", "month", "month_idx", F.col("n_months").cast("int").alias("n_months"),
+        F.coalesce("n_artists", F.lit(0)).alias("n_artists"), each,
     ).select(
-        *by, "_v.variant", "tag", "month", "month_idx", "n_months", "_v.tag_seconds", "n_artists"
+        *by, "_v.variant", "tag", "month", "month_idx", "n_months", "_v.tag_seconds", "n_artists", "_v.month_seconds"
     )
 
 
+def tag_grid(
+    plays: DataFrame, credits: DataFrame, weights: DataFrame,
+    params: Params = DEFAULTS, by: Sequence[str] = (),
+) -> DataFrame:
+    """Dense (listener, variant, tag, month): every tag of a listener in every
+    month that listener played anything.  ``month_idx`` counts observed months."""
+    return _grid(plays, credits, weights, params, by).drop("month_seconds")
+
+
 def with_share(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of the month's tagged time; NULL in a month without any."""
     month = Window.partitionBy(*by, "month", "variant")
@@ -223,8 +243,9 @@ def tag_trends(
     plays: DataFrame, credits: DataFrame, weights: DataFrame,
     params: Params = DEFAULTS, by: Sequence[str] = (),
 ) -> DataFrame:
-    grid = tag_grid(plays, credits, weights, params, by)
-    smoothed = with_smoothing(with_share(grid, by), params, by)
+    grid = _grid(plays, credits, weights, params, by)
+    shared = grid.withColumn("share", ratio(F.col("tag_seconds"), F.col("month_seconds")))
+    smoothed = with_smoothing(shared, params, by)
     return with_trend_class(with_slope(smoothed, params, by), params).select(*by, *TREND_COLUMNS)
 
 

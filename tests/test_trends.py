@@ -182,3 +182,13 @@ def test_fingerprint_ignores_order(table):
     rows = [(1, "a"), (2, None), (2, None)]
     f = lambda rs: quality.fingerprint(table("x int, y string", *rs)).first()
     assert f(rows) == f(rows[::-1]) and f(rows) != f(rows[:2])
+
+
+def test_listener_grid_moves_folded_rows_only(spark, world):
+    """The dense grid, months times tags of a listener, is laid out where it is used."""
+    plays, credits, weights = world
+    both = plays.withColumn("user_id", F.lit(1)).unionByName(plays.withColumn("user_id", F.lit(2)))
+    t = trends.tag_trends(both, credits, weights, by=["user_id"])
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moves and all("hashpartitioning(user_id" in m and "variant" not in m and ", month" not in m for m in moves), moves
