@@ -4,6 +4,7 @@ import collections
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,3 +192,62 @@ def test_folds_change_nothing(spark, tmp_path):
     spark.createDataFrame([("z", 1)], schema).write.parquet(str(tmp_path / "log" / "part=f4"))
     (tmp_path / "log" / "part=f4" / "_SUCCESS").unlink()
     assert "z" not in {r.k for r in log.read().collect()}
+
+
+class FakeState:
+    """A value or list state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = [], 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.held)
+
+    def appendValue(self, v):
+        self.calls += 1
+        self.held.append(v)
+
+    def put(self, vs):
+        self.calls += 1
+        self.held = list(vs)
+
+
+class FakeValue(FakeState):
+    def get(self):
+        return self.held[0] if self.held else None
+
+    def update(self, v):
+        self.held = [v]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_state_serves_many_listeners(seed):
+    """Against a plain run row by row; a batch costs calls by the batch, not by the row."""
+    r, p = random.Random(seed), supersede.Reconcile(["k0"])
+    p.MOST, p.steps, p.cutoffs, p.rows = 3, FakeValue(), FakeState(), FakeState()
+    cut, kept, shown, steps = {}, {}, {}, []
+    for _ in range(12):
+        rows = [(r.randrange(30), 0, r.randrange(40), None, None) if r.random() < 0.1 else
+                (r.randrange(30), 0, r.randrange(60), r.choice([None, "a", "b"]), f"b{r.randrange(3)}") for _ in range(60)]
+        before = p.cutoffs.calls + p.rows.calls
+        for out in p.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["k0", "salt", "at", "track_uri", "body"]).astype({"track_uri": object, "body": object})]), None):
+            for k, at, track, body, state, step in out.itertuples(index=False):
+                steps.append(step)
+                key = (k, at, track or "")
+                assert (state == supersede.KEPT) == (body is not None)
+                shown.pop(key, None) if body is None else shown.update({key: body})
+        assert p.cutoffs.calls + p.rows.calls - before <= 4
+        for k, _, at, _, body in rows:
+            if body is None:
+                cut[k] = max(at, cut.get(k, -1))
+        for k, _, at, track, body in rows:
+            if body is not None:
+                kept[k, at, track or ""] = min(body, kept.get((k, at, track or ""), body))
+        kept = {q: b for q, b in kept.items() if q[1] > cut.get(q[0], -1)}
+        assert shown == kept
+        assert len(p.rows.held) <= 4 and len(p.cutoffs.held) <= 4
+    assert steps == sorted(set(steps)) and kept
