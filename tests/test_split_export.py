@@ -7,8 +7,12 @@ import random
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from earshift.schemas import EXPORT
 from earshift.sources import exports, jsonsplit
+from workload import queries
+from workload.adapters import Tables
 
 ODD = ['He said "no {" and }', "back\\slash \\", 'a\\"}, {"b": [', "[x] {y}", "tab\tline\n", "日本 🙂 {é}", "", "}}}}", '{"in": "text"}', "\\\\\"}"]
 
@@ -98,3 +102,14 @@ def test_any_cut_gives_the_same_elements(cut):
     joined = jsonsplit._together(pa.Table.from_pylist([f for f in found if f["kind"] != "element"], schema=jsonsplit.PIECE)).to_pylist()
     got = sorted(json.dumps(json.loads(e)) for e in [x[2] for x in whole] + [j["element"] for j in joined])
     assert got == sorted(json.dumps(e) for e in json.loads(text))
+
+
+def test_no_writer_gets_a_whole_large_export(spark):
+    """An export beyond a writer's lines goes on in further files, and reads as one."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    n = t.read("lineitem").count()
+    path = queries._one_export_file(t, most=1000)
+    sizes = [r.n for r in spark.read.text(path).where("value != ']'").groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == -(-n // 1000) and max(sizes) < 2000
+    assert exports.read_split_export(spark, path).count() == n
+    assert exports.file_report(spark, path).select("source_file", "n_rows", "failed").collect() == [("Streaming_History_Audio_0.json", n, False)]

@@ -5,9 +5,12 @@ Doubles are rounded on both sides because the engines add in different orders.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +36,8 @@ from earshift.streaming import live, supersede as sup, trendfeed
 from .adapters import Tables
 from .oracles import fold, genre, title, with_views
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -1205,9 +1210,25 @@ def export_health(t):
     return h.groupBy("failed").agg(F.sum("n_rows").alias("n_rows"))
 
 
-def _one_export_file(t: Tables) -> str:
+EXPORT_LINES = 4_000_000  # events that one writer puts into one file
+
+
+def _as_array(batches):
+    """Rows of one task as one JSON array, an element a line."""
+    opened = False
+    for batch in batches:
+        lines = [("," if opened or i else "[") + v for i, v in enumerate(batch.column(0).to_pylist())]
+        opened = opened or bool(lines)
+        yield pa.RecordBatch.from_pydict({"value": lines})
+    if opened:
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+
+def _one_export_file(t: Tables, most: int = EXPORT_LINES) -> str:
     """The line table as one export file, an event a line, with braces, quotes and
-    backslashes in the titles; every thirteenth event has fields nobody knows."""
+    backslashes in the titles; every thirteenth event has fields nobody knows.  A
+    file has one writer, so beyond ``most`` lines the export goes on under the same
+    name in further folders: no task gets more lines, however large the table."""
     base = f"{work_dir(t.spark)}/one"
     odd = F.array(*[F.lit(x) for x in ODD_TITLES])
     n = F.col("l_linenumber")
@@ -1216,17 +1237,19 @@ def _one_export_file(t: Tables) -> str:
         (F.col("l_quantity") * 6000).cast("bigint").alias("ms_played"), F.concat(F.element_at(odd, n), F.col("l_partkey").cast("string")).alias(
             "master_metadata_track_name"), F.concat(F.lit("t"), "l_partkey").alias("spotify_track_uri"), (F.col("l_returnflag") == "R").alias("skipped"),
         F.when(F.col("l_orderkey") % 13 == 0, F.struct(F.array(F.struct(F.col("l_suppkey").alias("id"))).alias("by"), F.lit("}").alias("note"))).alias("extra"))
-    last = F.lead("l_orderkey").over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey")).isNull()
-    first = F.lag("l_orderkey").over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey")).isNull()
-    line = F.concat(F.when(first, "[").otherwise(","), F.to_json(event), F.when(last, "]").otherwise(""))
-    t.read("lineitem").select(line.alias("value")).coalesce(1).write.text(base)  # one file is the point
+    line = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag")
+    files = -(-max(1, line.count()) // most)
+    dealt = line.repartitionById(files, F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(files)).cast("int"))
+    dealt.select(F.to_json(event).alias("value")).mapInArrow(_as_array, "value string").write.text(f"{base}/parts")
     jvm = t.spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(base)
+    where = jvm.org.apache.hadoop.fs.Path(f"{base}/parts")
     fs = where.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
-    for f in fs.listStatus(where):
-        if f.getPath().getName().startswith("part-"):
-            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(where, "Streaming_History_Audio_0.json"))
-    return base
+    parts = [f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")]
+    for k, part in enumerate(parts):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{base}/export/volume={k}")
+        fs.mkdirs(folder)
+        fs.rename(part, jvm.org.apache.hadoop.fs.Path(folder, "Streaming_History_Audio_0.json"))
+    return f"{base}/export"
 
 
 ODD_TITLES = ("plain ", 'a "quote" ', "brace } { ", "back\\slash ", '"}, {"', "list [ ", "last ")
