@@ -113,3 +113,20 @@ def test_no_writer_gets_a_whole_large_export(spark):
     assert len(sizes) == -(-n // 1000) and max(sizes) < 2000
     assert exports.read_split_export(spark, path).count() == n
     assert exports.file_report(spark, path).select("source_file", "n_rows", "failed").collect() == [("Streaming_History_Audio_0.json", n, False)]
+
+
+def test_export_files_are_put_together_where_rows_are_read(spark):
+    """No row is shuffled to write an export; no file has more events than it may."""
+    t = Tables(spark, "/root/testdata/sf0.01")
+    n = t.read("lineitem").count() + t.read("lineitem").where("l_linenumber = 1").count()
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("export", "export")
+    path = queries._export_folder(t)
+    stages = sum(len(status.getJobInfo(j).stageIds) for j in status.getJobIdsForGroup("export"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages == 1
+    sizes = [r.n_rows for r in exports.file_health(spark, path).collect()]
+    assert sum(sizes) == n and max(sizes) == queries.FILE_EVENTS
+    batch = pa.RecordBatch.from_pydict({"name": ["a", "b"] * 6001, "value": ["{}"] * 12002})
+    files = [(b["name"][0].as_py(), len(json.loads(b["value"][0].as_py()))) for b in queries._arrays([batch, batch])]
+    assert sorted(files) == [("a", 2), ("a", 4000), ("a", 4000), ("a", 4000), ("b", 2), ("b", 4000), ("b", 4000), ("b", 4000)]

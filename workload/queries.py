@@ -9,6 +9,7 @@ import sys
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -1128,13 +1129,32 @@ LINE_EVENT = """strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS ts, l_linestatus A
     CASE WHEN l_linenumber = 6 THEN 'b' || l_partkey END AS audiobook_uri, l_returnflag AS reason_end, l_returnflag = 'R' AS skipped"""
 
 
+FILE_EVENTS = 4000
+
+
+def _arrays(batches):
+    """(name, event) as JSON arrays (name, value) of at most ``FILE_EVENTS`` events of
+    one name: files are put together where the rows are read."""
+    held = {}
+    for batch in batches:
+        name = batch.column(0)
+        for k in pc.unique(name).to_pylist():
+            events = held.get(k, []) + batch.column(1).filter(pc.equal(name, k)).to_pylist()
+            while len(events) >= FILE_EVENTS:
+                yield pa.RecordBatch.from_pydict({"name": [k], "value": ["[" + ",".join(events[:FILE_EVENTS]) + "]"]})
+                events = events[FILE_EVENTS:]
+            held[k] = events
+    for k, events in held.items():
+        if events:
+            yield pa.RecordBatch.from_pydict({"name": [k], "value": ["[" + ",".join(events) + "]"]})
+
+
 def _export_folder(t: Tables, broken: bool = False) -> str:
     """The line table as export files, JSON arrays of some thousand events, the
     lines numbered 1 once more in files of their own."""
     base = f"{work_dir(t.spark)}/export"
     n, uri = F.col("l_linenumber"), lambda letter: F.concat(F.lit(letter), "l_partkey")
     line = t.read("lineitem")
-    files = max(1, line.count() // 4000)
     event = F.to_json(F.struct(
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.col("l_linestatus").alias("platform"),
         (F.col("l_quantity") * 6000).cast("bigint").alias("ms_played"), F.lit("10.0.0.1").alias("ip_addr"),
@@ -1142,11 +1162,11 @@ def _export_folder(t: Tables, broken: bool = False) -> str:
         F.concat(F.lit("Artist "), "l_suppkey").alias("master_metadata_album_artist_name"),
         F.when(n < 5, uri("t")).alias("spotify_track_uri"), F.when(n == 5, uri("e")).alias("spotify_episode_uri"),
         F.when(n == 6, uri("b")).alias("audiobook_uri"), F.col("l_returnflag").alias("reason_end"), (F.col("l_returnflag") == "R").alias("skipped")))
-    rows = line.select("l_linenumber", F.pmod(F.xxhash64("l_orderkey"), F.lit(files)).alias("file"), event.alias("event"))
-    rows = rows.select("file", "event", F.explode(F.when(n == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
-    arrays = rows.groupBy("again", "file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("event"), ","), F.lit("]")).alias("value"))
+    names = F.when(n == 1, F.array(F.lit("0"), F.lit("1"))).otherwise(F.array(F.lit("0")))
+    arrays = line.select(names.alias("names"), event.alias("event")).select(F.explode("names"), "event").mapInArrow(_arrays, "name string, value string")
     if broken:
-        arrays = arrays.unionByName(arrays.where("again = 1").withColumn("value", F.substring("value", 1, 200)).withColumn("again", F.lit(2)))
+        both = F.array("value", F.substring("value", 1, 200))
+        arrays = arrays.select(F.explode(F.when(F.col("name") == "1", both).otherwise(F.array("value"))).alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(base)
     jvm = t.spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(base)
@@ -1176,11 +1196,8 @@ def export_kinds(t):
         F.format_string("%d of %d in %d", "l_partkey", "l_orderkey", "l_linenumber").alias("master_metadata_track_name"),
         F.when(n < 5, F.concat(F.lit("t"), "l_partkey")).alias("spotify_track_uri")))
     line = t.read("lineitem")
-    files = max(1, line.count() // 4000)
-    name = F.explode(F.when(n == 1, F.array(F.lit("Audio_0"), F.lit("Audio_1"))).when(n % 2 == 0, F.array(F.lit("Video_2"))).otherwise(F.array(F.lit("Audio_1"))))
-    rows = line.select("l_linenumber", event.alias("event"), F.pmod(F.xxhash64("l_orderkey"), F.lit(files)).alias("file"))
-    rows = rows.select("event", "file", name.alias("name"))
-    arrays = rows.groupBy("name", "file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("event"), ","), F.lit("]")).alias("value"))
+    names = F.when(n == 1, F.array(F.lit("Audio_0"), F.lit("Audio_1"))).when(n % 2 == 0, F.array(F.lit("Video_2"))).otherwise(F.array(F.lit("Audio_1")))
+    arrays = line.select(names.alias("names"), event.alias("event")).select(F.explode("names"), "event").mapInArrow(_arrays, "name string, value string")
     arrays.select("name", "value").write.option("maxRecordsPerFile", 1).partitionBy("name").text(base)
     jvm = t.spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(base)
