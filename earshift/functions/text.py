@@ -14,6 +14,7 @@ from ..params import ACRONYMS, DEFAULTS, Params
 
 # Stylised characters and the letters they stand for.
 STYLISED, PLAIN = "$€£@!0", "selaio"
+SUFFIX_MARKS = "-–—(["  # what an edition suffix begins with
 DROPPED_WORDS = r"\b(?:the|and)\b"
 NOT_KEY_CHARS = r"[^a-z0-9]+"
 
@@ -55,15 +56,20 @@ def fold_name(name: Column) -> Column:
     digit, fold to ''.
     """
     plain, is_ascii, ascii_key = _ascii_fold(name)
-    return F.when(is_ascii, ascii_key).otherwise(_unicode_fold()(F.when(~is_ascii, plain)))
+    # Never NULL, so that no null check is pushed below a distinct and folds every row.
+    return F.coalesce(F.when(is_ascii, ascii_key).otherwise(_unicode_fold()(F.when(~is_ascii, plain))), F.lit(""))
 
 
 def _ascii_fold(name: Column) -> tuple[Column, Column, Column]:
-    """The name without stylised signs, whether it is ASCII, and its key if it is."""
+    """The name without stylised signs, whether it is ASCII, and its key if it is.
+
+    Patterns cost far more than plain searches, so they run on names that can match."""
     plain = F.translate(F.coalesce(name, F.lit("")), STYLISED, PLAIN)
-    short = F.regexp_replace(F.regexp_replace(F.lower(plain), DROPPED_WORDS, ""), NOT_KEY_CHARS, "")
-    ascii_key = F.when(short != "", short).otherwise(F.regexp_replace(F.lower(plain), NOT_KEY_CHARS, ""))
-    return plain, plain.rlike(r"\A\p{ASCII}*\z"), ascii_key
+    low = F.lower(plain)
+    fewer = F.when(F.contains(low, F.lit("the")) | F.contains(low, F.lit("and")), F.regexp_replace(low, DROPPED_WORDS, "")).otherwise(low)
+    short = F.regexp_replace(fewer, NOT_KEY_CHARS, "")
+    ascii_key = F.when(short != "", short).otherwise(F.regexp_replace(low, NOT_KEY_CHARS, ""))
+    return plain, F.octet_length(plain) == F.char_length(plain), ascii_key
 
 
 def with_folded(df: DataFrame, **keys: str) -> DataFrame:
@@ -85,7 +91,8 @@ def title_key(title: Column) -> Column:
     """Fold a title without its edition suffix.  A title whose head folds to
     nothing keeps the whole string, so the key does not match everything."""
     title = F.coalesce(title, F.lit(""))
-    head = fold_name(F.regexp_replace(title, r"(?sU)\s+[-–—(\[].*\z", ""))
+    marked = F.translate(title, SUFFIX_MARKS, "") != title
+    head = fold_name(F.when(marked, F.regexp_replace(title, rf"(?sU)\s+[{SUFFIX_MARKS[:-1]}\[].*\z", "")).otherwise(title))
     return F.when(head != "", head).otherwise(fold_name(title))
 
 

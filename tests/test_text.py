@@ -72,3 +72,13 @@ def test_only_names_outside_ascii_meet_python(spark):
     plan = with_folded(df, key="name")._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("ArrowEvalPython"):]
     assert plan.count("ArrowEvalPython") == 1 and "HashAggregate" in below  # distinct names first
+
+
+def test_joined_keys_fold_distinct_names_only(spark, tmp_path):
+    """A join on a folded key must not fold every row below the distinct."""
+    from earshift.operators import playlists
+
+    schema = "artist_name string, track_name string, track_uri string, artists array<string>, rank int"
+    spark.createDataFrame([("A", "t", "u", ["A"], 1)], schema).write.parquet(str(tmp_path / "t"))
+    plan = playlists.credited_tracks(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # one for the requested names, one for the credits
