@@ -23,6 +23,7 @@ class EpochLog:
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition: Sequence[str] = ()):
         self.spark, self.path, self.schema, self.partition = spark, path, schema, tuple(partition)
+        self._listed: tuple[tuple, DataFrame] | None = None
 
     def _fs(self):
         root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -51,18 +52,26 @@ class EpochLog:
         self._put(rows, f"part=e{epoch}")
 
     def _put(self, rows: DataFrame, name: str) -> None:
-        rows = rows.select(*self.schema.fieldNames())
+        rows, self._listed = rows.select(*self.schema.fieldNames()), None
         w = (rows.hint("rebalance", *self.partition) if self.partition else rows).write.mode("overwrite").option("compression", "zstd")
         (w.partitionBy(*self.partition) if self.partition else w).parquet(f"{self.path}/{name}")
 
     def read(self, before: int | None = None) -> DataFrame:
-        """All rows with their ``epoch``; a fold's rows have its last one."""
+        """All rows with their ``epoch``; a fold's rows have its last one.
+
+        Files are listed once for every state of the log, as a partitioned one has many
+        folders; the folders' times tell a replaced epoch from the one before."""
         parts = self.parts(before)
         if not parts:
-            return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField("epoch", T.LongType())]))
-        schema = T.StructType([*self.schema.fields, T.StructField("part", T.StringType())])
-        rows = self.spark.read.option("basePath", self.path).schema(schema).parquet(*[f"{self.path}/{p}" for p in parts])
-        return rows.withColumn("epoch", F.substring("part", 2, 20).cast("long")).select(*self.schema.fieldNames(), "epoch")
+            fields = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+            return self.spark.range(1).select(*fields, F.lit(None).cast("long").alias("epoch")).where(F.lit(False))
+        fs, _ = self._fs()
+        state = tuple((p, fs.getFileStatus(self._path(p)).getModificationTime()) for p in parts)
+        if self._listed is None or self._listed[0] != state:
+            schema = T.StructType([*self.schema.fields, T.StructField("part", T.StringType())])
+            rows = self.spark.read.option("basePath", self.path).schema(schema).parquet(*[f"{self.path}/{p}" for p in parts])
+            self._listed = state, rows.withColumn("epoch", F.substring("part", 2, 20).cast("long")).select(*self.schema.fieldNames(), "epoch")
+        return self._listed[1]
 
     def newest(self, key: Sequence[str], before: int | None = None, order: Sequence[str] = ()) -> DataFrame:
         """One row per key: of the last epoch, the last in ``order``."""

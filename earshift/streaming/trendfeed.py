@@ -191,26 +191,29 @@ def repair_feed(trends: TrendFeed, credits: CreditFeed) -> Callable[[DataFrame,
 
 
 def discovery_feed(spark: SparkSession, path: str, firsts: T.StructType, fold_after: int = FOLD_AFTER) -> tuple[EpochLog, Callable[[DataFrame, int], None]]:
-    """Discoveries per month from a stream of first months (listener keys,
-    artist_name, month; update mode): an artist whose first month moves back
-    leaves the old month and enters the new one.  Returns the log of changes
+    """Discoveries per month from a stream of plays or of first months (listener
+    keys, artist_name, month): an artist whose first month moves back leaves the
+    old month and enters the new one.  The log of first months is all the state
+    there is, so plays need no streaming aggregate before.  Returns the log of changes
     (read with ``discoveries``) and the foreachBatch writer."""
     key = [f.name for f in firsts.fields if f.name != "month"]
     by = [k for k in key if k != "artist_name"]
-    seen = EpochLog(spark, f"{path}/firsts", firsts)
+    seen = EpochLog(spark, f"{path}/firsts", T.StructType([*firsts.fields, T.StructField("was", firsts["month"].dataType)]))
     changes = EpochLog(spark, f"{path}/changes", T.StructType([*[firsts[b] for b in by], firsts["month"], T.StructField("n", T.LongType())]))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        now = materialise(batch.select(*firsts.fieldNames()), "firsts")
-        was = seen.newest(key, epoch).withColumnRenamed("month", "_was")
-        moved = now.join(was, key, "left").where("_was IS NULL OR month < _was")
+        # One fold of the batch and of what was known; only what moves is written.
+        known = seen.read(epoch).select(*key, F.lit(None).cast(firsts["month"].dataType).alias("month"), F.col("month").alias("was"))
+        now = batch.select(*key, "month", F.lit(None).cast(firsts["month"].dataType).alias("was"))
+        both = now.unionByName(known).groupBy(*key).agg(F.min("month").alias("month"), F.min("was").alias("was"))
+        seen.write(both.where("month IS NOT NULL AND (was IS NULL OR month < was)"), epoch)
+        moved = seen.read(epoch + 1).where(F.col("epoch") == epoch)
         steps = moved.select(*by, F.explode(F.filter(F.array(
-            F.struct("month", F.lit(1).cast("long").alias("n")), F.struct(F.col("_was").alias("month"), F.lit(-1).cast("long").alias("n"))),
+            F.struct("month", F.lit(1).cast("long").alias("n")), F.struct(F.col("was").alias("month"), F.lit(-1).cast("long").alias("n"))),
             lambda s: s["month"].isNotNull())).alias("_s")).select(*by, "_s.*")
         changes.write(steps.groupBy(*by, "month").agg(F.sum("n").alias("n")), epoch)
-        seen.write(now, epoch)
         changes.fold(epoch - 1, add_up([*by, "month"], "n"), fold_after)
-        seen.fold(epoch - 1, keep_newest(key), fold_after)
+        seen.fold(epoch - 1, lambda rows: rows.groupBy(*key).agg(F.min("month").alias("month"), F.min("was").alias("was")), fold_after)
 
     return changes, write
 

@@ -132,6 +132,19 @@ def test_discovery_batch_replayed(spark, tmp_path):
     assert {r.month.month: r.new_artists for r in trendfeed.discoveries(changes).collect()} == {2: 1, 6: 1}
 
 
+def test_discoveries_from_plays_without_an_aggregate(spark, tmp_path):
+    """An artist met twice in a batch, or never named, is one discovery; only moves are written."""
+    schema = T.StructType.fromDDL("artist_name string, month date")
+    changes, write = trendfeed.discovery_feed(spark, str(tmp_path), schema, fold_after=2)
+    day = lambda m: dt.date(2024, m, 1)
+    batches = [[("A", day(5)), ("A", day(4)), (None, day(6))], [("A", day(7)), (None, day(6))], [("A", day(2)), ("A", day(3))], [("B", day(2))]]
+    for epoch, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, schema), epoch)
+    assert {r.month.month: r.new_artists for r in trendfeed.discoveries(changes).collect()} == {2: 2, 6: 1}
+    seen = store.EpochLog(spark, f"{tmp_path}/firsts", schema)
+    assert seen.read().where("epoch = 1").count() == 0
+
+
 POLLED = "user_id int, ts timestamp_ntz, track_uri string, platform string, n int"
 
 

@@ -1306,10 +1306,10 @@ def _streamed(t: Tables, df: DataFrame, key, mode: str, order=()) -> DataFrame:
 
 
 def _as_stream(t: Tables, df: DataFrame, files: int, *by: str) -> DataFrame:
-    """A table in mixed order over many files, one to a micro-batch."""
-    base = f"{work_dir(t.spark)}/feed"
-    df.repartition(files, F.xxhash64(*by)).write.parquet(base)
-    return live.stream_table(t.spark, base, df.schema, files_per_trigger=1)
+    """A table in mixed order, ``files`` micro-batches, each of as many files as let every core write."""
+    base, each = f"{work_dir(t.spark)}/feed", -(-t.spark.sparkContext.defaultParallelism // files)
+    df.repartition(files * each, F.xxhash64(*by)).write.parquet(base)
+    return live.stream_table(t.spark, base, df.schema, files_per_trigger=each)
 
 
 def _shuffled(t: Tables) -> DataFrame:
@@ -1373,9 +1373,9 @@ def discovery_stream(t):
     earlier than was thought moves its discovery."""
     plays = t.plays(listeners=True).select("user_id", "artist_name", "month", "ts")
     feed = _as_stream(t, plays, 4, "ts", "artist_name")
-    firsts = feed.groupBy("user_id", "artist_name").agg(F.min("month").alias("month"))
-    changes, write = trendfeed.discovery_feed(t.spark, f"{work_dir(t.spark)}/discoveries", firsts.schema)
-    live.run_to_end(firsts, write, f"{work_dir(t.spark)}/checkpoint")
+    heard = feed.select("user_id", "artist_name", "month")
+    changes, write = trendfeed.discovery_feed(t.spark, f"{work_dir(t.spark)}/discoveries", heard.schema)
+    live.run_to_end(heard, write, f"{work_dir(t.spark)}/checkpoint", "append")
     return trendfeed.discoveries(changes, ["user_id"])
 
 
