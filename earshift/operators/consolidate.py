@@ -173,10 +173,17 @@ def verdict_counts(scored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("overridden"), 1)).alias("overridden"))
 
 
+def fold_items(items: DataFrame) -> DataFrame:
+    """One row per title and credit list with its number of items ``n``: all that a
+    verdict depends on, so that counts need not carry every item."""
+    return items.groupBy("track_name", "artists").agg(F.count(F.lit(1)).alias("n"))
+
+
 def review_reasons(scored: DataFrame) -> DataFrame:
+    """Rows to review by reason; rows of ``fold_items`` count as their items."""
     kind = F.when(F.col("reason") == "", "ambiguous band").otherwise(F.split("reason", ":")[0])
-    return scored.where(F.col("verdict") == REVIEW).groupBy(kind.alias("reason")).agg(
-        F.count(F.lit(1)).alias("n"))
+    n = F.sum("n") if "n" in scored.columns else F.count(F.lit(1))
+    return scored.where(F.col("verdict") == REVIEW).groupBy(kind.alias("reason")).agg(n.alias("n"))
 
 
 def folded_count(whole: DataFrame, scored: DataFrame, merged: DataFrame) -> DataFrame:

@@ -312,6 +312,10 @@ class Tables:
         items = self.staged("items", lambda: with_song_key(self.playlist_items()))
         return items.where(F.col("source") == "A"), items.where(F.col("source") != "A")
 
-    def scored(self) -> DataFrame:
-        return classify(
-            self.whole_and_filtered()[1], family_weights(self.artist_tags()), self.consolidate_overrides())
+    def filtered(self) -> DataFrame:
+        """The items of the filtered playlists, for queries that need no other."""
+        return self.playlist_items().where(F.col("source") != "A")
+
+    def scored(self, items: DataFrame | None = None) -> DataFrame:
+        items = self.whole_and_filtered()[1] if items is None else items
+        return classify(items, family_weights(self.artist_tags()), self.consolidate_overrides())

@@ -750,7 +750,8 @@ def verdict_counts(t):
 @query("scored", """SELECT CASE WHEN reason = '' THEN 'ambiguous band' ELSE split_part(reason, ':', 1) END AS reason,
     count(*) AS n FROM scored WHERE verdict = 'review' GROUP BY 1""")
 def review_reasons(t):
-    return con.review_reasons(t.scored())
+    folded = t.staged("folded", lambda: con.with_song_key(con.fold_items(t.filtered())))
+    return con.review_reasons(t.scored(folded))
 
 
 @query("scored merged keyed", """SELECT offered, merged, offered - merged AS folded FROM
