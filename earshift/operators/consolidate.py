@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import first_per_key, ratio
 from ..functions.text import fold_name, tag_family, title_key, with_folded
 from ..params import DEFAULTS, Params
+from ..sources.tables import materialise
 
 KEEP, DROP, REVIEW = "keep", "drop", "review"
 
@@ -208,10 +209,15 @@ def closest_calls(scored: DataFrame, drops: int = 10, keeps: int = 8) -> DataFra
 def missing_artists(
     items: DataFrame, weights: DataFrame, overrides: DataFrame | None = None
 ) -> DataFrame:
-    """Artists of filtered playlists without tags, on tracks not answered by hand."""
-    rows = with_song_key(items)
+    """Artists of filtered playlists without tags, on tracks not answered by hand.
+
+    Items fold to titles and credit lists, and names to distinct ones, which are written:
+    Spark would move the last anti join below the distinct and fold every item's names.
+    """
+    keys = [c for c in ("track_name", "title_key", "artist_key") if c in items.columns]
+    rows = with_song_key(items.select("artists", *keys).distinct())
     if overrides is not None:
         rows = rows.join(overrides.select("title_key", "artist_key"), ["title_key", "artist_key"], "left_anti")
-    names = rows.select(F.explode("artists").alias("artist_name")).distinct()
+    names = materialise(rows.select(F.explode("artists").alias("artist_name")).distinct(), "names")
     return names.withColumn("name_key", fold_name(F.col("artist_name"))).join(
         weights.select("name_key"), "name_key", "left_anti").select("artist_name")

@@ -778,7 +778,7 @@ def closest_calls(t):
     WHERE {fold('name')} NOT IN (SELECT {fold('artist_name')} FROM bal)""")
 def missing_artists(t):
     return con.missing_artists(
-        t.whole_and_filtered()[1], con.family_weights(t.artist_tags()), t.consolidate_overrides())
+        t.filtered(), con.family_weights(t.artist_tags()), t.consolidate_overrides())
 
 
 @query("items", f"SELECT DISTINCT track_name, {title('track_name')} AS title_key, {fold('lead')} AS artist_key FROM items")
