@@ -71,13 +71,14 @@ def fold_spellings(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def fold_tracks(spellings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def fold_tracks(spellings: DataFrame, by: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """One row per track; ``more`` are aggregates to add."""
     return spellings.groupBy(*by, "track_uri").agg(
         F.min("track_name").alias("track_name"),
         F.min("artist_name").alias("album_artist"),
         F.sum("played_seconds").alias("played_seconds"),
         F.sum("n_plays").alias("n_plays"),
-        F.max("track_artists").alias("listed"),
+        F.max("track_artists").alias("listed"), *more,
     )
 
 
@@ -91,18 +92,26 @@ def track_credits(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return credits_of_tracks(track_rollup(plays, by), by)
 
 
-def credits_of_tracks(t: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    polled = F.coalesce(F.col("listed") != "", F.lit(False))
-    performers = F.when(polled, listed_performers(F.col("listed"))).otherwise(
-        title_performers(F.col("track_name"), F.col("album_artist"))
+def _polled(of: str = "") -> Column:
+    return F.coalesce(F.col(f"{of}listed") != "", F.lit(False))
+
+
+def performers_of(of: str = "") -> Column:
+    """Performers of a ``fold_tracks`` row; ``of`` is the prefix of its columns."""
+    performers = F.when(_polled(of), listed_performers(F.col(f"{of}listed"))).otherwise(
+        title_performers(F.col(f"{of}track_name"), F.col(f"{of}album_artist"))
     )
+    return F.filter(performers, lambda c: is_name(c["artist_name"]))
+
+
+def credits_of_tracks(t: DataFrame, by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     t = t.withColumns({
-        "_all": F.filter(performers, lambda c: is_name(c["artist_name"])),
-        "credit_source": F.when(polled, "poller").otherwise("export"),
+        "_all": performers_of(),
+        "credit_source": F.when(_polled(), "poller").otherwise("export"),
     }).withColumn("n_performers", F.size("_all").cast("bigint"))
     return t.select("*", F.explode("_all").alias("_c")).select(
         *by, "track_uri", "track_name", "album_artist", "_c.artist_name", "_c.credit_type",
-        "credit_source", "played_seconds", "n_plays", "n_performers",
+        "credit_source", "played_seconds", "n_plays", "n_performers", *keep,
     )
 
 

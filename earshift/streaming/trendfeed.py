@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import ratio
-from ..operators.credits import credits_of_tracks, fold_spellings, fold_tracks
+from ..operators.credits import credits_of_tracks, fold_spellings, fold_tracks, performers_of
 from ..operators.trends import TREND_COLUMNS, tag_month_of, with_trend_class
 from ..params import DEFAULTS, Params
 from ..sources.tables import materialise, work_dir
@@ -59,13 +59,16 @@ class TrendFeed:
         longer those of the last batch.  A replayed batch replaces what it wrote."""
         base = work_dir(self.spark)
         plays = self.listeners(batch)
-        rows = materialise(plays.groupBy(*self.cell, "track_uri", "ts").agg(F.sum("played_seconds").alias("secs"), F.count(F.lit(1)).alias("n")), "rows", base)
-        self.time.write(rows, epoch)
-        touched = rows.select(*self.cell).distinct()
+        self.time.write(plays.select(*self.cell, "track_uri", "ts", F.col("played_seconds").alias("secs"), F.lit(1).cast("long").alias("n")), epoch)
+        own = self.time.read(epoch + 1).where(F.col("epoch") == epoch)
+        touched = materialise(own.select(*self.cell).distinct(), "played", base)
+        months = self._months(touched)
         if changed is not None:
-            touched = touched.unionByName(self.time.read(epoch).join(changed, "track_uri", "left_semi").select(*self.cell)).distinct()
-        touched = materialise(touched, "touched", base)
-        months = [r[0] for r in touched.select("month").distinct().collect()]  # the calendar bounds them
+            rest = self.time.read(epoch)
+            rest = rest.join(touched, self.cell, "left_anti") if self.by else rest.where(~F.col("month").isin(months))
+            more = rest.join(changed, "track_uri", "left_semi").select(*self.cell).distinct()
+            touched = materialise(touched.unionByName(more), "touched", base)
+            months = self._months(touched)
         if not months:
             return
         self.wide.write(self._split(touched, months, epoch), epoch)
@@ -74,10 +77,16 @@ class TrendFeed:
         self.series.write(self._slopes(touched, epoch, base), epoch)
         self._fold(epoch)
 
+    def _months(self, touched: DataFrame) -> list:
+        return [r[0] for r in touched.select("month").distinct().collect() if r[0] is not None]  # the calendar bounds them
+
     def _split(self, touched: DataFrame, months: list, epoch: int) -> DataFrame:
         """Touched months over tags, time without a tag as a null tag."""
-        time = self.time.read(epoch + 1).where(F.col("month").isin(months)).join(touched, self.cell, "left_semi")
-        each = time.groupBy(*self.cell, "track_uri", "ts").agg(F.sum("secs").alias("secs"), F.sum("n").alias("n"))
+        time = self.time.read(epoch + 1).where(F.col("month").isin(months))
+        if self.by:  # one listener's cells are its months
+            time = time.join(touched, self.cell, "left_semi")
+        # Both folds below run where these rows meet.
+        each = time.repartition(*self.cell, "track_uri").groupBy(*self.cell, "track_uri", "ts").agg(F.sum("secs").alias("secs"), F.sum("n").alias("n"))
         one = F.col("secs") / F.col("n") if self.params.merge_shared_timestamps else F.col("secs")
         per_track = each.groupBy(*self.cell, "track_uri").agg(F.sum(one).alias("secs"))
         return tag_month_of(per_track, self.credits(), self.weights, self.params, self.key, every_month=True)
@@ -156,29 +165,31 @@ class CreditFeed:
             "track_uri string, track_name string, artist_name string, track_artists string, played_seconds double, n_plays bigint"))
         self.credits = EpochLog(spark, f"{path}/credits", T.StructType.fromDDL(
             "track_uri string, track_name string, album_artist string, artist_name string, credit_type string, credit_source string, "
-            "played_seconds double, n_plays bigint, n_performers bigint"))
+            "played_seconds double, n_plays bigint, n_performers bigint, changed boolean"))
 
     def update(self, batch: DataFrame, epoch: int) -> DataFrame:
         """foreachBatch writer: the credits of the batch's tracks, from all their
         plays.  Returns the tracks whose performers changed."""
-        base = work_dir(self.spark)
-        folded = materialise(fold_spellings(batch.where("track_uri IS NOT NULL")), "folded", base)
-        self.spellings.write(folded, epoch)
-        hit = folded.select("track_uri").distinct()
-        rows = self.spellings.read(epoch + 1).join(hit, "track_uri", "left_semi")
-        self.credits.write(credits_of_tracks(fold_tracks(rows)), epoch)
-        names = lambda d: d.join(hit, "track_uri", "left_semi").groupBy("track_uri").agg(
-            F.sort_array(F.collect_list(F.struct("artist_name", "credit_type"))).alias("who"))
-        old = names(self.credits.newest_group(["track_uri"], epoch)).withColumnRenamed("who", "was")
-        now = names(self.read(epoch + 1))
-        changed = now.join(old, "track_uri").where(~F.col("who").eqNullSafe(F.col("was"))).select("track_uri")
-        changed = materialise(changed, "changed", base)
+        self.spellings.write(fold_spellings(batch.where("track_uri IS NOT NULL")), epoch)
+        every = self.spellings.read(epoch + 1)
+        hit = every.where(F.col("epoch") == epoch).select("track_uri").distinct()
+        rows = every.join(hit, "track_uri", "left_semi")
+        # A track's names as they were and as they are now come from one fold.
+        was = {c: F.when(F.col("epoch") < epoch, F.col(c)) for c in ("track_name", "artist_name", "track_artists")}
+        known = F.max(F.col("epoch") < epoch).alias("_known")
+        both = fold_tracks(rows, more=[
+            F.struct(F.min(was["track_name"]).alias("track_name"), F.min(was["artist_name"]).alias("album_artist"),
+                     F.max(was["track_artists"]).alias("listed")).alias("_was"), known])
+        before = F.sort_array(performers_of("_was."))
+        both = both.withColumn("changed", F.col("_known") & ~F.sort_array(performers_of()).eqNullSafe(before))
+        self.credits.write(credits_of_tracks(both, keep=["changed"]), epoch)
+        changed = materialise(self.credits.read(epoch + 1).where((F.col("epoch") == epoch) & F.col("changed")).select("track_uri").distinct(), "changed")
         self.spellings.fold(epoch - 1, add_up(["track_uri", "track_name", "artist_name", "track_artists"], "played_seconds", "n_plays"), self.fold_after)
         self.credits.fold(epoch - 1, keep_newest_group(["track_uri"]), self.fold_after)
         return changed
 
     def read(self, before: int | None = None) -> DataFrame:
-        return self.credits.newest_group(["track_uri"], before)
+        return self.credits.newest_group(["track_uri"], before).drop("changed")
 
 
 def repair_feed(trends: TrendFeed, credits: CreditFeed) -> Callable[[DataFrame, int], None]:

@@ -100,6 +100,20 @@ def test_learned_performers_move_their_months_only(spark, tmp_path, weights):
     assert credits.credits.read().where("epoch = 1").select("track_uri").distinct().count() == 1
 
 
+def test_credits_learned_late_name_their_tracks(spark, tmp_path):
+    """Changed tracks come from one fold; a track whose first names gave no credit is one of them."""
+    feed = trendfeed.CreditFeed(spark, str(tmp_path))
+    named = lambda track, artist, listed=None: (1, dt.datetime(2020, 1, 2), dt.date(2020, 1, 1), track, "Title", artist, listed, 60.0)
+    first = [named("t1", "Act 1"), named("t2", "Act 2"), named("t3", "\u0391\u03b2")]
+    second = [named("t1", "Act 1"), named("t2", "Act 2", "Act 2\u001fAct 3"), named("t3", "\u0391\u03b2", "Act 4"), named("t4", "Act 5")]
+    changed = lambda rows, epoch: {r[0] for r in feed.update(frame(spark, rows), epoch).collect()}
+    assert changed(first, 0) == set()
+    assert changed(second, 1) == {"t2", "t3"}
+    assert changed(second, 1) == {"t2", "t3"}  # replayed
+    batch = track_credits(frame(spark, first + second))
+    assert rows_of(feed.read(), batch.columns) == rows_of(batch, batch.columns)
+
+
 def stream_of(spark, path, schema, *batches):
     """One file to a micro-batch, in the order given."""
     for k, rows in enumerate(batches):
