@@ -1360,7 +1360,8 @@ def stream_trends(t):
     """The play log in mixed order, four micro-batches; trends kept up to date."""
     plays = t.plays().select("ts", "month", "track_uri", "played_seconds")
     feed = _as_stream(t, plays, 4, "ts", "track_uri")
-    kept = trendfeed.TrendFeed(t.spark, f"{work_dir(t.spark)}/trends", plays.schema, t.credits, t.staged("weights", t.weights))
+    kept = trendfeed.TrendFeed(t.spark, f"{work_dir(t.spark)}/trends", plays.schema,
+                               lambda: t.staged("credits", t.credits), t.staged("weights", t.weights))
     live.run_to_end(feed, kept.update, f"{work_dir(t.spark)}/checkpoint", "append")
     return rounded(kept.read(), share=9, smoothed_share=9, tag_seconds=5, slope=9, mean_recent_share=9).select(
         "variant", "tag", "month", "share", "smoothed_share", "tag_seconds", "n_artists", "slope", "mean_recent_share", "trend_class")
