@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import null_if_zero, ratio, shared_keys, top_k, trailing_months
 from ..functions.text import fold_name, with_folded
 from ..params import DEFAULTS, Params
+from ..sources.tables import materialise
 from .trends import latest_slice
 
 
@@ -83,7 +84,8 @@ def candidates(
     known_names = credits.select(*who).distinct().select(
         *who[:-1], fold_name(F.col("artist_name")).alias("name_key")
     )
-    fresh = edges.join(seeds, "seed_mbid").join(known_ids, "mbid", "left_anti")
+    # Written, as the folding reads it twice; the edges are folded and joined once.
+    fresh = materialise(edges.join(seeds, "seed_mbid").join(known_ids, "mbid", "left_anti"), "fresh")
     near = with_folded(fresh, name_key="name").join(known_names, known_names.columns, "left_anti")
     per_seed = near.groupBy(*by, "mbid", "seed_rank", F.col("artist_name").alias("seed")).agg(
         F.sum(F.col("score") * F.col("weight")).alias("part"), F.count(F.lit(1)).alias("n"),
