@@ -12,6 +12,8 @@ So the log itself is never fanned out over performers, variants or tags.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -121,6 +123,34 @@ def tag_month_of(
     )
 
 
+#: Rows of (listener, month, artist) that one task opens; with ten tags each they are sorted in memory.
+LAYOUT_ROWS = 50_000
+
+
+def listener_tag_month(
+    plays: DataFrame, credits: DataFrame, weights: DataFrame, params: Params, by: Sequence[str],
+) -> DataFrame:
+    """``tag_month_wide`` with every month, a listener's rows all in one task.
+
+    The folded log is written once, an artist's tags as a list in its row, and goes
+    to its listeners as it is; the lists are opened where the rows are summed up, so
+    that no row of a tag is written or moved.  Listeners without a key are left out.
+    """
+    who = shared_keys(weights, by, "artist_name")
+    lists = weights.groupBy(*who, "tag").agg(F.sum("tag_weight").alias("tag_weight")).groupBy(*who).agg(
+        F.collect_list(F.struct("tag", "tag_weight")).alias("_tags"))
+    seconds = [f"s_{v}" for v in params.variants]
+    known = functools.reduce(operator.and_, [F.col(b).isNotNull() for b in by])
+    artists = artist_month(plays.where(known), credits, params, by, "left").join(lists, who, "left")
+    rows = materialise(artists.select(*by, "month", *seconds, "_tags"), "listeners")
+    tasks = max(plays.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // LAYOUT_ROWS))
+    return (
+        rows.repartition(tasks, *by).select(*by, "month", *seconds, F.explode_outer("_tags").alias("_t"))
+        .groupBy(*by, "month", F.col("_t.tag").alias("tag"))
+        .agg(*[F.sum(F.col(s) * F.col("_t.tag_weight")).alias(s) for s in seconds], F.count(F.lit(1)).alias("n_artists"))
+    )
+
+
 def _per_variant(params: Params) -> Column:
     return F.explode(F.array(*[
         F.struct(F.lit(v).alias("variant"), F.col(f"s_{v}").alias("tag_seconds"))
@@ -143,31 +173,31 @@ def _grid(
 ) -> DataFrame:
     """``tag_grid`` with ``month_seconds``, the month's tagged time per variant.
 
-    The folded log is written once; the listener's months, its tags and the
-    cells are read from there.  Only the folded rows move between tasks: a
-    listener's months, with their totals, and the series of its tags, both bounded
-    by the calendar, meet in one task and are laid out there.
+    For one listener the folded log is written once; the months, the tags and the
+    cells are read from there.  Of many listeners, a listener's months meet in one
+    row, bounded by the calendar and the vocabulary, each with its totals and its
+    cells by tag, and are laid out from there.
     """
-    wide = materialise(tag_month_wide(plays, credits, weights, params, by, every_month=True), "wide")
-    if by:
-        wide = wide.repartition(*by)
-    tagged = F.col("tag").isNotNull() & F.col("month").isNotNull()
     totals = [f"t_{v}" for v in params.variants]
-    months = wide.groupBy(*by, "month").agg(
-        *[F.sum(F.when(tagged, F.col(f"s_{v}"))).alias(f"t_{v}") for v in params.variants])
     values = [*[f"s_{v}" for v in params.variants], "n_artists"]
+    tagged = F.col("tag").isNotNull() & F.col("month").isNotNull()
+    sums = [F.sum(F.when(tagged, F.col(f"s_{v}"))).alias(f"t_{v}") for v in params.variants]
     if by:
-        months = months.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("month", *totals))).alias("_months"))
-        series = wide.where(F.col("tag").isNotNull()).groupBy(*by, "tag").agg(F.map_from_entries(F.collect_list(
-            F.when(F.col("month").isNotNull(), F.struct("month", F.struct(*values))))).alias("_cells"))
-        cells = series.join(months, list(by)).select(
-            *by, "tag", "_cells", F.size("_months").alias("n_months"), F.posexplode("_months").alias("_at", "_month"))
-        cells = cells.select(*by, "tag", "n_months", (F.col("_at") + 1).alias("month_idx"), "_month.*",
-                             F.try_element_at("_cells", "_month.month").alias("_cell"))
+        wide = listener_tag_month(plays, credits, weights, params, by)
+        months = wide.groupBy(*by, "month").agg(*sums, F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("tag", F.struct(*values)))).alias("_cells"))
+        whole = months.groupBy(*by).agg(
+            F.array_distinct(F.flatten(F.collect_list(F.transform("_cells", lambda c: c["tag"])))).alias("_tags"),
+            F.transform(F.sort_array(F.collect_list(F.struct("month", *totals, "_cells"))), lambda m: F.struct(
+                m["month"].alias("month"), *[m[t].alias(t) for t in totals], F.map_from_entries(m["_cells"]).alias("_cells"))).alias("_months"))
+        cells = whole.select(*by, "_months", F.explode("_tags").alias("tag")).select(
+            *by, "tag", F.size("_months").alias("n_months"), F.posexplode("_months").alias("_at", "_month"))
+        cells = cells.select(*by, "tag", "n_months", (F.col("_at") + 1).alias("month_idx"), "_month.month", *[f"_month.{t}" for t in totals],
+                             F.when(F.col("_month.month").isNotNull(), F.try_element_at("_month._cells", "tag")).alias("_cell"))
         dense = cells.select("*", *[F.col(f"_cell.{c}") for c in values])
     else:
+        wide = materialise(tag_month_wide(plays, credits, weights, params, every_month=True), "wide")
         whole = Window.partitionBy()
-        months = months.select(
+        months = wide.groupBy("month").agg(*sums).select(
             "month", F.row_number().over(whole.orderBy("month")).alias("month_idx"), F.count(F.lit(1)).over(whole).alias("n_months"), *totals)
         wide = wide.where(F.col("tag").isNotNull())
         calendar = months.agg(F.collect_list(F.struct(*months.columns))).scalar()

@@ -192,3 +192,17 @@ def test_listener_grid_moves_folded_rows_only(spark, world):
     plan = t._jdf.queryExecution().executedPlan().toString()
     moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert moves and all("hashpartitioning(user_id" in m and "variant" not in m and ", month" not in m for m in moves), moves
+
+
+def test_no_row_of_a_tag_is_written_or_moved(spark, world, monkeypatch):
+    """Listeners get their artists with lists of tags, in one shuffle, and open them."""
+    plays, credits, weights = world
+    both = plays.withColumn("user_id", F.lit(1)).unionByName(plays.withColumn("user_id", F.lit(2)))
+    odd = both.unionByName(plays.withColumn("user_id", F.lit(None).cast("int")))
+    wrote, write = [], trends.materialise
+    monkeypatch.setattr(trends, "materialise", lambda df, *a: wrote.append(write(df, *a)) or wrote[-1])
+    t = trends.tag_trends(odd, credits, weights, by=["user_id"])
+    assert [w.count() for w in wrote] == [trends.artist_month(both, credits, by=["user_id"], how="left").count()]
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode(_tags") < plan.index("Exchange hashpartitioning")
+    assert {r.user_id for r in t.select("user_id").distinct().collect()} == {1, 2}
