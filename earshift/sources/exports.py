@@ -1,4 +1,5 @@
-"""Play-history export files: JSON arrays named Streaming_History_*.json."""
+"""Play-history export files: JSON arrays named Streaming_History_*.json, or the same
+with gzip, Streaming_History_*.json.gz."""
 
 from __future__ import annotations
 
@@ -10,8 +11,8 @@ from ..schemas import EXPORT, KNOWN_EXPORT_FIELDS
 from .jsonsplit import elements
 from .payloads import utc
 
-# Fixed value: file name pattern of the export.
-EXPORT_GLOB = "Streaming_History_*.json"
+# Fixed value: file name pattern of the export, packed or not.
+EXPORT_GLOB = "Streaming_History_*.json{,.gz}"
 CORRUPT = "_corrupt_record"
 
 
@@ -66,7 +67,10 @@ def file_health(spark: SparkSession, path: str) -> DataFrame:
 def export_parts(spark: SparkSession, path: str) -> DataFrame:
     """Every object of the export files as ``element``, with ``path`` and ``fine``,
     whether its file is a whole one.  A file is read by as many tasks as it has byte
-    ranges; one without any object gives no row."""
+    ranges; one without any object gives no row.  Raises for packed files, which have
+    no byte ranges: ``read_export`` reads them."""
+    if export_files(spark, path).where(F.col("source_file").endswith(".gz")).limit(1).count():
+        raise ValueError(f"packed export files in {path} cannot be cut")
     rows, files = elements(spark, path, EXPORT_GLOB)
     return rows.join(files, "path")
 

@@ -1,6 +1,7 @@
 """Large export files cut over tasks, against the plain reader."""
 
 import collections
+import gzip
 import json
 import random
 
@@ -130,3 +131,29 @@ def test_export_files_are_put_together_where_rows_are_read(spark):
     batch = pa.RecordBatch.from_pydict({"name": ["a", "b"] * 6001, "value": ["{}"] * 12002})
     files = [(b["name"][0].as_py(), len(json.loads(b["value"][0].as_py()))) for b in queries._arrays([batch, batch])]
     assert sorted(files) == [("a", 2), ("a", 4000), ("a", 4000), ("a", 4000), ("b", 2), ("b", 4000), ("b", 4000), ("b", 4000)]
+
+
+def test_packed_exports_read_as_plain_ones(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    for k, text in enumerate([json.dumps(events(50, 1)), json.dumps(events(20, 2))[:-30]]):
+        (tmp_path / "a" / f"Streaming_History_{k}.json").write_text(text)
+        (tmp_path / "b" / f"Streaming_History_{k}.json.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "b" / "Streaming_History_2.json").write_text(json.dumps(events(50, 1)))  # beside a plain one
+    plain, packed = (exports.read_export(spark, str(tmp_path / x)).drop("source_path", "source_file") for x in "ab")
+    assert plain.count() == 50 and collections.Counter(map(str, packed.collect())) == collections.Counter(map(str, plain.unionByName(plain).collect()))
+    assert {(r.source_file, r.n_rows, r.failed) for r in exports.file_health(spark, str(tmp_path / "b")).collect()} == {
+        ("Streaming_History_0.json.gz", 50, False), ("Streaming_History_1.json.gz", 0, True), ("Streaming_History_2.json", 50, False)}
+    with pytest.raises(ValueError):
+        exports.read_split_export(spark, str(tmp_path / "b"))
+
+
+def test_an_export_of_the_lines_is_packed(spark):
+    """Its files take less than their text by far; all lines are in them."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    path = queries._export_folder(t)
+    n = t.read("lineitem").count() + t.read("lineitem").where("l_linenumber = 1").count()
+    assert exports.read_export(spark, path).count() == n
+    size = exports.export_files(spark, path).agg(F.sum("length")).first()[0]
+    text = exports.read_export(spark, path).select(F.length(F.to_json(F.struct(*EXPORT.fieldNames()))).alias("n")).agg(F.sum("n")).first()[0]
+    assert size < text / 4
